@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
+from .mixing import places
 from .near_dup import near_duplicates
 from .tables import table
 from .token_files import token_digests
 
 
+def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -28,6 +33,7 @@ def op9_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pfair_mixing": op1_pfair_mixing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op9_repair_token_files": op9_repair_token_files,
