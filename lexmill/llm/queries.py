@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contamination
 from .mixing import places
 from .near_dup import near_duplicates
+from .quality_rules import quality
 from .tables import table
 from .token_files import token_digests
 
@@ -28,6 +29,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
+def op8_robust_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op9_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -36,5 +41,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mixing": op1_pfair_mixing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_robust_quality_rules": op8_robust_quality_rules,
     "op9_repair_token_files": op9_repair_token_files,
 }
