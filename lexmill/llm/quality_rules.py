@@ -140,12 +140,11 @@ def estimates(scratch: Scratch, rows: DataFrame) -> DataFrame:
     return scratch.save(fitted.join(scale, "grp").withColumn("scale", F.greatest("scale", F.lit(1.0))), "estimates")
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row a row of docs: at (its place, monotonically_increasing_id), id, the statistics, base_failed, distance, kept."""
+def _judged(docs: DataFrame, kept: Column, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """Column "row" (kept), the statistics, base_failed, distance and kept, a row for each row of docs."""
     scratch = Scratch(docs.sparkSession, "quality")
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
-    keep = [F.col(id_col).alias("id"), part(lang_col).alias("lang"), part(source_col).alias("source")]
-    stats = text_statistics(docs, text_col, *keep)
+    stats = text_statistics(docs, text_col, kept.alias("row"), part(lang_col).alias("lang"), part(source_col).alias("source"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed).withColumns({f"x{i}": x for i, x in enumerate(_features())})
     stats = scratch.save(stats, "statistics")
@@ -158,4 +157,16 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     found = estimates(scratch, stats.where("not base_failed").join(groups, ["lang", "source"]).select("grp", *[f"x{i}" for i in range(D)]))
     verdicts = scratch.save(groups.join(found, "grp"), "verdicts")
     out = stats.join(verdicts, ["lang", "source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).alias("kept"))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """One row a row of docs: id, the statistics, base_failed, distance (null for base failures and groups too small to judge), kept."""
+    out = _judged(docs, F.col(id_col), text_col, lang_col, source_col)
+    return out.select(F.col("row").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
+
+
+def passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of docs that pass, with their columns as they are."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return _judged(docs, whole, text_col, lang_col, source_col).where("kept").select("row.*")
