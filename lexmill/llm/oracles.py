@@ -1,3 +1,30 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+WARC = """
+with p as (select page_id, coalesce(octet_length(encode(html)), 0) as payload_bytes, sha1(coalesce(html, '')) as payload_digest, url from pages),
+k as (select payload_digest, max(page_id) as keeper from p where payload_bytes >= 1000 group by payload_digest)
+select p.page_id, p.url, p.payload_bytes, p.payload_digest,
+  case when p.payload_bytes >= 1000 and p.page_id <> k.keeper then 'revisit' else 'response' end as record_type,
+  case when p.payload_bytes >= 1000 and p.page_id <> k.keeper then k.keeper end as refers_to
+from p left join k on p.payload_digest = k.payload_digest and p.payload_bytes >= 1000
+"""
+
+URLS = r"""
+with r as (select page_id, url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+h as (select page_id, url, translate(regexp_extract(coalesce(rest, ''), '\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(coalesce(rest, ''), '\A[^/?#]*([^?#]*)', 1) as path from r),
+q as (select *, regexp_replace(regexp_replace(regexp_extract(url, '\A[^?#]*\?([^#]*)', 1), '(?:\A|&)(?:utm_[^=&#]*|ref|fbclid|gclid)=[^&]*', '', 'g'), '\A&+|&+\z', '', 'g') as query from h),
+c as (select *, case when host <> '' then host || regexp_replace(path, '(?:/index\.html?)?/?\z', '') || case when query <> '' then '?' || query else '' end end as canonical_url from q),
+l as (select distinct canonical_url from c where list_has_any(string_split(host, '.'), ['spam-farm', 'cheap-pills']) and canonical_url is not null),
+v as (select c.*, l.canonical_url is not null as on_list, case
+  when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+  when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+  when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'com/de/'
+  when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'com/fr/'
+  when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'org/' end as rule
+  from c left join l using (canonical_url))
+select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when on_list then 'block' else 'allow' end as verdict,
+  canonical_url, rule is null and on_list as listed from v
+"""
+
+ORACLES: dict[str, str] = {"op2_warc_chunked_records": WARC, "op3_blocked_bloom_urls": URLS}

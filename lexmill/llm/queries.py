@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination
 from .mixing import places
@@ -13,12 +14,34 @@ from .near_dup import near_duplicates
 from .quality_rules import quality
 from .tables import table
 from .token_files import token_digests
+from .url_filter import canonical, host_of, judge, path_of
+from .warc import archived
 
 
 def op1_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return places(table(spark, sf_dir, "documents"))
 
 
+def op2_warc_chunked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+LISTED_HOSTS = ("spam-farm", "cheap-pills")
+
+
+def listed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list of blocked URLs: canonical URLs of the pages on hosts with a label of LISTED_HOSTS."""
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages").select(canonical(url, host_of(url), path_of(url)).alias("listed_url"), host_of(url).alias("host"))
+    return pages.where(F.arrays_overlap(F.split("host", r"\."), F.array(*map(F.lit, LISTED_HOSTS)))).select("listed_url").distinct()
+
+
+def op3_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judge(table(spark, sf_dir, "pages"), listed_urls(spark, sf_dir), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -39,6 +62,8 @@ def op9_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mixing": op1_pfair_mixing,
+    "op2_warc_chunked_records": op2_warc_chunked_records,
+    "op3_blocked_bloom_urls": op3_blocked_bloom_urls,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_robust_quality_rules": op8_robust_quality_rules,
