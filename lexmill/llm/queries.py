@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination
 from .mixing import places
 from .near_dup import near_duplicates
+from .ngram_lm import scored
 from .quality_rules import quality
-from .tables import table
+from .tables import remainder, table
 from .token_files import token_digests
 from .url_filter import canonical, host_of, judge, path_of
 from .warc import archived
@@ -60,6 +61,11 @@ def op9_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_katz_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scored(table(spark, sf_dir, "documents"), train=remainder() != 1)
+    return found.select("doc_id", (remainder() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mixing": op1_pfair_mixing,
     "op2_warc_chunked_records": op2_warc_chunked_records,
@@ -68,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_robust_quality_rules": op8_robust_quality_rules,
     "op9_repair_token_files": op9_repair_token_files,
+    "op10_katz_backoff_scores": op10_katz_backoff_scores,
 }
