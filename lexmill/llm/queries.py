@@ -12,8 +12,10 @@ from .decontaminate import contamination
 from .mixing import places
 from .near_dup import near_duplicates
 from .ngram_lm import scored
+from .quality_model import quality_scores
 from .quality_rules import quality
 from .tables import remainder, table
+from .token_counts import token_counts
 from .token_files import token_digests
 from .url_filter import canonical, host_of, judge, path_of
 from .warc import archived
@@ -43,11 +45,20 @@ def op3_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
 
 
+def op4_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_subword_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=remainder() != 0)
+    return found.select("doc_id", (remainder() == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept", "class_id")
@@ -70,7 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pfair_mixing": op1_pfair_mixing,
     "op2_warc_chunked_records": op2_warc_chunked_records,
     "op3_blocked_bloom_urls": op3_blocked_bloom_urls,
+    "op4_trie_token_counts": op4_trie_token_counts,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_subword_quality_classifier": op6_subword_quality_classifier,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_robust_quality_rules": op8_robust_quality_rules,
     "op9_repair_token_files": op9_repair_token_files,
