@@ -2,17 +2,21 @@
 
 1.  Every text becomes its set of distinct 5-word shingles (64-bit hashes); the k smallest are its sketch.
 2.  Texts with equal sets form a class; only the class's smallest doc_id goes on.
-3.  Inverted lists of retained values.  Values are taken rarest first, so that two sketches with the overlap
-    that a link implies must meet in a short prefix; values of a single class are never listed.
-4.  Lists are not expanded into pairs.  In each round a list offers a few pivots, and only members that are
-    not yet in the pivot's component are compared with it; the number of pivots grows eightfold a round until
-    a list either lies within one component or all its members have been pivots.  So no link between
-    components is lost, and a group of thousands of copies costs about one comparison a member.
-5.  A pair goes on if the union sketch estimates a Jaccard of at least ESTIMATE, and becomes a link by its
+3.  Inverted lists of the retained values: a text goes on if enough of its retained values are held by other
+    sketches for the overlap that a link implies.  Most texts end here.
+4.  Lists of the remaining texts' values, rarest first, hold only the prefix in which two linked texts must
+    meet, with each value's place: of two texts that first meet at places i and j, no more than
+    min(n_a - i, n_b - j) values can be common, which rules out most pairs of loosely related copies.
+5.  Lists are not expanded into pairs.  In each round a list offers a few pivots, those with the fewest values
+    of their own first, and only members that are not yet in the pivot's component meet it; the number of
+    pivots grows eightfold a round until a list either lies within one component or all its members have been
+    pivots.  So no link between components is lost, and a group of thousands of copies costs about one
+    comparison a member.
+6.  A pair goes on if the union sketch estimates a Jaccard of at least ESTIMATE, and becomes a link by its
     exact full-set Jaccard.
-6.  Components by contraction to the smallest neighbour; each step is a written table.
+7.  Components by contraction to the smallest neighbour; each step is a written table.
 
-A pair of exactly the threshold is lost in steps 3 and 5 with a chance below 1e-8 (an overlap of under
+A pair of exactly the threshold is lost in steps 3 and 6 with a chance below 1e-8 (an overlap of under
 24 of 64 where 48 are expected); sets of up to 64 shingles are never lost.
 
 Nulls, empty and blank texts have an empty set and link with nothing.  Rows that repeat a doc_id are one
@@ -117,23 +121,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.save(named.groupBy("fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
     reps = scratch.save(named.join(classes.withColumnRenamed("rep", "id"), ["fp1", "fp2", "id"], "left_semi").dropDuplicates(["id", "fp1", "fp2"]).select("id", "n", "sketch"), "reps")
 
-    values = reps.select("id", "n", F.explode("sketch").alias("v"))
-    shared = scratch.save(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
     held = F.least(F.col("n"), F.lit(k))
     needed = F.greatest(F.lit(1), F.floor(held * LEAST_SHARE)).cast("int")
-    listed = (
-        values.join(shared, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-        .withColumn("spare", F.size("vs") - needed + 1).where("spare > 0")
-        .select("id", "n", F.explode(F.slice("vs", 1, F.col("spare"))).alias("x")).select(F.col("x.v").alias("v"), "id", "n")
-    )
-    listed = scratch.save(listed, "listed")
-    lists = listed.groupBy("v").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    listed = scratch.save(listed.join(lists, "v"), "lists")
-
-    wanted = listed.select("id").distinct()
+    values = reps.select("id", "n", F.explode("sketch").alias("v"))
+    shared = scratch.save(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("v"), "shared")
+    wanted = scratch.save(values.join(shared, "v").groupBy("id", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= needed).select("id"), "wanted")
     sets = scratch.save(source.where("id is not null").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_setter(width), "id long, shingles array<long>"), "sets")
     sketches = scratch.save(reps.join(wanted, "id", "left_semi"), "sketches")
 
+    values = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    shared = scratch.save(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    listed = values.join(shared, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    listed = listed.withColumn("own", F.col("n") - F.size("vs")).withColumn("spare", (prefix - F.col("own")).cast("int")).where("spare > 0")
+    listed = listed.select("id", "n", "own", F.posexplode(F.slice("vs", 1, F.col("spare"))).alias("i", "x")).select(F.col("x.v").alias("v"), "id", "n", "own", (F.col("own") + F.col("i")).alias("i"))
+    listed = scratch.save(listed, "listed")
+    lists = scratch.save(listed.groupBy("v").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
+    listed = scratch.save(listed.join(lists, "v"), "lists")
+
     labels = None  # id -> component so far
     links: list[DataFrame] = []
     tested: list[DataFrame] = []
@@ -147,8 +152,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if members.isEmpty():
                 break
         slot = F.when(F.col("members") <= pivots, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(pivots))) if pivots > 1 else F.lit(0)
-        offered = members.groupBy("v", slot.alias("slot")).agg(F.min(F.struct("id", "n", "root")).alias("p")).select("v", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"))
-        met = members.join(scratch.save(offered, "pivots"), "v").where((F.col("root") != F.col("proot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
+        central = F.struct((F.col("own") / F.col("n")).alias("o"), "id", "n", "root", "i")
+        offered = members.groupBy("v", slot.alias("slot")).agg(F.min(central).alias("p")).select("v", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"), F.col("p.i").alias("pi"))
+        common = F.least(F.col("n") - F.col("i"), F.col("pn") - F.col("pi"))
+        met = members.join(scratch.save(offered, "pivots"), "v").where((F.col("root") != F.col("proot")) & ((100 + percent) * common >= percent * (F.col("n") + F.col("pn"))))
         if pivots == 1:  # each member tries the pivot that it meets most often
             often = met.groupBy("id", "pid").agg(F.count(F.lit(1)).alias("c"))
             pairs = often.groupBy("id").agg(F.max_by("pid", F.struct("c", -F.col("pid"))).alias("pid")).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
@@ -159,7 +166,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = scratch.save(pairs, "pairs")
         tested.append(pairs)
         links.append(_verified(scratch, pairs, sketches, sets, percent, k))
-        labels = components(scratch, _union(links)).withColumnRenamed("node", "id")
+        if labels is None or not links[-1].isEmpty():
+            labels = components(scratch, _union(links)).withColumnRenamed("node", "id")
         if pivots > 1 and members.where(F.col("members") > pivots).isEmpty():
             break
         pivots *= PIVOT_GROWTH
