@@ -70,6 +70,18 @@ OnHeader = Callable[[str, int, list[Scope]], Scope | None]
 OnStatement = Callable[[str, int, list[Scope]], list[Declaration]]
 
 
+def open_header(text: str, at: int, on_header: OnHeader, scopes: list[Scope]) -> tuple[int, Scope | None]:
+    """Where the header begins and the scope that it opens; lines ahead of it that say nothing are passed over."""
+    first = at + len(text) - len(text.lstrip())
+    for m in re.finditer(r"\A|\n", text):
+        rest = text[m.end() :]
+        if rest.strip():
+            begun = at + m.end() + len(rest) - len(rest.lstrip())
+            if scope := on_header(rest.strip(), begun, scopes):
+                return begun, scope
+    return first, None
+
+
 def read_braces(code: str, on_header: OnHeader, on_statement: OnStatement, lines_end: bool, groups: str | None = None) -> list[Declaration]:
     """Walks blanked code.  "{" and "}" open and close scopes; ";" (and line ends outside brackets, if lines_end) end statements.
 
@@ -114,9 +126,7 @@ def read_braces(code: str, on_header: OnHeader, on_statement: OnStatement, lines
                 stack.append(str(depth))
                 depth = 0
                 continue
-            header = code[at:i]
-            begun = at + len(header) - len(header.lstrip())
-            scope = on_header(header.strip(), begun, scopes) if header.strip() else None
+            begun, scope = open_header(code[at:i], at, on_header, scopes)
             scope = scope or Scope("block", scopes[-1].name, scopes[-1].owner)
             scope.begun = begun
             found += scope.opened
