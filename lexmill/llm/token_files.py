@@ -23,9 +23,9 @@ in the input.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,25 +34,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .words import slices
+from .words import BYTE_VALUE, U64, run_hashes, slices
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 6
+ROUNDS = 4
 LEAST_COUNT = 24
-PIECES_HELD = 400_000
+PIECES_HELD = 900_000
+JOINED = 64
+#: Pairs are counted in so many slots, a power of two; a slot counts the one pair that was written to it last.
+SLOTS = 1 << 19
 BLOCK_SCHEMA = "shard int, block int, first long, symbol_bytes int, base int, ids array<long>, n_tokens binary, ends binary, rules binary, expanded binary, symbols binary, total long"
 
-#: A space before other white space or the end: there the pre-tokenizer may join what a plain split parts.
-_JOINED = re.compile(r" (?=\s|\Z)")
-_SPLIT = re.compile(r" (?=\S)")
+#: Bytes after a space at which the pre-tokenizer surely starts a token with that space: not white space, and no first byte of a character that may be.
+_STARTS = np.ones(256, bool)
+_STARTS[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
 
 
 class Encoder:
-    """Encodes texts piece by piece; a piece runs from one space that precedes a non-space to the next.
+    """Encodes texts piece by piece; a piece runs from one space that surely starts a token to the next.
 
     The byte-level pre-tokenizer starts a token at every such space, so pieces can be encoded apart and
-    kept.  Distinct pieces are encoded once while at most PIECES_HELD are held.
+    kept, or many at once: their ids are told apart by the bytes that each id stands for.  Pieces are looked
+    up by a 64-bit hash and their length; distinct ones are encoded once while at most PIECES_HELD are held.
     """
 
     def __init__(self, path: str):
@@ -61,50 +65,85 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.size = self.model.get_vocab_size()
+        added = self.model.get_added_tokens_decoder()
+        self.bytes_of = np.zeros(self.size, np.int64)
+        for token, i in self.model.get_vocab().items():
+            self.bytes_of[i] = len(token.encode()) if i in added else len(token)
         self._clear()
 
     def _clear(self) -> None:
-        self.inner: dict[str, int] = {}
-        self.outer: dict[str, int] = {}
+        #: Sorted hashes of the pieces held, and for each its row in start, count and size.
+        self.known, self.row = np.empty(0, U64), np.empty(0, np.int64)
+        self.start, self.count, self.length = (np.empty(0, np.int64) for _ in range(3))
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _add(self, table: dict[str, int], lead: str, new: list[str]) -> None:
-        base = len(self.inner) + len(self.outer)
-        found = [e.ids for e in self.model.encode_batch([lead + x for x in new], add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.concatenate([np.asarray(x, np.uint32) for x in found])
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each piece has.  Pieces with a space ahead are joined; a text's first piece is not."""
+        texts, ends, last = [], [], ""
+        for at in range(0, len(pieces), JOINED):
+            for piece in pieces[at : at + JOINED]:
+                if piece[:1] != b" " and last:
+                    texts.append(last)
+                    last = ""
+                last += piece.decode()
+            texts.append(last)
+            last = ""
+        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32)
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        return ids, np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1, prepend=0)
+
+    def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        ids, counts = self._encoded(pieces)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while base + len(new) > len(self.start):
-            self.start, self.count = np.concatenate([self.start, self.start * 0]), np.concatenate([self.count, self.count * 0])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[base : base + len(new)] = self.used + np.cumsum(lengths) - lengths
-        self.count[base : base + len(new)] = lengths
+        rows = len(self.start) + np.arange(len(pieces))
+        self.start = np.concatenate([self.start, self.used + np.cumsum(counts) - counts])
+        self.count = np.concatenate([self.count, counts])
+        self.length = np.concatenate([self.length, np.fromiter(map(len, pieces), np.int64, len(pieces))])
         self.used += len(ids)
-        table.update(zip(new, range(base, base + len(new)), strict=True))
-
-    def __call__(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.row = np.insert(self.known, at, hashes), np.insert(self.row, at, rows)
+
+    def _rows(self, hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Rows of sorted distinct hashes, -1 for pieces that are not held."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        rows = self.row[at]
+        return np.where((self.known[at] == hashes) & (self.length[rows] == lengths), rows, -1)
+
+    def __call__(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has, its end id included."""
-        if len(self.inner) + len(self.outer) > PIECES_HELD:
+        if len(self.start) > PIECES_HELD:
             self._clear()
-        parts = [_SPLIT.split(t) if _JOINED.search(t) else t.split(" ") for t in texts]
-        self._new(self.outer, "", {p[0] for p in parts})
-        self._new(self.inner, " ", {x for p in parts for x in p[1:]})
-        inner, outer = self.inner, self.outer
-        index = np.fromiter((i for p in parts for i in (outer[p[0]], *map(inner.__getitem__, p[1:]))), np.int64)
-        pieces = np.fromiter(map(len, parts), np.int64, len(parts))
-        ids, lengths = take_runs(self.flat, self.start[index], self.count[index]), self.count[index]
-        totals = np.add.reduceat(lengths, np.cumsum(pieces) - pieces) if len(pieces) else pieces
+        whole = b"".join(texts)
+        data = np.frombuffer(whole, np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        text_ends = np.cumsum(sizes)
+        opens = np.zeros(len(data) + 1, bool)
+        opens[:-2][(data[:-1] == 32) & _STARTS[data[1:]]] = True
+        opens[text_ends - sizes] = True
+        starts = np.flatnonzero(opens[: len(data)])
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        hashes, first, of = np.unique(run_hashes(data, starts, ends, BYTE_VALUE), return_index=True, return_inverse=True)
+        lengths = (ends - starts)[first]
+        rows = self._rows(hashes, lengths)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
+            self._add(hashes[new], [whole[a:b] for a, b in spans])
+            rows = self._rows(hashes, lengths)
+        row = rows[of]
+        counts = self.count[row]
+        ids = take_runs(self.flat, self.start[row], counts)
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        totals = np.diff(upto[np.searchsorted(starts, text_ends)], prepend=0)
         if end is None:
             return ids, totals
         return np.insert(ids, np.cumsum(totals), np.uint32(end)), totals + 1
 
-    def _new(self, table: dict[str, int], lead: str, seen: set[str]) -> None:
-        new = sorted(seen - table.keys())
-        if new:
-            self._add(table, lead, new)
-
 
 def take_runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """values[s : s + n] for each s and n, joined."""
@@ -124,25 +163,30 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS,
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(counts)[counts > 0] - 1] = True
-    room = (1 << 16) - base if base < (1 << 16) - 1024 else 1 << 20
+    short = base < (1 << 16) - 1024
+    room = (1 << 16) - base if short else 1 << 20
+    key_type, bits = (np.uint32, 16) if short else (np.uint64, 32)
+    shift = np.uint32(33 - SLOTS.bit_length())
     rules: list[np.ndarray] = []
+    size = np.ones(base + room, np.uint32)
     made = 0
-    for _ in range(rounds):
+    for done in range(rounds):
         if len(symbols) < 2 or made >= room:
             break
-        keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        slot = ((symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA77))) >> np.uint32(12)
-        open_ = ~last[:-1]
-        heavy = np.bincount(slot[open_], minlength=1 << 20) >= least
-        at = np.flatnonzero(heavy[slot] & open_)
-        found, back, n = np.unique(keys[at], return_inverse=True, return_counts=True)
-        order = np.argsort(-n, kind="stable")[: min(room - made, max(256, room // rounds))]
-        order = order[n[order] >= least]
-        if not len(order):
+        keys = (symbols[:-1].astype(key_type) << key_type(bits)) | symbols[1:]
+        slot = (((symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA77))) >> shift).astype(np.int64)
+        holder = np.zeros(SLOTS, key_type)
+        holder[slot] = keys
+        at = np.flatnonzero((holder[slot] == keys) & ~last[:-1])
+        slot = slot[at]
+        n = np.bincount(slot, minlength=SLOTS)
+        often = np.flatnonzero(n >= least)
+        often = often[np.argsort(-n[often], kind="stable")][: min(room - made, max(256, (room - made) // 2 if done + 1 < rounds else room))]
+        if not len(often):
             break
-        rank = np.full(len(found), -1, np.int64)
-        rank[order] = np.arange(len(order))
-        of = rank[back]
+        rank = np.full(SLOTS, -1, np.int64)
+        rank[often] = np.arange(len(often))
+        of = rank[slot]
         at, of = at[of >= 0], of[of >= 0]
         # Of two occurrences that overlap the more frequent pair's stays; in a run of one pair, every other.
         joined = np.diff(at, prepend=-2) == 1
@@ -154,22 +198,22 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS,
         keep[1:] &= ~joined[1:] | (weight[1:] < weight[:-1])
         keep[:-1] &= ~joined[1:] | (weight[:-1] < weight[1:])
         at, of = at[keep], of[keep]
-        used, of = np.unique(of, return_inverse=True)
-        pair = found[order[used]]
-        rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        symbols[at] = (base + made + of).astype(np.uint32)
+        used = np.flatnonzero(np.bincount(of, minlength=len(often)))
+        new = np.empty(len(often), np.int64)
+        new[used] = np.arange(len(used))
+        pair = holder[often[used]]
+        rules.append(np.stack([pair >> key_type(bits), pair & key_type((1 << bits) - 1)], 1).astype(np.uint32))
+        size[base + made : base + made + len(used)] = size[rules[-1][:, 0]] + size[rules[-1][:, 1]]
+        symbols[at] = (base + made + new[of]).astype(np.uint32)
         last[at] = last[at + 1]
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
         symbols, last = symbols[stay], last[stay]
         made += len(used)
     rule = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
-    expanded = np.ones(len(rule), np.uint32)
-    for r, (a, b) in enumerate(rule.tolist()):
-        expanded[r] = (expanded[a - base] if a >= base else 1) + (expanded[b - base] if b >= base else 1)
     ends = np.zeros(len(counts), np.uint32)
     ends[counts > 0] = np.flatnonzero(last) + 1
-    return rule, expanded, symbols, np.maximum.accumulate(ends)
+    return rule, size[base : base + made], symbols, np.maximum.accumulate(ends)
 
 
 class Block:
@@ -186,16 +230,18 @@ class Block:
         self._flat: np.ndarray | None = None
 
     def _tables(self) -> None:
-        """Every symbol's expansion, side by side."""
-        starts = self.base + np.cumsum(self.expanded) - self.expanded
-        flat = np.empty(self.base + int(self.expanded.sum()), np.uint32)
-        flat[: self.base] = np.arange(self.base)
-        self.starts = np.concatenate([np.arange(self.base), starts])
+        """Every symbol's expansion, side by side: rules in turns, each after the two symbols that it stands for."""
+        self.starts = np.concatenate([np.arange(self.base), np.full(len(self.rules), -1)])
         self.lengths = np.concatenate([np.ones(self.base, np.int64), self.expanded])
-        for r, (a, b) in enumerate(self.rules.tolist()):
-            s, n, m = starts[r], self.lengths[a], self.lengths[b]
-            flat[s : s + n] = flat[self.starts[a] : self.starts[a] + n]
-            flat[s + n : s + n + m] = flat[self.starts[b] : self.starts[b] + m]
+        flat, left = np.arange(self.base, dtype=np.uint32), np.arange(len(self.rules))
+        while len(left):
+            ready = (self.starts[self.rules[left]] >= 0).all(1)
+            now, left = left[ready], left[~ready]
+            pair = self.rules[now].reshape(-1)
+            made = take_runs(flat, self.starts[pair], self.lengths[pair])
+            sizes = self.expanded[now]
+            self.starts[self.base + now] = len(flat) + np.cumsum(sizes) - sizes
+            flat = np.concatenate([flat, made])
         self._flat = flat
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -245,7 +291,7 @@ def _writer(path: str, end: int | None, block_tokens: int):
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("symbol_bytes", pa.int32()), ("base", pa.int32()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("n_tokens", "ends", "rules", "expanded", "symbols")], ("total", pa.int64())])
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                ids, n = encode([t.decode() for t in texts], end)
+                ids, n = encode(texts, end)
                 names += part.column(0).to_pylist()
                 held.append(ids)
                 counts.append(n)
@@ -271,14 +317,12 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             block = Block(row)
-            begun = np.cumsum(block.n_tokens) - block.n_tokens
-            sums, sizes = [], []
-            for j in range(len(block.ids)):
-                ids = block.document(j).astype("<u4")
-                sums.append(zlib.crc32(ids.tobytes()))
-                sizes.append(len(ids))
+            ids = block.expand(block.symbols).astype("<u4")
+            ends = np.cumsum(block.n_tokens)
+            begun = ends - block.n_tokens
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(begun.tolist(), ends.tolist(), strict=True)]
             n = len(block.ids)
-            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(block.ids, pa.int64()), pa.array(begun, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(np.diff(block.ends, prepend=0), pa.int64())], ["shard", "block", "id", "begun", "n_tokens", "ids_crc32", "n_symbols"])
+            yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(block.ids, pa.int64()), pa.array(begun, pa.int64()), pa.array(block.n_tokens, pa.int64()), pa.array(sums, pa.int64()), pa.array(np.diff(block.ends, prepend=0), pa.int64())], ["shard", "block", "id", "begun", "n_tokens", "ids_crc32", "n_symbols"])
 
 
 def read_digests(spark: SparkSession, target: str, id_col: str = "doc_id") -> DataFrame:

@@ -27,7 +27,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_VALUE = mix(np.arange(1, 257, dtype=U64))
+BYTE_VALUE = mix(np.arange(1, 257, dtype=U64))
+_VALUE = BYTE_VALUE.copy()
 _VALUE[0x41:0x5B] = _VALUE[0x61:0x7B]
 _P = 0x5851F42D4C957F2D
 _P_INV = pow(_P, -1, 1 << 64)
@@ -47,6 +48,15 @@ class _Powers:
 _UP, _DOWN = _Powers(_P), _Powers(_P_INV)
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUE) -> np.ndarray:
+    """Hash of each run data[start:end] of bytes; values: what each byte counts as."""
+    if len(starts) == 0:
+        return np.empty(0, U64)
+    total = np.cumsum(values[data] * _UP.upto(len(data))[: len(data)], dtype=U64)
+    before = np.where(starts > 0, total[starts - 1], U64(0))
+    return mix((total[ends - 1] - before) * _DOWN.upto(len(data))[starts])
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and the number of words of each text."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -54,11 +64,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edge[::2], edge[1::2]
-    if len(starts) == 0:
-        return np.empty(0, U64), np.zeros(len(texts), np.int64)
-    total = np.cumsum(_VALUE[data] * _UP.upto(len(data))[: len(data)], dtype=U64)
-    before = np.where(starts > 0, total[starts - 1], U64(0))
-    hashed = mix((total[ends - 1] - before) * _DOWN.upto(len(data))[starts])
+    hashed = run_hashes(data, starts, ends)
     counts = np.diff(np.searchsorted(starts, begins))
     return hashed, counts
 
