@@ -44,14 +44,14 @@ END, BEGIN = (mix(np.array([x], U64))[0] for x in (1, 2))
 
 def pack(values: np.ndarray) -> bytes:
     """Byte planes, then zstd: small and sorted values shrink."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
     flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(flat.reshape(width, -1).T).view(kind).reshape(-1)
+    return np.ascontiguousarray(flat.reshape(width, len(flat) // width).T).view(kind).reshape(-1)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:

@@ -28,3 +28,40 @@ select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'al
 """
 
 ORACLES: dict[str, str] = {"op2_warc_chunked_records": WARC, "op3_blocked_bloom_urls": URLS}
+
+_LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(text: str, breaks: str) -> str:
+    return f"list_filter(regexp_split_to_array({_LOWER.format(text)}, '[{breaks}]+'), lambda x: x <> '')"
+
+
+_ASCII_BREAKS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+BENCHMARK = f"""
+with d as (select doc_id, {_words('text', _ASCII_BREAKS)} as w from documents),
+b as (select cast(item_id as varchar) as item, {_words('text', _ASCII_BREAKS)} as w from benchmark),
+bw as (select distinct item, l, array_to_string(w[p:p + l - 1], ' ') as win from (select item, w, least(10, len(w)) as l, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from b where len(w) > 0)),
+dw as (select doc_id, l, p, array_to_string(w[p:p + l - 1], ' ') as win from (select doc_id, w, l, unnest(range(1, len(w) - l + 2)) as p from d, (select distinct l from bw))),
+h as (select doc_id, item, p, l from dw join bw using (l, win)),
+n as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + l)) as q from h) group by doc_id),
+i as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item from h) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (doc_id) left join i using (doc_id)
+"""
+
+_SPACES = r"\x20\x09-\x0D"
+NEAR = f"""
+with recursive d as (select doc_id, {_words('text', _SPACES)} as w from documents),
+s as (select distinct doc_id, array_to_string(w[p:p + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as p from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
+l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r as (select doc_id, doc_id as root from d union select e.b, r.root from r join e on e.a = r.doc_id where r.root < e.b)
+select d.doc_id, coalesce(n, 0) as n_shingles, min(root) as component_id, d.doc_id = min(root) as kept, coalesce(min(c.class_id), d.doc_id) as class_id
+from d join r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id
+left join (select doc_id, min(doc_id) over (partition by h) as class_id from (select doc_id, list_sort(list(s)) as h from s group by doc_id)) c on c.doc_id = d.doc_id
+group by d.doc_id, n
+"""
+
+ORACLES |= {"op5_benchmark_decontamination": BENCHMARK, "op7_minhash_near_dedup": NEAR}
