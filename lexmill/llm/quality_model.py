@@ -7,7 +7,7 @@ is the average over all features of all its words; a softmax over two outputs gi
 probability of label 1.
 
 Training reads at most TRAIN_TEXTS labelled texts of at most TRAIN_BYTES bytes in all, those with the smallest
-hash of their id, whole.  Scoring reads every text whole.  As the softmax of an average is linear, each
+hash of their id, whole, in one task; the driver sees their ids and sizes, and the model.  Scoring reads every text whole.  As the softmax of an average is linear, each
 vector is first projected on the difference of the outputs, so that only BUCKETS numbers are sent out, and a
 text costs one look-up for each distinct word of its chunk.
 
@@ -31,7 +31,7 @@ BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
 TRAIN_TEXTS = 3000
-TRAIN_BYTES = 32 << 20
+TRAIN_BYTES = 16 << 20
 EPOCHS = 8
 LEAST_STEPS = 1500
 BATCH = 16
@@ -76,6 +76,10 @@ def chunk_features(texts: list[bytes]):
     return doc, of, at, buckets, second, pair
 
 
+def _all_rows(texts: list[bytes], at_once: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [r for i in range(0, len(texts), at_once) for r in _rows(texts[i : i + at_once])]
+
+
 def _rows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text its buckets and their weights, which add up to 1."""
     doc, of, at, buckets, second, pair = chunk_features(texts)
@@ -91,19 +95,19 @@ def _rows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         weight = [np.full(begin[w + 1] - begin[w], n) for w, n in zip(words, times, strict=True)] + [np.ones(cut[t + 1] - cut[t])]
         ids, back = np.unique(np.concatenate(found), return_inverse=True)
         sums = np.bincount(back, np.concatenate(weight), len(ids))
-        out.append((ids, sums / max(sums.sum(), 1)))
+        out.append((ids.astype(np.int32), (sums / max(sums.sum(), 1)).astype(np.float32)))
     return out
 
 
 def train(texts: list[bytes], labels: np.ndarray) -> tuple[np.ndarray, float]:
     """Each bucket's projection on the difference of the outputs, and the bias: a text's log odds are the weighted sum plus the bias."""
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if not len(labels) or not 0 < share < 1:
         return np.zeros(BUCKETS), float(np.log((share + 1e-9) / (1 - share + 1e-9)))
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     outputs, bias = np.zeros((2, DIM)), np.log(np.array([1 - share, share]))
-    rows = _rows(texts)
+    rows = _all_rows(texts)
     a_pass = -(-len(rows) // BATCH)
     epochs = max(EPOCHS, -(-LEAST_STEPS // a_pass))
     steps, done = epochs * a_pass, 0
@@ -147,27 +151,43 @@ def _scorer(model):
     return score
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, texts: int = TRAIN_TEXTS, most: int = TRAIN_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """The bounded sample, by the hash of the id; the ids are chosen before any text is read."""
+def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, labels = [], []
+    for batch in batches:
+        texts += [t or b"" for t in batch.column(0).to_pylist()]
+        labels += batch.column(1).to_pylist()
+    table, bias = train(texts, np.array(labels, np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([table.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], ["buckets", "bias"])
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, texts: int = TRAIN_TEXTS, most: int = TRAIN_BYTES) -> DataFrame | None:
+    """text, label of the bounded sample, by the hash of the id; the ids are chosen before any text is read.  None if there are no rows."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     rows = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
     sizes = docs.where(learn).select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"))
-    chosen, total = [], 0
+    chosen, total = set(), 0
     for r in sizes.join(known, "id").select("id", "size", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(texts).collect():
         total += r["size"]
         if total > most:
             break
-        chosen.append((r["id"],))
+        chosen.add((r["id"],))
     if not chosen:
-        return [], np.empty(0, np.int64)
-    picked = docs.sparkSession.createDataFrame(sorted(set(chosen)), "id long")
-    got = rows.join(F.broadcast(picked), "id").join(known, "id").orderBy("id", "label").collect()
-    return [bytes(r["text"] or b"") for r in got], np.array([r["label"] for r in got], np.int64)
+        return None
+    picked = docs.sparkSession.createDataFrame(sorted(chosen), "id long")
+    return rows.join(F.broadcast(picked), "id").join(known, "id").select("id", "text", "label")
+
+
+def fit(sample: DataFrame | None) -> tuple[np.ndarray, float]:
+    if sample is None:
+        return train([], np.empty(0, np.int64))
+    ordered = sample.repartition(1).sortWithinPartitions("id", "label", "text").select("text", "label")
+    row = ordered.mapInArrow(_trainer, "buckets binary, bias double").first()
+    return np.frombuffer(row["buckets"], "<f8"), row["bias"]
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row a row of docs: id, score, predicted (1 from THRESHOLD); learning from the rows where learn holds."""
-    model = train(*training_rows(docs, labels, learn, id_col, text_col, label_col))
+    model = fit(training_rows(docs, labels, learn, id_col, text_col, label_col))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_scorer(sent), "id long, score double")
