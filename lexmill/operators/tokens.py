@@ -33,9 +33,15 @@ def token_is(mode: Mode, text: str, token: Column | None = None, reversed_token:
     return token.contains(text)
 
 
+def _may_hold(texts: Sequence[str]) -> Column:
+    """A cheap test that no file with these tokens fails: it spares most files the analysis.  Sigma is left out, as its lower case depends on what follows."""
+    lower = F.lower("content")
+    return reduce(lambda a, b: a & b, [lower.contains(t) for t in texts if not set(t) & {"σ", "ς"}], F.lit(True))
+
+
 def _one(corpus: Corpus, mode: Mode, text: str) -> DataFrame:
     if corpus.postings is None:
-        return corpus.files.where(F.exists(body_tokens(F.col("content")), lambda t: token_is(mode, text, t))).select("file_path")
+        return corpus.files.where(_may_hold([text]) & F.exists(body_tokens(F.col("content")), lambda t: token_is(mode, text, t))).select("file_path")
     found = corpus.postings.where(token_is(mode, text, reversed_token=F.col("token_rev"))).select("file_path")
     return found if mode is Mode.EXACT else found.distinct()
 
@@ -63,7 +69,7 @@ def all_terms(corpus: Corpus, terms: Sequence[str]) -> DataFrame:
         return corpus.files.select("file_path").where(F.lit(False))
     if corpus.postings is None:
         tokens = body_tokens(F.col("content"))
-        return corpus.files.where(F.size(F.array_intersect(tokens, F.array(*map(F.lit, terms)))) == len(terms)).select("file_path")
+        return corpus.files.where(_may_hold(terms) & (F.size(F.array_intersect(tokens, F.array(*map(F.lit, terms)))) == len(terms))).select("file_path")
     held = corpus.postings.where(F.col("token").isin(terms)).groupBy("file_path").agg(F.count(F.lit(1)).alias("n"))
     return held.where(F.col("n") == len(terms)).select("file_path")
 
@@ -83,7 +89,7 @@ def all_substrings(corpus: Corpus, parts: Sequence[str]) -> DataFrame:
         return corpus.files.select("file_path").where(F.lit(False))
     if corpus.postings is None:
         tokens = body_tokens(F.col("content"))
-        return corpus.files.where(reduce(lambda a, b: a & b, [F.exists(tokens, _contains(p)) for p in parts])).select("file_path")
+        return corpus.files.where(reduce(lambda a, b: a & b, [F.exists(tokens, _contains(p)) for p in parts], _may_hold(parts))).select("file_path")
     some = corpus.postings.where(reduce(lambda a, b: a | b, [F.col("token").contains(p) for p in parts]))
     held = some.groupBy("file_path").agg(*[F.max(F.col("token").contains(p)).alias(f"h{i}") for i, p in enumerate(parts)])
     return held.where(reduce(lambda a, b: a & b, [F.col(f"h{i}") for i in range(len(parts))])).select("file_path")
@@ -99,7 +105,7 @@ def phrase(corpus: Corpus, terms: Sequence[tuple[int, str]] | Phrase) -> DataFra
     if corpus.postings is None:
         runs = token_runs(F.col("content"))
         found = F.transform(F.array(runs), lambda r: F.size(F.filter(F.sequence(F.lit(0), F.size(r)), lambda i: reduce(lambda a, b: a & b, [F.get(r, i + at).eqNullSafe(F.lit(t)) for at, t in steps]))))[0]
-        return corpus.files.select("file_path", found.cast("long").alias("hits")).where("hits > 0")
+        return corpus.files.where(_may_hold([t for _, t in steps])).select("file_path", found.cast("long").alias("hits")).where("hits > 0")
     lists = corpus.postings.where(F.col("token").isin([t for _, t in steps])).groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("token", "positions"))).alias("at"))
     first = F.col("at")[F.lit(steps[0][1])]
     starts = reduce(lambda held, step: F.array_intersect(held, F.transform(F.col("at")[F.lit(step[1])], lambda p: p - step[0])), steps[1:], first)
@@ -141,29 +147,32 @@ def with_glob(found: DataFrame, glob: str | None) -> DataFrame:
 def index_stats(corpus: Corpus) -> DataFrame:
     """One row: n_files, n_terms (distinct), n_postings."""
     postings = corpus.with_postings().postings
-    terms = postings.agg(F.countDistinct("token").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"))
-    return corpus.files.agg(F.count(F.lit(1)).alias("n_files")).crossJoin(F.broadcast(terms))
+    files = corpus.files.agg(F.count(F.lit(1)).alias("n_files"))
+    return postings.agg(F.countDistinct("token").alias("n_terms"), F.count(F.lit(1)).alias("n_postings")).select(files.scalar().alias("n_files"), "n_terms", "n_postings")
 
 
 def bm25(corpus: Corpus, terms: Sequence[str], limit: int | None = None, digits: int = 6) -> DataFrame:
     """file_path, score of the files that hold all terms, best first, ties by path; limit 0 or None: all.
 
-    N and the mean length run over all files.  A term's document frequency is counted over its matches alone."""
+    N and the mean length run over all files.  A term's document frequency is counted over its matches alone.
+    These totals are a scalar subquery, not a join."""
     terms = sorted({t.lower() for t in terms})
     if corpus.postings is None:
-        hits = corpus.files.select("file_path", body_tokens(F.col("content")).alias("ts"))
-        hits = hits.select("file_path", F.size("ts").cast("long").alias("dl"), *[F.size(F.filter("ts", _equals(x))).alias(f"tf{i}") for i, x in enumerate(terms)])
-        stats = hits.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
+        counted = lambda ts: F.struct(F.size(ts).cast("long").alias("dl"), *[F.size(F.filter(ts, _equals(x))).alias(f"tf{i}") for i, x in enumerate(terms)])
+        hits = corpus.files.select("file_path", "content", F.transform(F.array(body_tokens(F.col("content"))), counted)[0].alias("x")).select("file_path", "content", "x.*")
+        totals = [hits.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])]
     else:
         held = corpus.postings.where(F.col("token").isin(terms))
         hits = held.groupBy("file_path").agg(*[F.coalesce(F.max(F.when(F.col("token") == x, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for i, x in enumerate(terms)]).join(corpus.file_lengths(), "file_path")
         size = corpus.file_lengths().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"))
-        stats = size.crossJoin(F.broadcast(held.agg(*[F.coalesce(F.sum((F.col("token") == x).cast("long")), F.lit(0)).alias(f"df{i}") for i, x in enumerate(terms)])))
-    found = hits.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(terms))], F.lit(bool(terms)))).crossJoin(F.broadcast(stats))
+        totals = [size, held.agg(*[F.coalesce(F.sum((F.col("token") == x).cast("long")), F.lit(0)).alias(f"df{i}") for i, x in enumerate(terms)])]
+    found = hits.where(_may_hold(terms)) if corpus.postings is None else hits
+    found = found.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(terms))], F.lit(bool(terms))))
+    total = {c: t.select(F.struct("*")).scalar()[c] for t in totals for c in t.columns}
 
     def part(i: int) -> Column:
-        idf = F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        return idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
+        idf = F.log(1 + (total["n"] - total[f"df{i}"] + 0.5) / (total[f"df{i}"] + 0.5))
+        return idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / total["mean"]))
 
     scored = found.select("file_path", F.round(sum((part(i) for i in range(len(terms))), F.lit(0.0)), digits).alias("score"))
     return _top(scored.orderBy(F.desc("score"), "file_path"), limit)

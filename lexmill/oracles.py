@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexmill.plans.patterns import KINDS, LANGUAGES
+from lexmill.plans.samples import EXPECTED
 
 FILES = "files as (select source || '/' || lang || '/' || cast(doc_id as varchar) || '.txt' as file_path, text as content, doc_id from documents)"
 RUNS = r"regexp_split_to_array({0}, '[^\p{{L}}\p{{M}}\p{{N}}_]+')"
@@ -159,6 +160,8 @@ ORACLES: dict[str, str] = {
     "src_ext_filter": f"with {PATHS} select page_id, path from paths where page_id % 6 in (0, 1, 4)",
     "src_hidden_filter": f"with {PATHS} select page_id, path from paths where page_id % 6 in (0, 1, 4) and page_id % 5 <> 0",
     "src_size_limit": f"with {PATHS} select page_id from paths where size <= 4096",
+    "src_skip_report": f"""with {PATHS}, r as (select path, case when page_id % 5 = 0 then 'hidden' when page_id % 6 not in (0, 1, 4) then 'extension' when size > 4096 then 'size' end as reason from paths),
+ k as (select *, row_number() over (partition by reason order by path) as i from r where reason is not null) select reason, count(*) as n, string_agg(path, ',' order by path) filter (where i <= 10) as samples from k group by reason""",
     "src_lines": f"with {FILES}, {LINES} select file_path, line_number, md5(line_content) as line_md5 from lines",
     "src_glob": f"with {FILES} select file_path from files where regexp_matches(file_path, '^src[12]/(.*/)?1..[.]txt$')",
     "src_extension": f"with {PATHS} select case page_id % 6 when 0 then 'rs' when 1 then 'txt' when 2 then 'pdf' when 3 then 'log' when 4 then 'py' else '' end as ext, count(*) as n from paths group by all",
@@ -175,3 +178,13 @@ ORACLES: dict[str, str] = {
     "bench_corpus_planted": f"with {BENCH} select regexp_extract(t, 'fn (initialize_connection|connect_database|handle_request)', 1) as planted, count(distinct file_path) as n from bench where planted <> '' group by 1",
     "bench_corpus_query": f"with {BENCH} select distinct file_path from bench where contains(t, 'request')",
 }
+
+
+def _extracted(language: str) -> str:
+    quoted = lambda x: "null::varchar" if x is None else f"'{x}'"
+    rows = ", ".join("(" + ", ".join(map(quoted, (*row, language))) + ")" for row in EXPECTED[language])
+    return f"select * from (values {rows}) t(kind, name, container_name, visibility, language)"
+
+
+ORACLES["stream_latest_wins"] = ORACLES["upd_latest_wins"]
+ORACLES |= {f"extract_symbols_{language}": _extracted(language) for language in EXPECTED}

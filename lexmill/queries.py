@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.config import Config
 from lexmill.functions import analyzers as an
 from lexmill.functions.globs import glob_matches
 from lexmill.operators import regexes as rx
@@ -20,9 +21,12 @@ from lexmill.operators.corpus import Corpus, postings_table, term_table
 from lexmill.operators.snippets import file_lines, groups, snippets, windows
 from lexmill.operators.symbols import distinct_files, search_symbols
 from lexmill.plans.benchmark import planted_corpus
+from lexmill.plans.samples import SOURCES
 from lexmill.plans.patterns import KINDS, LANGUAGES, SymbolQuery
 from lexmill.sinks import output
-from lexmill.sources.listing import indexable
+from lexmill.sources.extract import symbols_of
+from lexmill.sources.listing import indexable, skip_report
+from lexmill.streaming.changes import latest_from_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,8 +78,12 @@ def _refined(query: str, pattern: str) -> Query:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _change_rows(read(spark, sf_dir, "events"))
+
+
+def _change_rows(events: DataFrame) -> DataFrame:
     action = F.when(F.col("event_type") == "error", F.lit("remove")).otherwise(F.lit("index"))
-    return read(spark, sf_dir, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), action.alias("action"), "ts", "event_id")
+    return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), action.alias("action"), "ts", "event_id")
 
 
 def _file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,6 +147,21 @@ def _count(run: Callable[[Corpus], DataFrame]) -> Query:
     return lambda s, d: tok.count(run(corpus(s, d)))
 
 
+def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """upd_latest_wins as a stream over the events files."""
+    events = read(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parque[t]")
+    return latest_from_stream(_change_rows(stream), "ts", "event_id").select("path", "action", "event_id")
+
+
+def _extracted(language: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = spark.createDataFrame([SOURCES[language]], "repo_rel_path string, content string")
+        return symbols_of(files).select("kind", "name", "container_name", "visibility", "language")
+
+    return run
+
+
 PHRASE = [(0, "of"), (1, "the")]
 GAPPED = [(0, "the"), (2, "of")]
 BRANCHES = [["the", "of"], ["de", "la"], []]
@@ -223,6 +246,7 @@ QUERIES: dict[str, Query] = {
     "src_ext_filter": lambda s, d: _page_paths(s, d).where(indexable(F.col("path"), hidden=True)).select("page_id", "path"),
     "src_hidden_filter": lambda s, d: _page_paths(s, d).where(indexable(F.col("path"))).select("page_id", "path"),
     "src_size_limit": lambda s, d: _page_paths(s, d).where(F.col("size") <= 4096).select("page_id"),
+    "src_skip_report": lambda s, d: skip_report(_page_paths(s, d).select("path", "size"), Config(max_file_size=4096)).select("reason", "n", F.array_join("samples", ",").alias("samples")),
     "src_lines": lambda s, d: file_lines(text_files(s, d)).select("file_path", "line_number", F.md5("line_content").alias("line_md5")),
     "src_glob": lambda s, d: text_files(s, d).where(glob_matches(F.col("file_path"), "src[12]/**/1??.txt")).select("file_path"),
     "src_extension": lambda s, d: _page_paths(s, d).groupBy(an.extension(F.col("path")).alias("ext")).agg(F.count(F.lit(1)).alias("n")),
@@ -230,6 +254,7 @@ QUERIES: dict[str, Query] = {
     "out_envelope": lambda s, d: output.json_envelope(tok.search_ranked(corpus(s, d), "the", 20).select("file_path"), "the", "token"),
     "out_plain": lambda s, d: output.plain_lines(rx.regex_snippets(corpus(s, d), "the thor", 1, 1)),
     "upd_latest_wins": lambda s, d: upd.latest(_changes(s, d), "ts", "event_id").select("path", "action", "event_id"),
+    "stream_latest_wins": stream_latest,
     "upd_event_actions": lambda s, d: _file_events(s, d).select("seq", "path", upd.action_of(F.col("kind")).alias("action")),
     "upd_rename_pair": lambda s, d: upd.latest(upd.rename_pairs(_file_events(s, d)), "seq", "action"),
     "upd_vanished": lambda s, d: upd.vanished_to_remove(upd.latest(_changes(s, d), "ts", "event_id").select("path", "action"), _changes(s, d).where("event_id % 2 = 0").select("path")),
@@ -238,3 +263,4 @@ QUERIES: dict[str, Query] = {
     "bench_corpus_planted": lambda s, d: file_lines(planted_corpus(s)).groupBy(F.regexp_extract("line_content", "fn (initialize_connection|connect_database|handle_request)", 1).alias("planted")).agg(F.countDistinct("file_path").alias("n")).where("planted <> ''"),
     "bench_corpus_query": lambda s, d: tok.search(Corpus(planted_corpus(s)), "%request%"),
 }
+QUERIES |= {f"extract_symbols_{language}": _extracted(language) for language in SOURCES}

@@ -175,3 +175,19 @@ def fingerprint(files: DataFrame, config: Config | None = None) -> DataFrame:
     wide = lambda c: F.sum(c.cast("decimal(38,0)"))
     sums = files.agg(F.count(F.lit(1)).alias("n_files"), wide(one).alias("a"), wide(two).alias("b"))
     return sums.select("n_files", F.sha2(F.concat_ws("|", F.col("n_files").cast("string"), F.coalesce("a", F.lit(0)).cast("string"), F.coalesce("b", F.lit(0)).cast("string"), F.lit(repr(config or Config()))), 256).alias("signature"))
+
+
+def skip_reason(path: Column, size: Column, config: Config | None = None) -> Column:
+    """Why a listed file is not indexed: hidden, extension or size; null if it is."""
+    config = config or Config()
+    hidden = path.rlike(r"(?:\A|/)\.")
+    return F.when(hidden, "hidden").when(~indexable(path, config, hidden=True), "extension").when(size > config.max_file_size, "size")
+
+
+def skip_report(listed: DataFrame, config: Config | None = None, samples: int = 10) -> DataFrame:
+    """reason, n, samples (the first paths, at most so many) of the files of a listing (path, size) that are skipped."""
+    why = listed.select("path", skip_reason(F.col("path"), F.col("size"), config).alias("reason")).where("reason is not null")
+    counts = why.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    firsts = [why.where(F.col("reason") == r).orderBy("path").limit(samples) for r in ("hidden", "extension", "size")]
+    shown = firsts[0].unionByName(firsts[1]).unionByName(firsts[2]).groupBy("reason").agg(F.sort_array(F.collect_list("path")).alias("samples"))
+    return counts.join(shown, "reason")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,14 @@ def apply_batch(index: Index, feed: DataFrame, batch: int, config: Config | None
         last.unpersist()
 
 
+def latest_from_stream(changes: DataFrame, *order: str) -> DataFrame:
+    """The last change of each path over all that a stream has now; the state is one row a path."""
+    name = f"latest_{uuid.uuid4().hex}"
+    query = latest(changes, *order).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return changes.sparkSession.table(name)
+
+
 def watch(spark: SparkSession, feed_folder: str, index: Index, checkpoint: str, config: Config | None = None, listener: Listener | None = None, once: bool = False, files_per_batch: int | None = None) -> StreamingQuery:
     """Follows a folder of JSON change files.  once: applies what is there and stops."""
     reader = spark.readStream.schema(FEED_SCHEMA)
