@@ -5,12 +5,17 @@ A written table cuts lineage, outlives lost executors and lets adaptive executio
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+#: Scratch of the pipeline stages of each session that ran so far, and whether a stage is being set up.
+_STAGES: dict[str, list[Scratch]] = {}
+_OPEN: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,8 +45,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/lexmill-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        self._at: dict[int, str] = {}
         _on_exit(spark, self.root)
+        if spark.sparkContext.applicationId in _OPEN:
+            _STAGES.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def path(self, tag: str) -> str:
         self._n += 1
@@ -51,11 +57,28 @@ class Scratch:
         path = self.path(tag)
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._at[id(out)] = path
         out._lexmill_path = path
         return out
 
     def drop(self, df: DataFrame) -> None:
-        path = df._lexmill_path
+        self._delete(df._lexmill_path)
+
+    def drop_all(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def stage(spark: SparkSession) -> Iterator[None]:
+    """Around the set-up of a pipeline stage.  Its predecessors' results are written by then, so their scratch goes; its own stays until the next stage begins."""
+    app = spark.sparkContext.applicationId
+    for old in _STAGES.pop(app, []):
+        old.drop_all()
+    _OPEN.add(app)
+    try:
+        yield
+    finally:
+        _OPEN.discard(app)

@@ -1,4 +1,8 @@
-"""The operators as steps over a documents table that keep its columns."""
+"""The operators as steps over a documents table that keep its columns.
+
+A step's scratch tables go when the next step begins: write a step's result before, as the pipeline does.  The
+last step's stay, as its result may be read at any time.
+"""
 
 from __future__ import annotations
 
@@ -10,18 +14,21 @@ from .decontaminate import without_benchmark
 from .mixing import mixed
 from .near_dup import near_duplicates
 from .quality_rules import passing
+from .scratch import stage
 from .tables import table
 from .token_files import token_digests
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    return passing(docs)
+    with stage(spark):
+        return passing(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; rows that repeat a doc_id are one document, of which one row stays.  Rows without a doc_id stay."""
-    removed = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    with stage(spark):
+        removed = near_duplicates(docs).where("not kept").select("doc_id").distinct()
     left = docs.join(removed, "doc_id", "left_anti")
     named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
@@ -29,12 +36,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark window."""
-    return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    with stage(spark):
+        return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in the order of the mix."""
-    return mixed(docs)
+    with stage(spark):
+        return mixed(docs)
 
 
 def in_file_order(docs: DataFrame) -> list:
@@ -46,4 +55,6 @@ def in_file_order(docs: DataFrame) -> list:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the mix (the order of docs' files; of doc_id if docs has no files), and what they hold of each document."""
+    with stage(spark):
+        pass
     return token_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), order=in_file_order(docs) or None)
