@@ -40,7 +40,7 @@ END_ID = 2
 BLOCK_TOKENS = 1 << 20
 ROUNDS = 4
 LEAST_COUNT = 24
-PIECES_HELD = 900_000
+PIECES_HELD = 2_500_000
 JOINED = 64
 #: Pairs are counted in so many slots, a power of two; a slot counts the one pair that was written to it last.
 SLOTS = 1 << 19
@@ -56,7 +56,8 @@ class Encoder:
 
     The byte-level pre-tokenizer starts a token at every such space, so pieces can be encoded apart and
     kept, or many at once: their ids are told apart by the bytes that each id stands for.  Pieces are looked
-    up by a 64-bit hash and their length; distinct ones are encoded once while at most PIECES_HELD are held.
+    up by a 64-bit hash and their length; distinct ones are encoded once while at most PIECES_HELD are held; beyond that, those met in one chunk only
+    are forgotten.
     """
 
     def __init__(self, path: str):
@@ -74,9 +75,23 @@ class Encoder:
     def _clear(self) -> None:
         #: Sorted hashes of the pieces held, and for each its row in start, count and size.
         self.known, self.row = np.empty(0, U64), np.empty(0, np.int64)
-        self.start, self.count, self.length = (np.empty(0, np.int64) for _ in range(3))
+        self.start, self.count, self.length, self.seen = (np.empty(0, np.int64) for _ in range(4))
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
 
+    def _forget(self) -> None:
+        """Keeps the pieces that came up in two chunks or more, if they are few enough to leave room."""
+        kept = self.seen > 1
+        if 2 * kept.sum() > PIECES_HELD:
+            self._clear()
+            return
+        flat = take_runs(self.flat, self.start[kept], self.count[kept])
+        place = np.cumsum(kept) - 1
+        held = kept[self.row]
+        self.known, self.row = self.known[held], place[self.row[held]]
+        self.count, self.length, self.seen = self.count[kept], self.length[kept], self.seen[kept]
+        self.start = np.cumsum(self.count) - self.count
+        self.flat, self.used = flat, len(flat)
+
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has.  Pieces with a space ahead are joined; a text's first piece is not."""
         texts, ends, last = [], [], ""
@@ -96,12 +111,13 @@ class Encoder:
     def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         ids, counts = self._encoded(pieces)
         while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), 1 << 16), np.uint32)])
         self.flat[self.used : self.used + len(ids)] = ids
         rows = len(self.start) + np.arange(len(pieces))
         self.start = np.concatenate([self.start, self.used + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
         self.length = np.concatenate([self.length, np.fromiter(map(len, pieces), np.int64, len(pieces))])
+        self.seen = np.concatenate([self.seen, np.zeros(len(pieces), np.int64)])
         self.used += len(ids)
         at = np.searchsorted(self.known, hashes)
         self.known, self.row = np.insert(self.known, at, hashes), np.insert(self.row, at, rows)
@@ -117,7 +133,7 @@ class Encoder:
     def __call__(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has, its end id included."""
         if len(self.start) > PIECES_HELD:
-            self._clear()
+            self._forget()
         whole = b"".join(texts)
         data = np.frombuffer(whole, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -135,6 +151,7 @@ class Encoder:
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
             self._add(hashes[new], [whole[a:b] for a, b in spans])
             rows = self._rows(hashes, lengths)
+        self.seen[rows] += 1
         row = rows[of]
         counts = self.count[row]
         ids = take_runs(self.flat, self.start[row], counts)
