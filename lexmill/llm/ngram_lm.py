@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -308,8 +308,10 @@ def _finisher(n: int):
     return finish
 
 
-def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row a row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10), learning from the rows where train holds."""
+def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_words: int = BLOCK_WORDS, keep: str | None = None) -> DataFrame:
+    """One row a row of docs: id, n_tokens, n_known, train_tokens, base_score, score (log10), learning from the rows where train holds.
+
+    keep: a folder for the model's tables, which Model reads."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -325,6 +327,58 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     sums = scratch.save(sums, "sums")
     scratch.drop(blocks)
     weights = scratch.save(sums.where(F.col("kind") == TABLE).select("part", "block", "keys", "seen", "lower", "asked").groupBy("part").applyInArrow(_weights, WEIGHT_SCHEMA), "weights")
+    if keep:
+        for name, made, column in (("words", words, "counts"), ("bigrams", pairs, "counts"), ("weights", weights, "weights")):
+            _stored(made, column).write.parquet(f"{keep}/{name}")
+        numbers = (parts, total, words_d.tolist(), pairs_d.tolist())
+        spark.createDataFrame([numbers], "parts int, total array<long>, words_d array<double>, pairs_d array<double>").write.parquet(f"{keep}/numbers")
     wanted = weights.where(F.col("kind") == ANSWER).select("block", "part", "weights")
     done = sums.where(F.col("kind") == ANSWER).select("block", "ids", "numbers", "missing").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_finisher(total[0]), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumnRenamed("id", id_col)
+
+
+def _stored(told: DataFrame, column: str) -> DataFrame:
+    return told.where(F.col("kind") == TABLE).select("part", "keys", F.col(column).alias("values"))
+
+
+class Model:
+    """The tables that scored(keep=..) wrote, for single look-ups: partitions are read as they are needed."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        read = spark.read.parquet
+        self.tables = {t: read(f"{folder}/{t}") for t in ("words", "bigrams", "weights")}
+        numbers = read(f"{folder}/numbers").first()
+        self.parts, self.total = numbers["parts"], list(numbers["total"])
+        self.words_d, self.pairs_d = np.array(numbers["words_d"]), np.array(numbers["pairs_d"])
+        self.unknown = 1 - unknown_free(self.total, self.words_d)
+        self._held: dict = {}
+
+    def _value(self, table: str, key: np.uint64, kind: str) -> float | None:
+        part = int(key) * self.parts >> 64
+        if (table, part) not in self._held:
+            row = self.tables[table].where(F.col("part") == part).first()
+            self._held[table, part] = (unpack_sorted(row["keys"]), unpack(row["values"], kind)) if row else (np.empty(0, U64), np.empty(0))
+        keys, values = self._held[table, part]
+        at = int(np.searchsorted(keys, key))
+        return float(values[at]) if at < len(keys) and keys[at] == key else None
+
+    def tokens(self, text: str) -> list[np.uint64]:
+        return [*word_hashes([text.encode()])[0], END]
+
+    def probability(self, context: np.uint64, token: np.uint64) -> float:
+        """p(token | context), through the bigram if it was seen, else through a(context) and p(token)."""
+        pair = self._value("bigrams", mix(mix(np.array([context])) ^ np.array([token]))[0], "<u8")
+        if pair:
+            seen = self._value("words", END if context == BEGIN else context, "<u8")
+            return float(discounted(np.array([int(pair)]), self.pairs_d)[0]) / seen
+        weight = self._value("weights", context, "<f8")
+        return (10**weight if weight is not None else 1.0) * self.lower(token)
+
+    def lower(self, token: np.uint64) -> float:
+        count = self._value("words", token, "<u8")
+        return float(discounted(np.array([int(count)]), self.words_d)[0]) / self.total[0] if count else self.unknown
+
+    def score(self, text: str) -> float:
+        """log10 probability of a text and its end."""
+        tokens = self.tokens(text)
+        return float(sum(np.log10(self.probability(c, t)) for c, t in zip([BEGIN, *tokens], tokens, strict=False)))

@@ -186,3 +186,61 @@ def archived(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     target = Scratch(pages.sparkSession, "warc").path("chunks")
     write_archives(pages, target, id_col, payload_col, url_col)
     return read_archives(pages.sparkSession, target).withColumnRenamed("id", id_col)
+
+
+def _folder_files(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder)
+
+
+def export_archives(spark: SparkSession, target: str, folder: str) -> list[str]:
+    """Writes each archive of a data set as <folder>/<archive>.warc, on any file system that Arrow knows; a file takes its name once it is whole."""
+    ordered = spark.read.schema(CHUNK_SCHEMA).parquet(target).repartition("archive").sortWithinPartitions("archive", "seq", "chunk").select("archive", "data")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _folder_files(folder)
+        files.create_dir(root, recursive=True)
+        attempt = TaskContext.get().taskAttemptId()
+        at, stream, done = None, None, []
+
+        def close() -> None:
+            if stream is not None:
+                stream.close()
+                files.move(f"{root}/{at:016x}.{attempt}.part", f"{root}/{at:016x}.warc")
+                done.append(f"{at:016x}.warc")
+
+        for batch in batches:
+            for archive, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if archive != at:
+                    close()
+                    at, stream = archive, files.open_output_stream(f"{root}/{archive:016x}.{attempt}.part")
+                stream.write(data.as_buffer())
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["name"])
+
+    return sorted(r["name"] for r in ordered.mapInArrow(write, "name string").collect())
+
+
+def import_archives(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame:
+    """Records (as read_archives gives them) of the .warc and .warc.gz files of a folder; each file is streamed piece by piece."""
+    files, root = _folder_files(folder)
+    from pyarrow import fs
+
+    names = [f.path for f in files.get_file_info(fs.FileSelector(root)) if f.path.endswith((".warc", ".warc.gz"))]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, _ = _folder_files(folder)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                parser, out = Parser(), []
+                with store.open_input_stream(path, compression="gzip" if path.endswith(".gz") else None) as stream:
+                    while data := stream.read(chunk):
+                        out += map(record_of, parser.feed(data))
+                        if len(out) >= 1000:
+                            yield pa.RecordBatch.from_pylist(out, _RECORD)
+                            out = []
+                yield pa.RecordBatch.from_pylist(out, _RECORD)
+
+    listed = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, len(names)))
+    return listed.mapInArrow(read, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")

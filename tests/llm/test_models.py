@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import quality_model
-from lexmill.llm.ngram_lm import SET_ASIDE, discounts, pack, pack_sorted, scored, unpack, unpack_sorted
+from lexmill.llm.ngram_lm import SET_ASIDE, Model, discounts, pack, pack_sorted, scored, unpack, unpack_sorted
 from lexmill.llm.quality_model import quality_scores, word_features
 from lexmill.llm.tables import remainder
 from lexmill.llm.words import U64
@@ -77,6 +77,15 @@ def test_scores_against_plain_counting(docs, rows, parts, block_words):
         assert a[4:] == pytest.approx(b[4:], rel=1e-9)
 
 
+def test_kept_model_scores_the_same(spark, make, rows, tmp_path):
+    some = [(r[0], r[1]) for r in rows if r[0] is not None and r[0] < 12 or r[0] in (300, 303)]
+    got = {r["doc_id"]: r["score"] for r in scored(make(some), remainder() != 1, parts=3, keep=str(tmp_path)).collect()}
+    model = Model(spark, str(tmp_path))
+    for i, t in some:
+        if len(t or "") < 600:
+            assert model.score(t or "") == pytest.approx(got[i], rel=1e-9)
+
+
 def test_probabilities_add_up(rows):
     model = Katz([r[1] for r in rows])
     for p in [*list(model.a)[:40], "never seen"]:

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 from collections import defaultdict
 
@@ -5,7 +6,7 @@ import pyarrow.dataset as ds
 import pytest
 
 from lexmill.llm import warc
-from lexmill.llm.warc import Parser, archived, read_archives, record_of, write_archives
+from lexmill.llm.warc import Parser, archived, export_archives, import_archives, read_archives, record_of, write_archives
 
 PAGES = [(1, "http://a/", "x" * 999), (2, "http://b/", "x" * 999), (3, "u", "y" * 1000), (4, "u", "y" * 1000), (9, None, "y" * 1000), (5, "u", None), (6, "u", ""), (7, "u\r\nX: 1", "é" * 70_000), (8, "u", "WARC/1.1\r\n\r\n" * 9000),
          (None, "u", "z" * 1200), (10, "u", "z" * 1200), (11, "u", "q" * 1500), (11, "u", "q" * 1500), (12, "u", "q" * 1500), (12, "u", "q" * 1500)]
@@ -68,3 +69,15 @@ def test_parser_takes_any_pieces():
         list(map(record_of, Parser().feed(data.replace(b"hello", b"jello"))))
     with pytest.raises(ValueError, match="not a WARC"):
         list(Parser().feed(b"HTTP/1.1\r\n\r\n"))
+
+
+def test_files_round_trip(spark, pages, tmp_path):
+    target, folder = str(tmp_path / "w"), f"file://{tmp_path}/out"
+    write_archives(pages, target, archive_bytes=50_000)
+    names = export_archives(spark, target, folder)
+    assert names and all(n.endswith(".warc") for n in names)
+    plain = (tmp_path / "out" / names[0]).read_bytes()
+    (tmp_path / "out" / (names[0] + ".gz")).write_bytes(gzip.compress(plain))
+    (tmp_path / "out" / names[0]).unlink()
+    columns = ["id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    assert sorted(map(tuple, import_archives(spark, folder, chunk=100).select(columns).collect()), key=str) == brute(PAGES)
