@@ -1,13 +1,17 @@
 """A persisted index: tables in versioned generations, of which a pointer names the active one.
 
-    root/CURRENT                     the active generation's name
-    root/DIRTY                       there while an update runs
-    root/generations/gen-<number>/   files, postings, lengths, symbols (Parquet), version.json, report.json
+    root/CURRENT                           the active generation's name
+    root/DIRTY                             there while an update runs
+    root/generations/gen-<number>/
+        report.json                        version, segments in order, last batch, signature
+        <segment>/                         files, postings, lengths, symbols, gone (Parquet)
 
 A generation is built aside and becomes active by renaming the pointer's new text over the old.  An update
-writes a new generation from the active one, so readers keep their snapshot; a mark that is still there after
-a crash calls for a rebuild.  postings is sorted by token in ranges, so that exact and prefix searches read
-few row groups.
+costs what it changes: it adds a segment with the changed files' rows and the list of all changed paths, whose
+rows in earlier segments no longer count; then the report is replaced as a whole, together with the number of
+the batch, so that a batch is applied once.  Readers drop outdated rows by an anti join with the changed paths
+since the last compaction, which merges the segments into a new generation.  postings of a base segment is
+sorted by token in ranges, so that exact and prefix searches read few row groups.
 """
 
 from __future__ import annotations
@@ -15,18 +19,18 @@ from __future__ import annotations
 import json
 import time
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.config import Config
+from lexmill.functions.analyzers import extension
 from lexmill.sources.extract import SCANNERS, symbols_of
 from lexmill.sources.listing import fingerprint
-from lexmill.functions.analyzers import extension
 
 from .corpus import Corpus, lengths_table, postings_table
 from .symbols import search_columns
-from .updates import without
 
 VERSION = 2
 
@@ -141,31 +145,24 @@ class Index:
         self.store = Store(self.spark, self.root)
         self.generations = Generations(self.store)
 
-    def _at(self, generation: str, table: str) -> str:
-        return self.store.path(f"generations/{generation}/{table}")
+    def _at(self, generation: str, segment: str, table: str) -> str:
+        return self.store.path(f"generations/{generation}/{segment}/{table}")
 
-    def _write(self, generation: str, files: DataFrame, signature: str | None = None) -> None:
-        """files: file_path, repo_rel_path, content and any listing columns."""
-        files.write.mode("overwrite").parquet(self._at(generation, "files"))
-        files = self.spark.read.parquet(self._at(generation, "files"))
+    def _write(self, generation: str, segment: str, files: DataFrame, gone: DataFrame | None = None) -> None:
+        """files: file_path, repo_rel_path, content and any listing columns; gone: the paths whose earlier rows no longer count."""
+        put = lambda df, table: df.write.mode("overwrite").parquet(self._at(generation, segment, table))
+        put(files, "files")
+        files = self.spark.read.schema(files.schema).parquet(self._at(generation, segment, "files"))
         slim = files.select("file_path", "content")
-        self._postings(generation, postings_table(slim))
-        lengths_table(slim).write.parquet(self._at(generation, "lengths"))
-        self._symbols(generation, symbols_of(self._source_files(files)))
-        self._report(generation, signature)
-
-    def _source_files(self, files: DataFrame) -> DataFrame:
-        return files.select("repo_rel_path", "content").where(extension(F.col("repo_rel_path")).isin(*SCANNERS))
-
-    def _postings(self, generation: str, postings: DataFrame) -> None:
-        postings.repartitionByRange("token").sortWithinPartitions("token", "file_path").write.parquet(self._at(generation, "postings"))
+        postings = postings_table(slim)
+        put(postings.sortWithinPartitions("token", "file_path") if gone is not None else postings.repartitionByRange("token").sortWithinPartitions("token", "file_path"), "postings")
+        put(lengths_table(slim), "lengths")
+        sources = files.where(extension(F.col("repo_rel_path")).isin(*SCANNERS))
+        put(search_columns(symbols_of(sources, "file_path")), "symbols")
+        put(gone if gone is not None else files.select("file_path").limit(0), "gone")
 
-    def _symbols(self, generation: str, symbols: DataFrame) -> None:
-        search_columns(symbols).sortWithinPartitions("name_lower").write.parquet(self._at(generation, "symbols"))
-
-    def _report(self, generation: str, signature: str | None) -> None:
-        n = self.spark.read.parquet(self._at(generation, "files")).count()
-        self.store.write(f"generations/{generation}/report.json", json.dumps({"version": VERSION, "n_files": n, "signature": signature, "built_ns": time.time_ns()}))
+    def _report(self, generation: str, **fields) -> None:
+        self.store.write(f"generations/{generation}/report.json", json.dumps({"version": VERSION, "segments": ["base"], "batch": -1, "signature": None, "built_ns": time.time_ns()} | fields))
 
     def build(self, files: DataFrame, config: Config | None = None) -> str:
         """A new active generation; the active one is kept if it is clean and has the same files and configuration."""
@@ -173,21 +170,35 @@ class Index:
         report = self.generations.report()
         if report and not self.generations.needs_rebuild() and report["signature"] == signature:
             return self.generations.active()
+        return self._activate(files, signature, -1)
+
+    def _activate(self, files: DataFrame, signature: str | None, batch: int) -> str:
         name = self.generations.create()
-        self._write(name, files, signature)
+        self._write(name, "base", files)
+        self._report(name, signature=signature, batch=batch)
         self.generations.activate(name)
         self.generations.clear_dirty()
         self.generations.clean()
         return name
 
-    def _active(self) -> str:
+    def _active(self) -> tuple[str, dict]:
         name = self.generations.active()
-        if name is None:
+        report = self.generations.report(name) if name else None
+        if report is None:
             raise NoIndex(f"no index under {self.root}; build one first")
-        return name
+        return name, report
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._at(self._active(), name))
+        """A table of the active generation as of now: the rows of each segment but those of files that a later one changed."""
+        generation, report = self._active()
+        segments = report["segments"]
+        parts = [self.spark.read.parquet(self._at(generation, s, name)) for s in segments]
+        if len(parts) == 1:
+            return parts[0]
+        gone = [self.spark.read.parquet(self._at(generation, s, "gone")).withColumn("_later", F.lit(i)) for i, s in enumerate(segments) if i]
+        last = reduce(DataFrame.unionByName, gone).groupBy("file_path").agg(F.max("_later").alias("_later")).withColumnRenamed("file_path", "_gone")
+        rows = reduce(DataFrame.unionByName, [p.withColumn("_segment", F.lit(i)) for i, p in enumerate(parts)])
+        return rows.join(last, (F.col("file_path") == F.col("_gone")) & (F.col("_segment") < F.col("_later")), "left_anti").drop("_segment")
 
     def corpus(self) -> Corpus:
         return Corpus(self.table("files").select("file_path", "content"), self.table("postings"), self.table("lengths"))
@@ -195,48 +206,37 @@ class Index:
     def symbols(self) -> DataFrame:
         return self.table("symbols")
 
-    def apply(self, changes: DataFrame, new: DataFrame, config: Config | None = None) -> str:
-        """One batch: paths to be indexed get new's rows, those to be removed, or grown past the size limit, go.
+    @property
+    def last_batch(self) -> int:
+        return self._active()[1]["batch"]
+
+    def apply(self, changes: DataFrame, new: DataFrame, config: Config | None = None, batch: int | None = None) -> str:
+        """One batch: paths to be indexed get new's rows, those to be removed, or grown past the size limit, go.  The new segment's name.
 
-        changes: path, action; one row a path.  new: columns of the files table.  Only changed files are analysed again."""
+        changes: path, action; one row a path.  new: columns of the files table."""
         config = config or Config()
-        old, name = self._active(), self.generations.create()
+        name, report = self._active()
+        segment = f"s{time.time_ns()}"
         self.generations.mark_dirty()
-        before = {t: self.spark.read.parquet(self._at(old, t)) for t in ("files", "postings", "lengths", "symbols")}
-        gone = changes.select(F.col("path").alias("file_path"))
         wanted = changes.where("action = 'index'").select(F.col("path").alias("file_path"))
         fresh = new.join(wanted, "file_path", "left_semi").where(F.octet_length("content") <= config.max_file_size)
-        fresh.select(*before["files"].columns).write.parquet(self._at(name, "fresh"))
-        fresh = self.spark.read.parquet(self._at(name, "fresh"))
-        slim = fresh.select("file_path", "content")
-        without(before["files"], gone).unionByName(fresh).write.parquet(self._at(name, "files"))
-        self._postings(name, without(before["postings"], gone).unionByName(postings_table(slim)))
-        without(before["lengths"], gone).unionByName(lengths_table(slim)).write.parquet(self._at(name, "lengths"))
-        paths = before["files"].select("file_path", "repo_rel_path").join(gone, "file_path", "left_semi").select("repo_rel_path")
-        kept = without(before["symbols"], paths, "repo_rel_path")
-        self._symbols(name, kept.select(*symbols_of(self._source_files(fresh)).columns).unionByName(symbols_of(self._source_files(fresh))))
-        self.store.remove(f"generations/{name}/fresh")
-        self._report(name, None)
-        self.generations.activate(name)
+        columns = self.spark.read.parquet(self._at(name, report["segments"][0], "files")).columns
+        self._write(name, segment, fresh.select(*columns), changes.select(F.col("path").alias("file_path")))
+        self._report(name, **report | {"segments": [*report["segments"], segment], "signature": None, "batch": report["batch"] if batch is None else batch})
         self.generations.clear_dirty()
-        self.generations.clean()
-        return name
+        return segment
 
-    def compact(self) -> None:
-        """Rewrites the postings of the active generation as one sorted run, in a new generation."""
-        old, name = self._active(), self.generations.create()
-        for t in ("files", "lengths", "symbols"):
-            self.spark.read.parquet(self._at(old, t)).write.parquet(self._at(name, t))
-        self._postings(name, self.spark.read.parquet(self._at(old, "postings")))
-        self._report(name, (self.generations.report(old) or {}).get("signature"))
-        self.generations.activate(name)
-        self.generations.clean()
+    def compact(self) -> str:
+        """The active generation's tables as one segment of a new generation."""
+        _, report = self._active()
+        return self._activate(self.table("files"), report["signature"], report["batch"])
 
-    def should_compact(self, baseline_files: int, factor: int = 3) -> bool:
-        """True if the postings lie in many more files than after a build."""
-        return len([n for n in self.store.names(f"generations/{self._active()}/postings") if n.startswith("part-")]) > factor * baseline_files
+    def should_compact(self, baseline: int = 1, factor: int = 3) -> bool:
+        """True if there are many more segments than after a build."""
+        return len(self._active()[1]["segments"]) > factor * baseline
 
     def status(self) -> dict:
         name = self.generations.active()
         report = self.generations.report() or {}
-        return {"active": name, "dirty": self.generations.dirty, "needs_rebuild": self.generations.needs_rebuild(), "bytes": self.store.size(f"generations/{name}") if name else 0, **{k: report.get(k) for k in ("version", "n_files", "signature", "built_ns")}}
+        shown = {k: report.get(k) for k in ("version", "segments", "batch", "signature", "built_ns")}
+        return {"active": name, "dirty": self.generations.dirty, "needs_rebuild": self.generations.needs_rebuild(), "bytes": self.store.size(f"generations/{name}") if name else 0, "n_files": self.table("files").count() if report else None, **shown}

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from lexmill.operators.symbols import SYMBOL_SCHEMA
 
@@ -41,12 +42,16 @@ def extract_symbols(path: str, content: str) -> list[dict]:
     ]
 
 
-def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [r for p, c in zip(batch["repo_rel_path"], batch["content"], strict=True) for r in extract_symbols(p, c)]
-        yield pd.DataFrame(rows, columns=SYMBOL_SCHEMA.names).astype({"line_start": "int32", "line_end": "int32", "byte_start": "int64", "byte_end": "int64"})
+def _extractor(keep: tuple[str, ...]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [r | dict(zip(keep, kept, strict=True)) for p, c, *kept in zip(batch["repo_rel_path"], batch["content"], *(batch[k] for k in keep), strict=True) for r in extract_symbols(p, c)]
+            yield pd.DataFrame(rows, columns=[*SYMBOL_SCHEMA.names, *keep]).astype({"line_start": "int32", "line_end": "int32", "byte_start": "int64", "byte_end": "int64"})
 
+    return run
 
-def symbols_of(files: DataFrame) -> DataFrame:
-    """The symbol table of files (repo_rel_path, content)."""
-    return files.select("repo_rel_path", "content").mapInPandas(_extract, SYMBOL_SCHEMA)
+
+def symbols_of(files: DataFrame, *keep: str) -> DataFrame:
+    """The symbol table of files (repo_rel_path, content), with further columns of each symbol's file."""
+    schema = T.StructType([*SYMBOL_SCHEMA.fields, *[files.schema[k] for k in keep]])
+    return files.select("repo_rel_path", "content", *keep).mapInPandas(_extractor(keep), schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 import uuid
 from collections.abc import Callable
@@ -22,15 +21,19 @@ Listener = Callable[[dict], None]
 
 
 def apply_batch(index: Index, feed: DataFrame, batch: int, config: Config | None = None, listener: Listener | None = None) -> None:
-    """Applies a batch once: the last batch's number is kept beside the tables, so that one that is delivered again is passed over."""
-    done = json.loads(index.store.read("BATCH") or "-1")
-    if batch <= done:
+    """Applies a batch once: the index keeps the last batch's number, and one that is delivered again is passed over.
+
+    Every path gets a row in the index's events table: indexed, removed or skipped (too large)."""
+    if batch <= index.last_batch:
         return
+    config = config or Config()
     last = latest(feed, "seq").cache()
     try:
         # What has no content any more has vanished.
         last_known = last.withColumn("action", F.when((F.col("action") == "index") & F.col("content").isNull(), "remove").otherwise(F.col("action")))
-        counts = {r["action"]: r["n"] for r in last_known.groupBy("action").agg(F.count(F.lit(1)).alias("n")).collect()}
+        event = F.when(F.col("action") == "remove", "removed").when(F.octet_length("content") > config.max_file_size, "skipped").otherwise("indexed")
+        events = last_known.select(F.lit(batch).cast("long").alias("batch"), "path", event.alias("event"))
+        counts = {r["event"]: r["n"] for r in events.groupBy("event").agg(F.count(F.lit(1)).alias("n")).collect()}
         if counts:
             files = index.table("files")
             new = last_known.where("action = 'index'").select(F.col("path").alias("file_path"), F.col("path").alias("repo_rel_path"), "content")
@@ -38,10 +41,10 @@ def apply_batch(index: Index, feed: DataFrame, batch: int, config: Config | None
             for c in files.columns:
                 if c not in new.columns:
                     new = new.withColumn(c, known.get(c, F.lit(None)).cast(files.schema[c].dataType))
-            index.apply(last_known.select("path", "action"), new, config)
+            index.apply(last_known.select("path", "action"), new, config, batch)
+            events.write.mode("append").parquet(index.store.path("events"))
             if listener:
-                listener({"event": "batch_saved", "batch": batch, "indexed": counts.get("index", 0), "removed": counts.get("remove", 0)})
-        index.store.write("BATCH", json.dumps(batch))
+                listener({"event": "batch_saved", "batch": batch, **{e: counts.get(e, 0) for e in ("indexed", "removed", "skipped")}})
     finally:
         last.unpersist()
 
@@ -76,10 +79,10 @@ def stop_when_idle(query: StreamingQuery, seconds: int, poll: float = 1.0) -> No
             query.stop()
 
 
-def compact_once_idle(query: StreamingQuery, index: Index, baseline_files: int, seconds: int) -> bool:
-    """Compacts the index after the first idle period if its postings are scattered; True if it did."""
+def compact_once_idle(query: StreamingQuery, index: Index, seconds: int) -> bool:
+    """Compacts the index after the first idle period if it has many segments; True if it did."""
     stop_when_idle(query, seconds)
-    if index.should_compact(baseline_files):
+    if index.should_compact():
         index.compact()
         return True
     return False

@@ -117,7 +117,7 @@ def test_updates_equal_a_rebuild(spark, tmp_path):
     events: list = []
     rows = [("a.rs", "index", 1, "gamma"), ("a.rs", "index", 2, "delta connect"), ("c.py", "remove", 3, None), ("d.py", "index", 4, "def d():\n    pass\n"), ("gone.rs", "index", 5, None), ("missing", "remove", 6, None)]
     apply_batch(index, feed_df(spark, rows), 0, listener=events.append)
-    assert events == [{"event": "batch_saved", "batch": 0, "indexed": 2, "removed": 3}]
+    assert events == [{"event": "batch_saved", "batch": 0, "indexed": 2, "removed": 3, "skipped": 0}]
     expected = {"a.rs": "delta connect", "b.rs": "beta", "d.py": "def d():\n    pass\n"}
     other = Index(spark, str(tmp_path / "other"))
     other.build(files_df(spark, expected))
@@ -126,14 +126,22 @@ def test_updates_equal_a_rebuild(spark, tmp_path):
         assert sorted(map(key, index.table(table).collect())) == sorted(map(key, other.table(table).collect())), table
     for pattern in ("alpha", "init%", "%ize", "%niti%", "gamma"):
         assert hits(index, pattern) == []
-    before = index.generations.active()
+    before = index.generations.report()
     apply_batch(index, feed_df(spark, [("b.rs", "remove", 9, None)]), 0)
-    assert index.generations.active() == before
+    assert index.generations.report() == before and len(before["segments"]) == 2
+    assert spark.read.parquet(index.store.path("events")).where("event = 'removed'").count() == 3
     index.apply(feed_df(spark, [("b.rs", "index", 1, "")]).select("path", "action"), files_df(spark, {"b.rs": "x" * 50}), Config(max_file_size=10))
     assert hits(index, "beta") == [] and index.table("files").count() == 2
+    assert hits(index, "delta") == ["a.rs"] and not index.should_compact()
+    for i in range(2):
+        index.apply(feed_df(spark, [("a.rs", "index", 1, "")]).select("path", "action"), files_df(spark, {"a.rs": f"again{i} delta"}))
+    assert index.should_compact() and hits(index, "again0") == [] and hits(index, "again1") == ["a.rs"]
     index.compact()
-    assert hits(index, "delta") == ["a.rs"] and not index.should_compact(100)
-    assert index.status()["n_files"] == 2
+    assert hits(index, "again1") == ["a.rs"] and hits(index, "delta") == ["a.rs"] and not index.should_compact()
+    assert index.status()["n_files"] == 2 and index.status()["segments"] == ["base"] and index.last_batch == 0
+    again = index.generations.report()
+    index._write(index.generations.active(), "s-crashed", files_df(spark, {"z": "zeta"}), files_df(spark, {"a.rs": ""}).select("file_path"))
+    assert hits(index, "again1") == ["a.rs"] and hits(index, "zeta") == [] and index.generations.report() == again
 
 
 def test_stream(spark, tmp_path):
