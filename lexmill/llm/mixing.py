@@ -7,7 +7,8 @@ slot t each source has been given a t / Q blocks, give or take less than one.  T
 repeated, so it is made once for any number of blocks.
 
 When a source has no blocks left, the shares of the others are scaled to fill Q and a new phase begins; so
-every row gets exactly one place.  There are at most as many phases as sources.
+every row gets exactly one place.  There are at most as many phases as sources; the schedule is made on the driver
+from one count a source, which suits up to a thousand sources or so.
 
 A null source is a source of its own (shown as null), a null id comes first; rows that repeat an id get
 places of their own, in the order of the input.
@@ -74,7 +75,7 @@ def phases(blocks: dict[str, int], weights: dict[str, float], slots: int) -> tup
             whole, rest = divmod(length, len(order))
             took = whole * share[s] + sum(t < rest for t in at[s])
             spans.append((phase, s, done[s], done[s] + took, begin, share[s], len(order)))
-            places += [(phase, s, j, t) for j, t in enumerate(at[s])]
+            places += [(phase, s, j, t) for j, t in enumerate(at[s]) if whole or t < rest]
             done[s] += took
         begin += length
         phase += 1
