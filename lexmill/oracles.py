@@ -17,7 +17,7 @@ OCC = f"""occ as (select file_path, lower(t) as token, pos from (
   select file_path, unnest(r) as t, generate_subscripts(r, 1) - 1 as pos from (select file_path, {_runs('content')} as r from files))
   where octet_length(encode(lower(t))) >= 2)"""
 BASE = f"with {FILES}, {OCC}"
-LINES = """lines as (select file_path, generate_subscripts(a, 1) as line_number, rtrim(unnest(a), chr(13)) as line_content
+LINES = """lines as (select file_path, generate_subscripts(a, 1)::int as line_number, rtrim(unnest(a), chr(13)) as line_content
   from (select file_path, string_split(content, chr(10)) as a from files))"""
 
 
