@@ -137,7 +137,9 @@ ORACLES: dict[str, str] = {
     "rx_lines": lines_where(r"regexp_matches(line_content, '^The .*tion')"),
     "rx_files": any_line(r"the thor[\p{L}\p{M}\p{N}_]+"), "rx_prefiltered": any_line(r"the thor[\p{L}\p{M}\p{N}_]+"), "rx_count": n_of(any_line("tion[,.] (The|And)")),
     "rx_ignore_case": any_line("THE THOR", "i"), "rx_alternation": any_line("idiot|moron|clown"),
-    "rx_multiline_dot": files_where(r"regexp_matches(content, 'tion\.\nThe')"), "rx_bounded": f"{any_line('the')} limit 20",
+    "rx_multiline_dot": files_where(r"regexp_matches(content, 'tion\.\nThe')"), "rx_multiline_lines": f"""with {FILES}, {LINES}, x as (select *, lead(line_content) over w as nx, lag(line_content) over w as pv from lines window w as (partition by file_path order by line_number))
+ select file_path, line_number, line_content from x where (suffix(line_content, 'tion.') and starts_with(nx, 'The')) or (starts_with(line_content, 'The') and suffix(pv, 'tion.'))""",
+    "rx_bounded": f"{any_line('the')} limit 20",
     "snip_context": windows(f"len(list_filter({LINE_TOKENS}, lambda x: starts_with(x, 'thor'))) > 0", 1, 2) + GROUPS,
     "snip_regex": windows("contains(line_content, 'the thor')", 2, 0) + " select * from w",
     "snip_asymmetric": windows("contains(line_content, 'the thor')", 0, 3) + GROUPS,
