@@ -1,9 +1,10 @@
 import hashlib
+import random
 import re
 
 import pytest
 
-from lexmill.llm.decontaminate import benchmark_spans, contamination, without_benchmark
+from lexmill.llm.decontaminate import Items, benchmark_spans, contamination, without_benchmark
 
 from .conftest import text
 
@@ -59,6 +60,23 @@ def test_against_brute_force(make, rows, items, item_bytes):
     assert sorted(map(tuple, got), key=str) == brute(docs, ITEMS)
 
 
+def test_runs_against_all_windows():
+    """Random words of a small vocabulary, so that items repeat themselves and each other."""
+    rng = random.Random(4)
+    some = lambda n: " ".join(rng.choice("ab") for _ in range(n))
+    for _ in range(150):
+        block = [(str(i), some(rng.randrange(1, 24))) for i in range(4)]
+        words = some(rng.randrange(1, 60)).encode().split()
+        expected = set()
+        for name, t in block:
+            w = t.encode().split()
+            size = min(10, len(w))
+            windows = {tuple(w[p : p + size]) for p in range(len(w) - size + 1)}
+            expected |= {(name, q) for p in range(len(words) - size + 1) if tuple(words[p : p + size]) in windows for q in range(p, p + size)}
+        found = Items(block, 10).spans(b" ".join(words), words)
+        assert {(n, q) for n, a, b, *_ in found for q in range(a, b)} == expected
+
+
 def test_spans_point_into_the_text(make, items):
     t = "é… " + text(60, 5) + " (" + text(51, 12).replace(" ", " -- ") + ")!"
     (row,) = benchmark_spans(make([(1, t)]), items).collect()
