@@ -49,6 +49,7 @@ def groups(windowed: DataFrame) -> DataFrame:
 
 
 def snippets(files: DataFrame, pattern: str, before: int = 2, after: int = 2) -> DataFrame:
-    """The windows' lines for a token pattern: file_path, grp, line_number, line_content, is_match."""
+    """The windows' lines for a token pattern: file_path, grp, line_number, line_content, is_match.  Only lines of files with a match are taken apart."""
+    files = files.where(line_matches_pattern(F.col("content"), pattern))
     marked = file_lines(files).withColumn("is_match", line_matches_pattern(F.col("line_content"), pattern))
     return windows(marked, before, after)
