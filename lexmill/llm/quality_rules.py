@@ -30,7 +30,7 @@ LEAST_WORDS = 50
 REPEAT_PERCENT = 50
 SHARE = 0.75
 STEPS = 4
-CUTOFF = 60.0
+CUTOFF = 66.0
 LEAST_GROUP = 40
 #: Least standard deviations of: log mean word length, and roots of symbols a word, of repeated lines a line, of repeated words a word.
 FLOOR = (0.08, 0.06, 0.12, 0.12)
