@@ -41,9 +41,9 @@ BLOCK_TOKENS = 1 << 20
 ROUNDS = 4
 LEAST_COUNT = 24
 PIECES_HELD = 2_500_000
-JOINED = 64
+JOINED = 256
 #: Pairs are counted in so many slots, a power of two; a slot counts the one pair that was written to it last.
-SLOTS = 1 << 19
+SLOTS = 1 << 17
 BLOCK_SCHEMA = "shard int, block int, first long, symbol_bytes int, base int, ids array<long>, n_tokens binary, ends binary, rules binary, expanded binary, symbols binary, total long"
 
 #: Bytes after a space at which the pre-tokenizer surely starts a token with that space: not white space, and no first byte of a character that may be.
