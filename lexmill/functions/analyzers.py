@@ -7,6 +7,8 @@ same rules for query strings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,13 +27,21 @@ def _long_enough(token: Column) -> Column:
     return F.octet_length(token) >= LEAST_BYTES
 
 
+def _runs(text: Column, keep: Callable[[Column], Column]) -> Column:
+    """Lower-cased runs that keep allows.  A text is lower-cased as a whole, unless it has one of the two characters whose lower case can move a boundary or depends on what follows a run."""
+    text = F.coalesce(text, F.lit(""))
+    plain = F.filter(F.split(F.lower(text), _BREAK), keep)
+    careful = F.filter(F.transform(F.split(text, _BREAK), F.lower), keep)
+    return F.when(text.contains("\u0130") | text.contains("\u03a3"), careful).otherwise(plain)
+
+
 def token_runs(text: Column) -> Column:
-    """All runs, lower-cased; short ones stay so that indexes are positions.  Split before lower-casing: folding can add break characters."""
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda t: t != ""), F.lower)
+    """All runs, lower-cased; short ones stay so that indexes are positions."""
+    return _runs(text, lambda t: t != "")
 
 
 def body_tokens(text: Column) -> Column:
-    return F.filter(token_runs(text), _long_enough)
+    return _runs(text, _long_enough)
 
 
 def token_positions(text: Column) -> Column:

@@ -159,7 +159,8 @@ def bm25(corpus: Corpus, terms: Sequence[str], limit: int | None = None, digits:
     terms = sorted({t.lower() for t in terms})
     if corpus.postings is None:
         counted = lambda ts: F.struct(F.size(ts).cast("long").alias("dl"), *[F.size(F.filter(ts, _equals(x))).alias(f"tf{i}") for i, x in enumerate(terms)])
-        hits = corpus.files.select("file_path", "content", F.transform(F.array(body_tokens(F.col("content"))), counted)[0].alias("x")).select("file_path", "content", "x.*")
+        # One row a file; as a generator, so that the filter below does not repeat the analysis.
+        hits = corpus.files.select("file_path", "content", F.explode(F.transform(F.array(body_tokens(F.col("content"))), counted)).alias("x")).select("file_path", "content", "x.*")
         totals = [hits.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("mean"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])]
     else:
         held = corpus.postings.where(F.col("token").isin(terms))
@@ -168,7 +169,8 @@ def bm25(corpus: Corpus, terms: Sequence[str], limit: int | None = None, digits:
         totals = [size, held.agg(*[F.coalesce(F.sum((F.col("token") == x).cast("long")), F.lit(0)).alias(f"df{i}") for i, x in enumerate(terms)])]
     found = hits.where(_may_hold(terms)) if corpus.postings is None else hits
     found = found.where(reduce(lambda a, b: a & b, [F.col(f"tf{i}") > 0 for i in range(len(terms))], F.lit(bool(terms))))
-    total = {c: t.select(F.struct("*")).scalar()[c] for t in totals for c in t.columns}
+    found = found.select("*", *[t.select(F.struct("*")).scalar().alias(f"_t{i}") for i, t in enumerate(totals)])
+    total = {c: F.col(f"_t{i}")[c] for i, t in enumerate(totals) for c in t.columns}
 
     def part(i: int) -> Column:
         idf = F.log(1 + (total["n"] - total[f"df{i}"] + 0.5) / (total[f"df{i}"] + 0.5))

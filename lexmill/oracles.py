@@ -126,6 +126,7 @@ ORACLES: dict[str, str] = {
     "cnt_min_branch": f"select least(({n_of(all_of(BRANCHES[0]))}), ({n_of(all_of(BRANCHES[1]))})) as n",
     "stats_index": f"{BASE} select (select count(*) from files) as n_files, count(distinct token) as n_terms, count(distinct (file_path, token)) as n_postings from occ",
     "stats_terms": f"{BASE} select token, count(distinct file_path) as df, count(*) as cf from occ group by token",
+    "idx_terms": f"{BASE} select token, count(distinct file_path) as df, count(*) as cf from occ group by token",
     "rank_bm25_term": bm25(["the"], "limit 20"), "rank_bm25_multi": bm25(["of", "the"], "limit 20"), "rank_bm25_indexed": bm25(["of", "the"], "limit 20"),
     "rank_phrase": bm25(["of", "the"], "limit 20", f"file_path in (select file_path from ({OF_THE}))"),
     "rank_prefix_const": f"select file_path, 1.0::double as score from ({PREFIX}) order by file_path limit 20",

@@ -17,7 +17,7 @@ from lexmill.functions.globs import glob_matches
 from lexmill.operators import regexes as rx
 from lexmill.operators import tokens as tok
 from lexmill.operators import updates as upd
-from lexmill.operators.corpus import Corpus, postings_table, term_table
+from lexmill.operators.corpus import Corpus, file_terms, postings_table, term_table
 from lexmill.operators.snippets import file_lines, groups, snippets, windows
 from lexmill.operators.symbols import distinct_files, search_symbols
 from lexmill.plans.benchmark import planted_corpus
@@ -132,7 +132,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_table(postings_table(corpus(spark, sf_dir).files))
+    return file_terms(corpus(spark, sf_dir).files)
 
 
 def _indexed(run: Callable[[Corpus], DataFrame]) -> Query:
@@ -195,6 +195,7 @@ QUERIES: dict[str, Query] = {
     "cnt_files": _count(lambda c: c.files),
     "stats_index": _indexed(tok.index_stats),
     "stats_terms": term_stats,
+    "idx_terms": lambda s, d: term_table(postings_table(corpus(s, d).files)),
     "rank_bm25_term": _scanned(lambda c: tok.search_ranked(c, "the", 20)),
     "rank_bm25_multi": _scanned(lambda c: tok.search_ranked(c, "the of", 20)),
     "rank_bm25_indexed": _indexed(lambda c: tok.search_ranked(c, "the of", 20)),
