@@ -28,7 +28,8 @@ from .scratch import Scratch
 
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
-SHARE = 0.75
+#: The half-sample of a minimum covariance determinant: the estimate holds while under half of a group is broken.
+SHARE = 0.5
 STEPS = 4
 CUTOFF = 66.0
 LEAST_GROUP = 40

@@ -119,3 +119,16 @@ def test_lower_quantile_is_the_engines(spark, n):
     row = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("percentile_approx(v, 0.5, 1000) m").first()
     assert row["m"] == lower_quantile(values, 0.5)
     assert statistics.median_low(values) == row["m"]
+
+
+@pytest.mark.parametrize("percent", [40])
+def test_broken_rows_below_half_of_a_group(make, percent):
+    """Clean rows outnumber the broken ones, so all broken rows go and all clean ones stay."""
+
+    def broken(i):
+        words = text(i, 80).split(" ")
+        return " ".join(f"{w} {'#' * (1 + i % 3)}" if random.Random(1000 * i + j).random() < 0.45 + i % 5 / 10 else w for j, w in enumerate(words))
+
+    made = [(i, broken(i) if i < percent else text(i, 80)) for i in range(100)]
+    got = {r["doc_id"]: r["kept"] for r in quality(make(made)).collect()}
+    assert sorted(i for i, kept in got.items() if kept) == list(range(percent, 100))
