@@ -31,10 +31,11 @@ REPEAT_PERCENT = 50
 #: The half-sample of a minimum covariance determinant: the estimate holds while under half of a group is broken.
 SHARE = 0.5
 STEPS = 4
-CUTOFF = 66.0
+#: 99.9 % of the chi-square law with four degrees of freedom.
+CUTOFF = 18.4668
 LEAST_GROUP = 40
 #: Least standard deviations of: log mean word length, and roots of symbols a word, of repeated lines a line, of repeated words a word.
-FLOOR = (0.08, 0.06, 0.12, 0.12)
+FLOOR = (0.08, 0.06, 0.2, 0.2)
 #: Median of the chi-square law with four degrees of freedom.
 CHI_MEDIAN = 3.3567
 D = len(FLOOR)

@@ -132,3 +132,23 @@ def test_broken_rows_below_half_of_a_group(make, percent):
     made = [(i, broken(i) if i < percent else text(i, 80)) for i in range(100)]
     got = {r["doc_id"]: r["kept"] for r in quality(make(made)).collect()}
     assert sorted(i for i, kept in got.items() if kept) == list(range(percent, 100))
+
+
+def test_repeated_lines_and_moderate_symbols(make):
+    """Texts that the base rules pass, each about 3 % of a clean group: symbols in one of five words, and lines repeated with and without words."""
+
+    def symbols(i):
+        return " ".join(w + "#" * (j % 5 == 0) for j, w in enumerate(text(i, 80).split(" ")))
+
+    def lines(i, many, words, long):
+        short = text(i, words)
+        return "\n".join(f"{text(1000 * i + j, long)}\n{short}" for j in range(many))
+
+    def menu(i):
+        return "\n".join([text(i, 200), *random.Random(i).choices(["home", "news", "help", "login", "about", "terms"], k=56), text(i + 1, 6)])
+
+    odd = [f(i) for i in range(3) for f in (symbols, lambda i: lines(500 + i, 12, 6, 12), lambda i: lines(600 + i, 16, 6, 8), menu)]
+    assert not any(base(t)[5] for t in odd)
+    made = [(i, t) for i, t in enumerate(odd)] + [(100 + i, "\n".join(text(1000 * i + j, 12) for j in range(8))) for i in range(120)]
+    got = {r["doc_id"]: r["kept"] for r in quality(make(made)).collect()}
+    assert sorted(i for i, kept in got.items() if kept) == list(range(100, 220))
