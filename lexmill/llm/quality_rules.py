@@ -9,8 +9,8 @@ The estimate is deterministic.  It starts from medians and median absolute devia
 concentration steps: location and scatter of the SHARE of the group nearest to the last estimate.  The final
 scatter is scaled so that the median distance is that of a normal law.  Every variance is at least that of FLOOR, so
 that statistics which are constant in clean text don't reject the first text that differs.  Groups of under
-LEAST_GROUP texts that pass the base rules are judged with their language's pool of such groups; pools that
-small reject nothing.
+LEAST_GROUP texts that pass the base rules are judged with their language's pool of such groups, and pools that
+small by an estimate over all of the language; languages that small reject nothing.
 
 All of it is DataFrame expressions: statistics are array functions inside each row, groups are pre-aggregated
 sums, and only one row a group is joined back.  Null texts, empty texts and blank texts have no words, fail the base rules,
@@ -151,19 +151,22 @@ def _judged(docs: DataFrame, kept: Column, text_col: str, lang_col: str, source_
     stats = stats.withColumn("base_failed", failed).withColumns({f"x{i}": x for i, x in enumerate(_features())})
     stats = scratch.save(stats, "statistics")
 
-    own = stats.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    grouped = own.select("lang", "source", F.when(F.col("n") >= LEAST_GROUP, F.to_json(F.struct("lang", "source"))).otherwise(F.to_json(F.struct("lang"))).alias("grp"), "n")
-    grouped = scratch.save(grouped, "groups")
-    enough = grouped.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_GROUP).select("grp")
-    groups = scratch.save(grouped.join(enough, "grp").select("lang", "source", "grp"), "judged")
-    found = estimates(scratch, stats.where("not base_failed").join(groups, ["lang", "source"]).select("grp", *[f"x{i}" for i in range(D)]))
-    verdicts = scratch.save(groups.join(found, "grp"), "verdicts")
+    own = scratch.save(stats.where("not base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "groups")
+    small = F.col("n") < LEAST_GROUP
+    langs = own.groupBy("lang").agg(F.sum("n").alias("n_lang"), F.sum(F.when(small, F.col("n"))).alias("n_pool"))
+    #: Null unless the language has a pool that is too small, and enough rows.
+    whole = F.when((F.col("n_pool") < LEAST_GROUP) & (F.col("n_lang") >= LEAST_GROUP), F.to_json(F.struct("lang", F.lit(True).alias("whole"))))
+    grp = F.when(~small, F.to_json(F.struct("lang", "source"))).when(F.col("n_pool") >= LEAST_GROUP, F.to_json(F.struct("lang"))).otherwise(whole)
+    groups = scratch.save(own.join(langs, "lang").select("lang", "source", grp.alias("grp"), whole.alias("whole")), "judged")
+    fed = groups.select("lang", "source", F.explode(F.array_distinct(F.array_compact(F.array("grp", "whole")))).alias("grp"))
+    found = estimates(scratch, stats.where("not base_failed").join(fed, ["lang", "source"]).select("grp", *[f"x{i}" for i in range(D)]))
+    verdicts = scratch.save(groups.drop("whole").join(found, "grp"), "verdicts")
     out = stats.join(verdicts, ["lang", "source"], "left").withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row a row of docs: id, the statistics, base_failed, distance (null for base failures and groups too small to judge), kept."""
+    """One row a row of docs: id, the statistics, base_failed, distance (null for base failures and languages too small to judge), kept."""
     out = _judged(docs, F.col(id_col), text_col, lang_col, source_col)
     return out.select(F.col("row").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept")
 

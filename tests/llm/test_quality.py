@@ -152,3 +152,12 @@ def test_repeated_lines_and_moderate_symbols(make):
     made = [(i, t) for i, t in enumerate(odd)] + [(100 + i, "\n".join(text(1000 * i + j, 12) for j in range(8))) for i in range(120)]
     got = {r["doc_id"]: r["kept"] for r in quality(make(made)).collect()}
     assert sorted(i for i, kept in got.items() if kept) == list(range(100, 220))
+
+
+def test_too_small_pool_is_judged_by_the_language(spark):
+    """39 broken rows of a new source beside a large one of their language; 5 clean rows of another language's only small source."""
+    rows = [(i, text(i, 80), "de", "large", 0) for i in range(60)] + [(100 + i, text(i, 80).replace(" ", " # "), "de", "new", 0) for i in range(39)]
+    rows += [(200 + i, text(i, 80), "es", "large", 0) for i in range(40)] + [(300 + i, text(i, 81), "es", "new", 0) for i in range(5)]
+    got = {r["doc_id"]: r for r in quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sorted(i for i, r in got.items() if r["kept"]) == [i for i, *_ in rows if not 100 <= i < 139]
+    assert all(r["distance"] is not None for r in got.values())
