@@ -12,7 +12,7 @@ and works on any store).  A block holds
 
 so that any document, or any range of its ids, is decoded from its own symbols and the rules alone.
 
-Re-Pair runs in rounds.  A round counts all adjacent pairs, makes rules for the most frequent ones and
+Re-Pair runs in rounds.  A round counts all adjacent pairs exactly, makes rules for the most frequent ones and
 replaces their occurrences that don't overlap; no pair crosses documents.  It ends when no pair is frequent
 enough, the ids of the symbol type are used up, or after ROUNDS rounds.
 
@@ -42,7 +42,7 @@ ROUNDS = 4
 LEAST_COUNT = 24
 PIECES_HELD = 2_500_000
 JOINED = 256
-#: Pairs are counted in so many slots, a power of two; a slot counts the one pair that was written to it last.
+#: Slots, a power of two, that rule out rare pairs before the rest is sorted and counted exactly.
 SLOTS = 1 << 17
 BLOCK_SCHEMA = "shard int, block int, first long, symbol_bytes int, base int, ids array<long>, n_tokens binary, ends binary, rules binary, expanded binary, symbols binary, total long"
 
@@ -191,20 +191,25 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS,
         if len(symbols) < 2 or made >= room:
             break
         keys = (symbols[:-1].astype(key_type) << key_type(bits)) | symbols[1:]
-        slot = (((symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA77))) >> shift).astype(np.int64)
-        holder = np.zeros(SLOTS, key_type)
-        holder[slot] = keys
-        at = np.flatnonzero((holder[slot] == keys) & ~last[:-1])
-        slot = slot[at]
-        n = np.bincount(slot, minlength=SLOTS)
+        slot = ((symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA77))) >> shift
+        at = np.flatnonzero(~last[:-1])
+        at = at[np.bincount(slot[at], minlength=SLOTS)[slot[at]] >= least]
+        found = np.sort(keys[at])
+        begin = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
+        n = np.diff(begin, append=len(found))
         often = np.flatnonzero(n >= least)
         often = often[np.argsort(-n[often], kind="stable")][: min(room - made, max(256, (room - made) // 2 if done + 1 < rounds else room))]
         if not len(often):
             break
-        rank = np.full(SLOTS, -1, np.int64)
-        rank[often] = np.arange(len(often))
-        of = rank[slot]
-        at, of = at[of >= 0], of[of >= 0]
+        pairs = found[begin[often]]
+        order = np.argsort(pairs)
+        taken = np.zeros(SLOTS, bool)
+        taken[(((pairs >> key_type(bits)).astype(np.uint32) * np.uint32(0x9E3779B1)) ^ ((pairs & key_type((1 << bits) - 1)).astype(np.uint32) * np.uint32(0x85EBCA77))) >> shift] = True
+        at = at[taken[slot[at]]]
+        place = np.minimum(np.searchsorted(pairs[order], keys[at]), len(pairs) - 1)
+        of = order[place]
+        same = pairs[of] == keys[at]
+        at, of = at[same], of[same]
         # Of two occurrences that overlap the more frequent pair's stays; in a run of one pair, every other.
         joined = np.diff(at, prepend=-2) == 1
         same = joined & (np.diff(of, prepend=-1) == 0)
@@ -218,7 +223,7 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS,
         used = np.flatnonzero(np.bincount(of, minlength=len(often)))
         new = np.empty(len(often), np.int64)
         new[used] = np.arange(len(used))
-        pair = holder[often[used]]
+        pair = pairs[used]
         rules.append(np.stack([pair >> key_type(bits), pair & key_type((1 << bits) - 1)], 1).astype(np.uint32))
         size[base + made : base + made + len(used)] = size[rules[-1][:, 0]] + size[rules[-1][:, 1]]
         symbols[at] = (base + made + new[of]).astype(np.uint32)

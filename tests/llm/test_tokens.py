@@ -124,3 +124,12 @@ def test_token_counts(docs, rows, no_docs):
         expected.append((r[0], len(words), sum(count(w) if len(w) < 1000 else Trie(pieces).counts([f"▁{w}"])[0] for w in words)))
     assert got == sorted(expected, key=str)
     assert token_counts(no_docs, PIECES).collect() == []
+
+
+def test_first_round_replaces_every_frequent_pair():
+    """Many distinct pairs that share hash slots, each as frequent: one round makes a rule of each."""
+    pairs = np.random.default_rng(1).integers(0, 50_000, (3000, 2))
+    ids = np.tile(pairs, (30, 1)).reshape(-1)
+    rules, _, symbols, _ = repair(ids, np.full(len(ids) // 2, 2), 50_000, rounds=1)
+    assert set(map(tuple, rules.tolist())) == set(map(tuple, pairs.tolist()))
+    assert len(symbols) == len(ids) // 2
