@@ -36,7 +36,7 @@ from .scratch import Scratch
 from .words import U64, combine, mix, slices, word_hashes
 
 K = 64
-ESTIMATE = 0.5
+ESTIMATE = 0.375
 LEAST_SHARE = 0.375
 PIVOT_GROWTH = 8
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -97,3 +98,25 @@ def test_word_hashes_agree_with_words(texts):
         assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
     assert len(combine(hashes, 3)) == max(0, len(flat) - 2)
+
+
+def test_link_whose_sketches_underestimate(make):
+    """A pair of exactly the threshold whose union sketch holds only 28 of 64 common values."""
+    rng = np.random.default_rng(3)
+    common = [f"c{i}" for i in rng.integers(0, 10**6, 304)]
+
+    def tailed(name):
+        words = list(common)
+        for i in range(50):
+            ways = [f"{name}{i}x{j}" for j in range(200)]
+            hashes = [s[0] for s in near_dup.shingle_sets([" ".join([*words[-4:], w]).encode() for w in ways], 5)]
+            words.append(ways[int(np.argmin(hashes) if i < 18 else np.argmax(hashes))])
+        return " ".join(words)
+
+    texts = [tailed("a"), tailed("b")]
+    a, b = near_dup.shingle_sets([t.encode() for t in texts], 5)
+    both = np.intersect1d(a, b)
+    assert len(both) == 300 and len(np.union1d(a, b)) == 400
+    assert len(np.intersect1d(np.union1d(a, b)[: near_dup.K], both)) == 28
+    got = near_dup.near_duplicates(make(list(enumerate(texts)))).collect()
+    assert [r["component_id"] for r in got] == [0, 0]
