@@ -161,16 +161,20 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, texts: int = TRAIN_TEXTS, most: int = TRAIN_BYTES) -> DataFrame | None:
-    """text, label of the bounded sample, by the hash of the id; the ids are chosen before any text is read.  None if there are no rows."""
+    """text, label of the bounded sample, by the hash of the id, without ids whose texts do not fit; the ids are chosen before any text is read.  None if there are no rows."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     rows = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
     sizes = docs.where(learn).select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"))
-    chosen, total = set(), 0
-    for r in sizes.join(known, "id").select("id", "size", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(texts).collect():
-        total += r["size"]
-        if total > most:
+    sizes = sizes.join(known, "id").groupBy("id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("id"))
+    chosen, room, left, after = set(), most, texts, F.lit(True)
+    while left > 0 and (page := sizes.where(after & (F.col("size") <= room) & (F.col("n") <= left)).orderBy("h", "id").limit(texts).collect()):
+        for r in page:
+            if r["size"] <= room and r["n"] <= left:
+                chosen.add((r["id"],))
+                room, left = room - r["size"], left - r["n"]
+        if len(page) < texts:
             break
-        chosen.add((r["id"],))
+        after = (F.col("h") > page[-1]["h"]) | ((F.col("h") == page[-1]["h"]) & (F.col("id") > page[-1]["id"]))
     if not chosen:
         return None
     picked = docs.sparkSession.createDataFrame(sorted(chosen), "id long")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexmill.llm import quality_model
 from lexmill.llm.ngram_lm import SET_ASIDE, Model, discounts, pack, pack_sorted, scored, unpack, unpack_sorted
-from lexmill.llm.quality_model import quality_scores, word_features
+from lexmill.llm.quality_model import quality_scores, training_rows, word_features
 from lexmill.llm.tables import remainder
 from lexmill.llm.words import U64
 
@@ -151,3 +151,12 @@ def test_word_features():
     at, buckets = word_features(["aé".encode(), b"b"], np.array([1, 2], U64))
     # the words; 3-grams <aé aé> <b>; the 4-gram <aé>
     assert np.bincount(at).tolist() == [4, 2] and (buckets < quality_model.BUCKETS).all()
+
+
+def test_sample_leaves_out_texts_that_do_not_fit(spark, make):
+    """Whichever ids come first in hash order, the long texts don't end the sample."""
+    docs = make([(i, "x" * (500 if i < 10 else 10)) for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    for texts, expected in [(20, 10), (4, 4)]:
+        got = training_rows(docs, labels, F.lit(True), "doc_id", "text", "quality", texts=texts, most=100).collect()
+        assert len(got) == expected and all(r["id"] >= 10 for r in got)
