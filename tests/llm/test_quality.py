@@ -9,6 +9,7 @@ import pytest
 
 from lexmill.llm import quality_rules
 from lexmill.llm.quality_rules import passing, quality
+from lexmill.llm.scratch import Scratch
 
 from .conftest import SCHEMA, text
 
@@ -46,19 +47,38 @@ def lower_quantile(values, q):
     return sorted(values)[max(0, math.ceil(q * len(values)) - 1)]
 
 
+def noise(chars, n, lines):
+    return np.array([1 / max(chars, 1), 0.25 / max(n, 1), 0.25 / max(lines, 1), 0.25 / max(lines, 1)])
+
+
+def squared(x, mean, cov):
+    return np.einsum("...i,...ij,...j->...", x - mean, np.linalg.inv(cov), x - mean)
+
+
 def brute_distances(texts):
-    """The estimate by numpy, step by step."""
-    x = np.array([features(t) for t in texts])
-    floor = np.array(quality_rules.FLOOR)
-    centre = np.array([lower_quantile(c, 0.5) for c in x.T])
-    spread = np.array([lower_quantile(np.abs(c - m), 0.5) for c, m in zip(x.T, centre, strict=True)])
-    mean, cov = centre, np.diag(np.maximum(1.4826 * spread, floor) ** 2)
-    for _ in range(quality_rules.STEPS):
-        d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        near = x[d <= lower_quantile(d, quality_rules.SHARE)]
-        mean, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(floor**2)
-    d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    return d / max(1.0, lower_quantile(d, 0.5) / quality_rules.CHI_MEDIAN)
+    """The estimate by numpy, row by row: no cells, no counts of distinct values."""
+    exact = np.floor(np.array([features(t) for t in texts]) * quality_rules.GRID + 0.5) / quality_rules.GRID
+    sizes = [(base(t)[1], base(t)[0], len([x for x in t.split("\n") if WORD.search(x)])) for t in texts]
+    x = np.minimum(exact, quality_rules.GRID_MOST / quality_rules.GRID)
+    words, lines = (lower_quantile([s[k] for s in sizes], 0.5) for k in (1, 2))
+    middle = np.array([lower_quantile(c, 0.5) for c in x.T])
+    own = np.diag(noise(words * math.exp(middle[0]), words, lines))
+    scale = np.maximum([1.4826 * lower_quantile(np.abs(c - m), 0.5) for c, m in zip(x.T, middle, strict=True)], np.sqrt(np.diag(own)))
+    moments = lambda rows: (rows.mean(0), np.cov(rows.T, bias=True))
+    mean, cov = moments(np.floor(4096 * np.tanh((x - middle) / scale) + 0.5) / 4096)
+    starts = [(middle, np.diag(scale**2)), moments(x[(np.abs(x - middle) <= quality_rules.TRIM * scale).all(1)]), (middle + mean * scale, cov * np.outer(scale, scale)), moments(x)]
+    ended = []
+    for mean, cov in starts:
+        for _ in range(quality_rules.STEPS):
+            found = np.floor(quality_rules.CLASSES * np.log(squared(x, mean, cov + own) + 1e-9))
+            mean, cov = moments(x[found <= lower_quantile(found, quality_rules.SHARE)])
+            cov = cov * quality_rules.RAW_FACTOR
+        ended.append((np.linalg.det(cov + own), len(ended), mean, cov))
+    _, _, mean, cov = min(ended, key=lambda e: e[0])
+    mean, cov = moments(x[squared(x, mean, cov + own) <= quality_rules.REWEIGHTED_WITHIN])
+    cov = cov * quality_rules.REWEIGHTED_FACTOR
+    at = [noise(min(c, words * math.exp(mean[0])), min(n, words), min(k, lines)) for c, n, k in sizes]
+    return np.array([squared(e, mean, cov + np.diag(v)) for e, v in zip(exact, at, strict=True)])
 
 
 def group(seed, n):
@@ -88,6 +108,51 @@ def test_distances_against_numpy(spark):
     assert rejected and all(i % 1000 % 10 == 0 for i in rejected)
 
 
+def varied(i):
+    """A text whose four statistics all vary: symbols, repeated lines and repeated words come at rates of its own."""
+    rng = random.Random(i)
+    rate = max(0.02, rng.gauss(0.2, 0.03))
+    lines = [" ".join(w + "#" * (rng.random() < rate) for w in text(1000 * i + j, rng.randrange(6, 14)).split(" ")) for j in range(20)]
+    return "\n".join(lines + rng.sample(lines, k=rng.randrange(1, 6)))
+
+
+def test_large_group_and_any_partitioning(spark, make):
+    """20 000 rows of one group: distances as by numpy, and the same to the last bit in 1, 7 and 64 partitions."""
+    texts = [varied(i) for i in range(2000)]
+    rows = [(i, texts[i % 2000]) for i in range(19_600)] + [(20_000 + i, " ".join(f"{w}##" for w in text(i, 90).split(" "))) for i in range(400)]
+    docs = make(rows)
+    seen = [{r["doc_id"]: (r["distance"], r["kept"]) for r in quality(docs.repartition(p)).collect()} for p in (1, 7, 64)]
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 20_000
+    expected = brute_distances([t for _, t in rows])
+    got = np.array([seen[0][i][0] for i, _ in rows])
+    assert np.allclose(got, expected, rtol=1e-6, atol=1e-9)
+    assert not any(seen[0][20_000 + i][1] for i in range(400))
+    assert np.mean([seen[0][i][1] for i in range(19_600)]) > 0.98
+
+
+def test_estimate_of_a_normal_law(spark):
+    """20 000 vectors of a correlated normal law and 30 % broken ones: scatter and median distance are those of the clean ones."""
+    rng = np.random.default_rng(4)
+    cov = np.array([[0.04, 0.01, 0, 0.01], [0.01, 0.09, 0.02, 0], [0, 0.02, 0.05, -0.01], [0.01, 0, -0.01, 0.08]])
+    x = np.vstack([rng.multivariate_normal([2, 3, 2.5, 4], cov, 14_000), rng.multivariate_normal([2, 6, 2.5, 6], cov / 9, 6_000)])
+    cells = spark.createDataFrame([("g", *map(int, row), 1) for row in np.floor(x * quality_rules.GRID + 0.5)], "grp string, q0 long, q1 long, q2 long, q3 long, w long")
+    sizes = spark.createDataFrame([("g", d, 10**7, 20_000) for d in ("n_words", "n_lines")], "grp string, dim string, value long, w long")
+    row = quality_rules.estimates(Scratch(spark, "test"), cells, sizes).first()
+    found = np.array([[row[f"v{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])
+    mean = np.array([row[f"m{i}"] for i in range(4)])
+    assert np.abs(mean - [2, 3, 2.5, 4]).max() < 0.02 and np.abs(found - cov).max() < 0.01
+    d = squared(x, mean, found)
+    assert abs(np.median(d[:14_000]) - 3.357) < 0.15
+    assert np.mean(d[:14_000] > quality_rules.CUTOFF) < 0.003 and (d[14_000:] > quality_rules.CUTOFF).all()
+
+
+def test_many_groups_join_by_a_shuffle(docs, monkeypatch):
+    """Estimates that are too many to be broadcast give the same rows."""
+    one = sorted(map(str, quality(docs).collect()))
+    monkeypatch.setattr(quality_rules, "MOST_BROADCAST", 0)
+    assert sorted(map(str, quality(docs).collect())) == one
+
+
 def test_small_groups_pool(spark):
     """Groups that are too small join their language's pool; a pool that is too small rejects nothing."""
     rows = [(i, text(i, 80), "en", f"s{i}", 0) for i in range(60)] + [(99, text(99, 80).replace(" ", " # "), "en", "odd", 0)] + [(200 + i, text(i, 80).replace(" ", " # "), "fr", "x", 0) for i in range(5)]
@@ -114,11 +179,12 @@ def test_passing_keeps_columns(docs):
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5])
-def test_lower_quantile_is_the_engines(spark, n):
-    values = [float(i * i) for i in range(n)]
-    row = spark.createDataFrame([(v,) for v in values], "v double").selectExpr("percentile_approx(v, 0.5, 1000) m").first()
-    assert row["m"] == lower_quantile(values, 0.5)
-    assert statistics.median_low(values) == row["m"]
+def test_exact_median_of_counts(spark, n):
+    values = [i * i for i in range(n)]
+    counts = spark.createDataFrame([("g", v, 1 + v % 3) for v in values], "grp string, value long, w long")
+    flat = [v for v in values for _ in range(1 + v % 3)]
+    row = quality_rules._median(counts, ["grp"], "value").first()
+    assert row["value"] == lower_quantile(flat, 0.5) == statistics.median_low(flat)
 
 
 @pytest.mark.parametrize("percent", [40])
