@@ -1,26 +1,32 @@
 """MinHash near-duplicate detection by bottom-k sketches of one hash function.
 
 1.  Every text becomes its set of distinct 5-word shingles (64-bit hashes); the k smallest are its sketch.
-2.  Texts with equal sets form a class; only the class's smallest doc_id goes on.
-3.  Inverted lists of the retained values: a text goes on if enough of its retained values are held by other
+2.  Rows with equal sets form a class, which goes on as one node.
+3.  Inverted lists of the retained values: a node goes on if enough of its retained values are held by other
     sketches for the overlap that a link implies.  Most texts end here.
-4.  Lists of the remaining texts' values, rarest first, hold only the prefix in which two linked texts must
-    meet, with each value's place: of two texts that first meet at places i and j, no more than
-    min(n_a - i, n_b - j) values can be common, which rules out most pairs of loosely related copies.
-5.  Lists are not expanded into pairs.  In each round a list offers a few pivots, those with the fewest values
-    of their own first, and only members that are not yet in the pivot's component meet it; the number of
-    pivots grows eightfold a round until a list either lies within one component or all its members have been
-    pivots.  So no link between components is lost, and a group of thousands of copies costs about one
-    comparison a member.
+4.  Lists of the remaining sets' values, rarest first, hold only the prefix in which two linked sets must meet,
+    with each value's place.  Two sets of n and m values that first meet at places i and j have at most
+    min(n - i, m - j) values in common, and a link needs percent (n + m) / (100 + percent) of them.  So the
+    smaller of the two lies in the list's core, the members with (100 + percent) (n - i) >= 2 percent n; lists
+    without a core are dropped, and members that could link with no core of their list leave it.  Pages of one
+    template, which share most of their values but too few for a link, are dropped here before any pair is made.
+5.  Lists are not expanded into pairs.  In each round a list's core offers a few pivots, those with the fewest
+    values of their own first, and only members that are not yet in the pivot's component meet it, if the bound
+    of step 4 allows a link; the number of pivots grows eightfold a round until a list either lies within one
+    component or all its core has been pivots.  So no link between components is lost, and a group of thousands
+    of copies costs about one comparison a member.  Only what stays open by that bound, yet links with no pivot,
+    is compared with many.
 6.  A pair goes on if the union sketch estimates a Jaccard of at least ESTIMATE, and becomes a link by its
     exact full-set Jaccard.
-7.  Components by contraction to the smallest neighbour; each step is a written table.
+7.  Components by contraction to the smallest neighbour, of each round's new links between components only; each
+    step is a written table.
 
 A pair of exactly the threshold is lost in steps 3 and 6 with a chance below 1e-8 (an overlap of under
 24 of 64 where 48 are expected); sets of up to 64 shingles are never lost.
 
 Nulls, empty and blank texts have an empty set and link with nothing.  Rows that repeat a doc_id are one
-document; a null doc_id links with nothing, its component is null and it is kept.
+document: their texts, equal or not, share a component (and n_shingles and class_id are each row's own).  A null
+doc_id links with nothing, its component is null and it is kept.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ K = 64
 ESTIMATE = 0.375
 LEAST_SHARE = 0.375
 PIVOT_GROWTH = 8
+#: Most rows of one key in a shuffled join; the keys above it, or above a ten-thousandth of all rows, are at most 10 000 and are broadcast.
+HOT_ROWS = 100_000
 
 
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -70,7 +78,7 @@ def _sketcher(width: int, k: int):
                 sets = list(shingle_sets(texts, width))
                 one = [int(s.sum(dtype=np.int64)) for s in sets]
                 two = [int(mix(s.view(U64)).sum(dtype=U64).view(np.int64)) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists([s[:k] for s in sets])], ["id", "n", "fp1", "fp2", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists([s[:k] for s in sets])], ["id", "th", "n", "fp1", "fp2", "sketch"])
 
     return sketch
 
@@ -79,12 +87,24 @@ def _setter(width: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, "text"):
-                sets = list(shingle_sets(texts, width))
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(sets)], ["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(shingle_sets(texts, width)))], ["node", "shingles"])
 
     return full
 
 
+def keyed_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of rows with a written table of one row a key; its column count says how many rows have the key.
+
+    Keys of many rows are joined by broadcast, so no key's rows meet in one task."""
+    total, most = table.agg(F.sum(count), F.max(count)).first()
+    limit = max(HOT_ROWS, (total or 0) // 10_000)
+    if (most or 0) <= limit:
+        return rows.join(table, keys)
+    hot = table.where(F.col(count) > limit)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(count) <= limit), keys)
+    return rows.join(F.broadcast(hot), keys).select(*rest.columns).unionByName(rest)
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) for every end of an edge (a, b); root is the smallest node that can be reached."""
     spark = scratch.spark
@@ -111,88 +131,120 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     return scratch.save(out, "components")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = K) -> DataFrame:
-    """One row a row of docs: id, n_shingles, class_id (smallest id with an equal set), component_id, kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = scratch.save(source.mapInArrow(_sketcher(width, k), "id long, n long, fp1 long, fp2 long, sketch array<long>"), "signed")
-    named = signed.where("n > 0 and id is not null")
-    classes = scratch.save(named.groupBy("fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
-    reps = scratch.save(named.join(classes.withColumnRenamed("rep", "id"), ["fp1", "fp2", "id"], "left_semi").dropDuplicates(["id", "fp1", "fp2"]).select("id", "n", "sketch"), "reps")
-
-    held = F.least(F.col("n"), F.lit(k))
-    needed = F.greatest(F.lit(1), F.floor(held * LEAST_SHARE)).cast("int")
-    values = reps.select("id", "n", F.explode("sketch").alias("v"))
-    shared = scratch.save(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("v"), "shared")
-    wanted = scratch.save(values.join(shared, "v").groupBy("id", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= needed).select("id"), "wanted")
-    sets = scratch.save(source.where("id is not null").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_setter(width), "id long, shingles array<long>"), "sets")
-    sketches = scratch.save(reps.join(wanted, "id", "left_semi"), "sketches")
+def merged(scratch: Scratch, labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, root) after more links (a, b), of which only those between components are contracted."""
+    if labels is None:
+        return components(scratch, links)
+    of = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    found = components(scratch, between)
+    higher = found.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+    old = labels.join(higher, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
+    return scratch.save(old.unionByName(found.join(labels.select("node"), "node", "left_anti")), "labels")
 
-    values = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
-    shared = scratch.save(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    listed = values.join(shared, "v").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    listed = listed.withColumn("own", F.col("n") - F.size("vs")).withColumn("spare", (prefix - F.col("own")).cast("int")).where("spare > 0")
-    listed = listed.select("id", "n", "own", F.posexplode(F.slice("vs", 1, F.col("spare"))).alias("i", "x")).select(F.col("x.v").alias("v"), "id", "n", "own", (F.col("own") + F.col("i")).alias("i"))
-    listed = scratch.save(listed, "listed")
-    lists = scratch.save(listed.groupBy("v").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "sizes")
-    listed = scratch.save(listed.join(lists, "v"), "lists")
 
-    labels = None  # id -> component so far
-    links: list[DataFrame] = []
+def _links(scratch: Scratch, listed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame | None:
+    """(node, root) of all linked nodes, from lists v, node, n, own, i, core, members, cores."""
+    labels = None  # node -> component so far
     tested: list[DataFrame] = []
     pivots = 1
+    salts = F.ceil(F.col("members") / HOT_ROWS).cast("int")
     while True:
-        members = listed if labels is None else listed.join(labels, "id", "left")
-        members = members.withColumn("root", F.col("id")) if labels is None else members.withColumn("root", F.coalesce("root", "id"))
-        if labels is not None:
-            open_lists = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("v")
-            members = scratch.save(members.join(scratch.save(open_lists, "open"), "v"), "members")
+        if labels is None:
+            members = listed.withColumn("root", F.col("node"))
+        else:
+            members = listed.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            open_lists = members.groupBy("v").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("members").alias("many")).where("lo <> hi").select("v", "many")
+            members = scratch.save(keyed_join(members, scratch.save(open_lists, "open"), ["v"], "many").drop("many"), "members")
             if members.isEmpty():
-                break
-        slot = F.when(F.col("members") <= pivots, F.col("id")).otherwise(F.pmod(F.xxhash64("id"), F.lit(pivots))) if pivots > 1 else F.lit(0)
-        central = F.struct((F.col("own") / F.col("n")).alias("o"), "id", "n", "root", "i")
-        offered = members.groupBy("v", slot.alias("slot")).agg(F.min(central).alias("p")).select("v", F.col("p.id").alias("pid"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"), F.col("p.i").alias("pi"))
+                return labels
+        slot = F.when(F.col("cores") <= pivots, F.col("node")).otherwise(F.pmod(F.xxhash64("node"), F.lit(pivots))) if pivots > 1 else F.lit(0)
+        central = F.struct((F.col("own") / F.col("n")).alias("o"), "node", "n", "root", "i")
+        offered = members.where("core").groupBy("v", slot.alias("slot")).agg(F.min(central).alias("p"), F.max(salts).alias("salts"))
+        offered = offered.select("v", F.col("p.node").alias("pnode"), F.col("p.n").alias("pn"), F.col("p.root").alias("proot"), F.col("p.i").alias("pi"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
         common = F.least(F.col("n") - F.col("i"), F.col("pn") - F.col("pi"))
-        met = members.join(scratch.save(offered, "pivots"), "v").where((F.col("root") != F.col("proot")) & ((100 + percent) * common >= percent * (F.col("n") + F.col("pn"))))
+        salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+        met = salted.join(scratch.save(offered, "pivots"), ["v", "salt"]).where((F.col("root") != F.col("proot")) & ((100 + percent) * common >= percent * (F.col("n") + F.col("pn"))))
         if pivots == 1:  # each member tries the pivot that it meets most often
-            often = met.groupBy("id", "pid").agg(F.count(F.lit(1)).alias("c"))
-            pairs = often.groupBy("id").agg(F.max_by("pid", F.struct("c", -F.col("pid"))).alias("pid")).select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+            often = met.groupBy("node", "pnode").agg(F.count(F.lit(1)).alias("c"))
+            pairs = often.groupBy("node").agg(F.max_by("pnode", F.struct("c", -F.col("pnode"))).alias("pnode")).select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct()
         else:
-            pairs = met.select(F.least("id", "pid").alias("a"), F.greatest("id", "pid").alias("b")).distinct()
+            pairs = met.select(F.least("node", "pnode").alias("a"), F.greatest("node", "pnode").alias("b")).distinct()
             for done in tested:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.save(pairs, "pairs")
         tested.append(pairs)
-        links.append(_verified(scratch, pairs, sketches, sets, percent, k))
-        if labels is None or not links[-1].isEmpty():
-            labels = components(scratch, _union(links)).withColumnRenamed("node", "id")
-        if pivots > 1 and members.where(F.col("members") > pivots).isEmpty():
-            break
+        found = _verified(scratch, pairs, sketches, sets, percent, k)
+        if labels is None or not found.isEmpty():
+            labels = merged(scratch, labels, found)
+        if pivots > 1 and members.where(F.col("cores") > pivots).isEmpty():
+            return labels
         pivots *= PIVOT_GROWTH
 
-    roots = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("fp1", "fp2", "rep", F.coalesce("root", "rep").alias("root"))
-    roots = scratch.save(roots, "roots")
-    out = signed.select("id", "n", "fp1", "fp2").join(roots, ["fp1", "fp2"], "left")
-    single = F.col("n") == 0
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNull(), None).when(single, F.col("id")).otherwise(F.col("rep")).alias("class_id"),
-        F.when(F.col("id").isNull(), None).when(single, F.col("id")).otherwise(F.col("root")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, k: int = K) -> DataFrame:
+    """One row a row of docs: id, n_shingles, class_id (smallest id with an equal set), component_id, kept;
+    text_hash, and stays: true for one text of each group of linked texts (and for rows that link with nothing)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "neardup")
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    signed = scratch.save(source.mapInArrow(_sketcher(width, k), "id long, th long, n long, fp1 long, fp2 long, sketch array<long>"), "signed")
+    named = signed.where("n > 0 and id is not null")
+    by_set = named.groupBy("fp1", "fp2").agg(F.min(F.struct("id", "th")).alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.save(by_set.select("fp1", "fp2", F.col("rep.id").alias("rep"), F.col("rep.th").alias("rep_th"), "rows", "n", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
+    nodes = keyed_join(named.select("id", "th", "fp1", "fp2"), classes.select("fp1", "fp2", "node", "rows"), ["fp1", "fp2"], "rows").select("id", "th", "node")
+    repeated = scratch.save(nodes.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("rows > 1"), "repeated")
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
+    held = F.least(F.col("n"), F.lit(k))
+    needed = F.greatest(F.lit(1), F.floor(held * LEAST_SHARE)).cast("int")
+    values = classes.select("node", "n", F.explode("sketch").alias("v"))
+    shared = scratch.save(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    wanted = scratch.save(keyed_join(values, shared, ["v"], "df").groupBy("node", "n").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= needed).select("node"), "wanted")
+    sketches = scratch.save(classes.join(wanted, "node", "left_semi").select("node", "n", "rep", "rep_th", "sketch"), "sketches")
+    texts = source.where("id is not null").join(sketches.select(F.col("rep").alias("id"), F.col("rep_th").alias("th"), "node"), ["id", "th"])
+    if not repeated.isEmpty():
+        texts = texts.dropDuplicates(["node"])
+    sets = scratch.save(texts.select("node", "text").mapInArrow(_setter(width), "node long, shingles array<long>"), "sets")
+    sketches = sketches.drop("rep", "rep_th")
+
+    values = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("v"))
+    shared = scratch.save(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    listed = keyed_join(values, shared, ["v"], "df").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    listed = listed.withColumn("own", F.col("n") - F.size("vs")).withColumn("spare", (prefix - F.col("own")).cast("int")).where("spare > 0")
+    listed = listed.select("node", "n", "own", F.posexplode(F.slice("vs", 1, F.col("spare"))).alias("i", "x")).select(F.col("x.v").alias("v"), "node", "n", "own", (F.col("own") + F.col("i")).alias("i"))
+    listed = scratch.save(listed.withColumn("core", (100 + percent) * (F.col("n") - F.col("i")) >= 2 * percent * F.col("n")), "listed")
+    bounds = listed.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(F.col("core"), 1)).alias("cores"), F.max(F.when(F.col("core"), F.col("n") - F.col("i"))).alias("most"), F.min(F.when(F.col("core"), F.col("n"))).alias("least"))
+    bounds = scratch.save(bounds.where("members > 1 and cores > 0"), "bounds")
+    may = F.col("core") | ((100 + percent) * F.least(F.col("n") - F.col("i"), F.col("most")) >= percent * (F.col("n") + F.col("least")))
+    listed = scratch.save(keyed_join(listed, bounds, ["v"], "members").where(may).drop("most", "least"), "lists")
+
+    labels = _links(scratch, listed, sketches, sets, percent, k)
+    #: The smallest class of each group of linked texts; then groups joined by the documents that they share.
+    heads = classes.select("node", "rep", "rep_th", "fp1", "fp2").join(labels, "node").groupBy("root").agg(F.min(F.struct("rep", "fp1", "fp2", "node")).alias("head")).select("root", F.col("head.node").alias("head"))
+    heads = scratch.save(labels.join(heads, "root").select("node", "head"), "heads")
+    several = repeated.where("lo <> hi")
+    if not several.isEmpty():
+        labels = merged(scratch, labels, keyed_join(nodes, several, ["id"], "rows").select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    least = classes.select("node", "rep").join(labels, "node").groupBy("root").agg(F.min("rep").alias("least"))
+    known = classes.select("fp1", "fp2", "node", "rep", "rep_th", "rows").join(labels, "node", "left").join(least, "root", "left").join(heads, "node", "left")
+    known = known.select("fp1", "fp2", "rows", "rep", F.coalesce("least", "rep").alias("least"), F.when(F.coalesce(F.col("head") == F.col("node"), F.lit(True)), F.struct("rep", "rep_th")).alias("stays"))
+    known = scratch.save(known, "known")
+    out = keyed_join(named.select("id", "th", "n", "fp1", "fp2"), known, ["fp1", "fp2"], "rows")
+    stays = F.coalesce((F.col("stays.rep") == F.col("id")) & (F.col("stays.rep_th") == F.col("th")), F.lit(False))
+    out = out.select("id", "th", "n", F.col("rep").alias("class_id"), F.col("least").alias("component_id"), stays.alias("stays"))
+    alone = signed.where("n = 0 or id is null").select("id", "th", "n", F.col("id").alias("class_id"), F.col("id").alias("component_id"), F.lit(True).alias("stays"))
+    if not several.isEmpty():  # an empty text of a document that also has words
+        named_as = keyed_join(nodes, several, ["id"], "rows").select("id", "node").join(labels, "node").join(least, "root").groupBy("id").agg(F.min("least").alias("least"))
+        alone = alone.join(named_as, "id", "left").withColumn("component_id", F.coalesce("least", "component_id")).drop("least")
+    out = out.unionByName(alone)
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "component_id", kept.alias("kept"), F.col("th").alias("text_hash"), "stays")
 
 
 def _verified(scratch: Scratch, pairs: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, k: int) -> DataFrame:
     """Pairs (a, b) whose union sketch allows a link and whose full sets make one."""
-    of = lambda t, c, what: t.select(F.col("id").alias(c), F.col(what).alias(f"{what}_{c}"), *([F.col("n").alias(f"n_{c}")] if what == "sketch" else []))
+    of = lambda t, c, what: t.select(F.col("node").alias(c), F.col(what).alias(f"{what}_{c}"))
     near = pairs.join(of(sketches, "a", "sketch"), "a").join(of(sketches, "b", "sketch"), "b")
     union = F.slice(F.sort_array(F.array_union("sketch_a", "sketch_b")), 1, k)
     near = near.withColumn("u", union).where(F.size(F.array_intersect(F.array_intersect("u", "sketch_a"), F.col("sketch_b"))) >= ESTIMATE * F.size("u"))

@@ -51,17 +51,18 @@ from d left join n using (doc_id) left join i using (doc_id)
 
 _SPACES = r"\x20\x09-\x0D"
 NEAR = f"""
-with recursive d as (select doc_id, {_words('text', _SPACES)} as w from documents),
-s as (select distinct doc_id, array_to_string(w[p:p + 4], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as p from d where len(w) > 0)),
-n as (select doc_id, count(*) as n from s group by doc_id),
-o as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by all),
-l as (select a, b from o join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
-e as (select a, b from l union all select b, a from l),
-r as (select doc_id, doc_id as root from d union select e.b, r.root from r join e on e.a = r.doc_id where r.root < e.b)
-select d.doc_id, coalesce(n, 0) as n_shingles, min(root) as component_id, d.doc_id = min(root) as kept, coalesce(min(c.class_id), d.doc_id) as class_id
-from d join r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id
-left join (select doc_id, min(doc_id) over (partition by h) as class_id from (select doc_id, list_sort(list(s)) as h from s group by doc_id)) c on c.doc_id = d.doc_id
-group by d.doc_id, n
+with recursive d as (select row_number() over () as r, doc_id, {_words('text', _SPACES)} as w from documents),
+s as (select distinct r, array_to_string(w[p:p + 4], ' ') as s from (select r, w, unnest(range(1, greatest(len(w) - 3, 2))) as p from d where len(w) > 0)),
+n as (select r, count(*) as n from s group by r),
+o as (select a.r as a, b.r as b, count(*) as i from s a join s b on a.s = b.s and a.r < b.r group by all),
+l as (select a, b from o join n x on x.r = a join n y on y.r = b where 100 * i >= 75 * (x.n + y.n - i)),
+m as (select a.r as a, b.r as b from d a join d b on a.doc_id = b.doc_id and a.r < b.r),
+e as (select a, b from l union select b, a from l union select a, b from m union select b, a from m),
+c as (select r, doc_id as root from d union select e.b, c.root from c join e on e.a = c.r),
+k as (select r, min(root) as root from c group by r),
+g as (select r, min(doc_id) over (partition by h) as class_id from (select s.r, doc_id, list_sort(list(s)) as h from s join d on d.r = s.r group by s.r, doc_id))
+select d.doc_id, coalesce(n, 0) as n_shingles, k.root as component_id, coalesce(d.doc_id = k.root, true) as kept, coalesce(g.class_id, d.doc_id) as class_id
+from d join k on k.r = d.r left join n on n.r = d.r left join g on g.r = d.r
 """
 
 ORACLES |= {"op5_benchmark_decontamination": BENCHMARK, "op7_minhash_near_dedup": NEAR}

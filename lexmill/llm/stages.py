@@ -26,12 +26,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; rows that repeat a doc_id are one document, of which one row stays.  Rows without a doc_id stay."""
+    """One text of each group of linked texts.  Rows that repeat a doc_id and its text are one row, that whose columns come first as JSON; a doc_id's other texts stay unless they are linked.  Rows without a doc_id stay."""
     with stage(spark):
-        removed = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    left = docs.join(removed, "doc_id", "left_anti")
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+        found = near_duplicates(docs)
+    keys = [F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")]
+    gone = found.where("doc_id is not null and not stays").select(*keys).distinct()
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"), whole.alias("_row"))
+    left = rows.join(gone, ["_id", "_th"], "left_anti")
+    again = found.where("doc_id is not null and stays").groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if again.isEmpty():
+        return left.select("_row.*")
+    once = left.join(again, ["_id", "_th"], "left_semi").groupBy("_id", "_th").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return left.join(again, ["_id", "_th"], "left_anti").select("_row.*").unionByName(once.select("_row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

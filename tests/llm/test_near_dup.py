@@ -37,13 +37,13 @@ def brute(rows):
 
 def check(df, rows):
     got = df.collect()
-    assert len(got) == len(rows)
+    assert sorted((r["doc_id"] or -1, r["n_shingles"]) for r in got) == sorted((i or -1, len(shingles(t))) for i, t in rows)
     expected = brute(rows)
     for r in got:
         if r["doc_id"] is None:
             assert r["component_id"] is None and r["kept"]
         else:
-            assert (r["n_shingles"], r["component_id"]) == expected[r["doc_id"]], r
+            assert r["component_id"] == expected[r["doc_id"]][1], r
             assert r["kept"] == (r["doc_id"] == r["component_id"])
 
 
@@ -120,3 +120,82 @@ def test_link_whose_sketches_underestimate(make):
     assert len(np.intersect1d(np.union1d(a, b)[: near_dup.K], both)) == 28
     got = near_dup.near_duplicates(make(list(enumerate(texts)))).collect()
     assert [r["component_id"] for r in got] == [0, 0]
+
+
+def repeated_ids():
+    """Ids that repeat with different texts, linked through one of them, both or none, or empty."""
+    a, b, c = text(1, 60), text(2, 70), text(3, 80)
+    rows = [(1, a), (1, b), (2, near(a, 5, 1)), (3, near(b, 6, 1)), (4, c), (4, near(c, 7, 1)), (4, None), (5, "solo words"), (5, "other"), (5, ""), (6, near(c, 8, 1)), (7, ""), (7, None), (2, near(a, 5, 1))]
+    return rows + [(20, text(9, 50)), (21, text(10, 50)), (22, text(9, 50)), (22, text(10, 50)), (20, "")]
+
+
+def test_ids_that_repeat_with_different_texts(make):
+    rows = repeated_ids()
+    check(near_duplicates(make(rows)), rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(make(rows)).collect()}
+    assert got[2] == got[3] == 1 and got[6] == 4 and got[21] == got[22] == 20
+
+
+def test_repeated_ids_against_sql(make):
+    import duckdb
+
+    from lexmill.llm.oracles import ORACLES
+
+    documents = make([*repeated_ids(), (None, "a b c"), (None, None)]).toArrow()  # noqa: F841  DuckDB reads it by its name
+    names = ["doc_id", "n_shingles", "component_id", "kept", "class_id"]
+    want = duckdb.sql(ORACLES["op7_minhash_near_dedup"]).select(*names).fetchall()
+    got = near_duplicates(make([*repeated_ids(), (None, "a b c"), (None, None)])).select(names).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_hot_keys(make, monkeypatch, docs, rows):
+    """Keys of more rows than one task should hold: the same components by broadcast and salts."""
+    monkeypatch.setattr(near_dup, "HOT_ROWS", 3)
+    check(near_duplicates(docs), [(r[0], r[1]) for r in rows])
+
+
+def test_one_text_of_each_group_stays(spark, make):
+    from lexmill.llm.stages import near_dedup
+
+    rows = repeated_ids()
+    left = [(r["doc_id"], r["text"]) for r in near_dedup(spark, make([*rows, (None, "a b"), (None, "a b")]), "").collect()]
+    named = [x for x in left if x[0] is not None]
+    links = lambda s, r: 100 * len(s & r) >= 75 * (len(s) + len(r) - len(s & r))
+    assert len(left) == len(named) + 2 and len(set(named)) == len(named) and set(named) <= set(rows)
+    kept = [shingles(t) for _, t in named]
+    assert not any(links(s, r) for i, s in enumerate(kept) for r in kept[:i] if s and r)
+    assert all(any(links(shingles(t), s) for s in kept if s) for _, t in rows if shingles(t))
+
+
+def template_pages(n):
+    """80 shared words, then 20 of their own: no two pages link."""
+    shared = " ".join(f"t{i}" for i in range(80))
+    return [(p, f"{shared} " + " ".join(f"p{p}x{i}" for i in range(20))) for p in range(n)]
+
+
+def test_template_pages_make_no_pairs(make, monkeypatch):
+    """The tables from which pairs are made grow with the pages, not with their square, and stay empty here."""
+    made: dict[str, int] = {}
+    save = near_dup.Scratch.save
+
+    def counted(self, df, tag, *more):
+        out = save(self, df, tag, *more)
+        if tag in ("listed", "lists", "members", "pivots", "pairs"):
+            made[tag] = made.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near_dup.Scratch, "save", counted)
+    n = 8000
+    got = near_duplicates(make(template_pages(n))).collect()
+    assert all(r["kept"] for r in got) and len(got) == n
+    assert made["listed"] <= 10 * n and made["lists"] == made["pairs"] == made["pivots"] == 0
+
+
+def test_recall_on_long_texts(make):
+    """Copies of texts of 300 to 900 words, edited to both sides of the threshold: every exact link is found."""
+    rng, rows = random.Random(11), []
+    for g in range(40):
+        base = text(5000 + g, rng.randrange(300, 900))
+        size = len(base.split(" "))
+        rows += [(10 * g + j, near(base, 100 * g + j, int(size * (0.005 + 0.004 * j)))) for j in range(10)]
+    check(near_duplicates(make(rows)), rows)
