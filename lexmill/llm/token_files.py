@@ -12,9 +12,13 @@ and works on any store).  A block holds
 
 so that any document, or any range of its ids, is decoded from its own symbols and the rules alone.
 
-Re-Pair runs in rounds.  A round counts all adjacent pairs exactly, makes rules for the most frequent ones and
-replaces their occurrences that don't overlap; no pair crosses documents.  It ends when no pair is frequent
-enough, the ids of the symbol type are used up, or after ROUNDS rounds.
+Re-Pair runs in rounds.  A round counts adjacent pairs exactly, makes rules for those at most SPREAD times rarer
+than the most frequent one, and replaces their occurrences that don't overlap; no pair crosses documents.  It ends
+when no pair is left that occurs LEAST_COUNT times.  A pair that was once too rare stays so, as a replacement only
+adds pairs with a new symbol; so later rounds count only pairs that are frequent or new.
+
+Pieces of text are told apart by a hash, and by their bytes wherever a hash is met again.  Tokenizers whose
+pre-tokenizer is not the byte-level one encode whole texts.
 
 Null and empty texts are the end id alone.  Rows with a null id come first; rows of one id keep their order
 in the input.
@@ -22,6 +26,7 @@ in the input.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -38,8 +43,8 @@ from .words import BYTE_VALUE, U64, run_hashes, slices
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 4
 LEAST_COUNT = 24
+SPREAD = 16
 PIECES_HELD = 2_500_000
 JOINED = 256
 #: Slots, a power of two, that rule out rare pairs before the rest is sorted and counted exactly.
@@ -70,13 +75,15 @@ class Encoder:
         self.bytes_of = np.zeros(self.size, np.int64)
         for token, i in self.model.get_vocab().items():
             self.bytes_of[i] = len(token.encode()) if i in added else len(token)
+        self.by_pieces = _byte_level(json.loads(self.model.to_str()))
         self._clear()
 
     def _clear(self) -> None:
-        #: Sorted hashes of the pieces held, and for each its row in start, count and size.
+        #: Sorted hashes of the pieces held, and for each its row in start, count, length and at.
         self.known, self.row = np.empty(0, U64), np.empty(0, np.int64)
-        self.start, self.count, self.length, self.seen = (np.empty(0, np.int64) for _ in range(4))
+        self.start, self.count, self.length, self.seen, self.at = (np.empty(0, np.int64) for _ in range(5))
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.raw, self.filled = np.empty(1 << 16, np.uint8), 0
 
     def _forget(self) -> None:
         """Keeps the pieces that came up in two chunks or more, if they are few enough to leave room."""
@@ -84,13 +91,13 @@ class Encoder:
         if 2 * kept.sum() > PIECES_HELD:
             self._clear()
             return
-        flat = take_runs(self.flat, self.start[kept], self.count[kept])
+        flat, raw = take_runs(self.flat, self.start[kept], self.count[kept]), take_runs(self.raw, self.at[kept], self.length[kept])
         place = np.cumsum(kept) - 1
         held = kept[self.row]
         self.known, self.row = self.known[held], place[self.row[held]]
         self.count, self.length, self.seen = self.count[kept], self.length[kept], self.seen[kept]
-        self.start = np.cumsum(self.count) - self.count
-        self.flat, self.used = flat, len(flat)
+        self.start, self.at = np.cumsum(self.count) - self.count, np.cumsum(self.length) - self.length
+        self.flat, self.used, self.raw, self.filled = flat, len(flat), raw, len(raw)
 
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each piece has.  Pieces with a space ahead are joined; a text's first piece is not."""
@@ -110,15 +117,17 @@ class Encoder:
 
     def _add(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
         ids, counts = self._encoded(pieces)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), 1 << 16), np.uint32)])
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.flat, self.raw = _roomy(self.flat, self.used + len(ids)), _roomy(self.raw, self.filled + int(lengths.sum()))
         self.flat[self.used : self.used + len(ids)] = ids
+        self.raw[self.filled : self.filled + int(lengths.sum())] = np.frombuffer(b"".join(pieces), np.uint8)
         rows = len(self.start) + np.arange(len(pieces))
         self.start = np.concatenate([self.start, self.used + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
-        self.length = np.concatenate([self.length, np.fromiter(map(len, pieces), np.int64, len(pieces))])
+        self.length = np.concatenate([self.length, lengths])
+        self.at = np.concatenate([self.at, self.filled + np.cumsum(lengths) - lengths])
         self.seen = np.concatenate([self.seen, np.zeros(len(pieces), np.int64)])
-        self.used += len(ids)
+        self.used, self.filled = self.used + len(ids), self.filled + int(lengths.sum())
         at = np.searchsorted(self.known, hashes)
         self.known, self.row = np.insert(self.known, at, hashes), np.insert(self.row, at, rows)
 
@@ -132,6 +141,17 @@ class Encoder:
 
     def __call__(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has, its end id included."""
+        ids, totals = (self._pieced(texts) if self.by_pieces else None) or self._whole(texts)
+        if end is None:
+            return ids, totals
+        return np.insert(ids, np.cumsum(totals), np.uint32(end)), totals + 1
+
+    def _whole(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.model.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+        return np.fromiter(chain.from_iterable(e.ids for e in found), np.uint32), np.fromiter((len(e.ids) for e in found), np.int64, len(texts))
+
+    def _pieced(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        """As __call__ without ends; None if two different pieces have one hash."""
         if len(self.start) > PIECES_HELD:
             self._forget()
         whole = b"".join(texts)
@@ -151,15 +171,33 @@ class Encoder:
             spans = zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)
             self._add(hashes[new], [whole[a:b] for a, b in spans])
             rows = self._rows(hashes, lengths)
+        if (rows < 0).any() or not self._same(data, starts, ends, first, of, rows):
+            return None
         self.seen[rows] += 1
         row = rows[of]
         counts = self.count[row]
         ids = take_runs(self.flat, self.start[row], counts)
         upto = np.concatenate([[0], np.cumsum(counts)])
-        totals = np.diff(upto[np.searchsorted(starts, text_ends)], prepend=0)
-        if end is None:
-            return ids, totals
-        return np.insert(ids, np.cumsum(totals), np.uint32(end)), totals + 1
+        return ids, np.diff(upto[np.searchsorted(starts, text_ends)], prepend=0)
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, of: np.ndarray, rows: np.ndarray) -> bool:
+        """Whether every piece has the bytes of the first one with its hash, and those the bytes that are held."""
+        lengths = (ends - starts)[first]
+        if not np.array_equal(lengths[of], ends - starts):
+            return False
+        return np.array_equal(take_runs(data, starts[first[of]], ends - starts), data) and np.array_equal(take_runs(data, starts[first], lengths), take_runs(self.raw, self.at[rows], lengths))
+
+
+def _roomy(values: np.ndarray, n: int) -> np.ndarray:
+    """values, or a copy at least twice as long if n don't fit."""
+    return values if n <= len(values) else np.concatenate([values, np.empty(max(n - len(values), len(values)), values.dtype)])
+
+
+def _byte_level(made: dict) -> bool:
+    """Whether texts may be cut ahead of a space: no normaliser, the byte-level pre-tokenizer, and no added token that takes in spaces."""
+    ahead = made.get("pre_tokenizer") or {}
+    plain = not made.get("normalizer") and ahead.get("type") == "ByteLevel" and ahead.get("use_regex", True) and not ahead.get("add_prefix_space")
+    return plain and not made["model"].get("dropout") and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in made.get("added_tokens", []))
 
 
 def take_runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -175,41 +213,45 @@ def take_runs(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
     return values[np.cumsum(at)]
 
 
-def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rules, expanded, symbols, ends) of a block; a rule's id is base plus its row."""
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(33 - SLOTS.bit_length())
+
+
+def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None = None, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rules, expanded, symbols, ends) of a block; a rule's id is base plus its row.  rounds: None until no pair occurs least times."""
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     last[np.cumsum(counts)[counts > 0] - 1] = True
-    short = base < (1 << 16) - 1024
-    room = (1 << 16) - base if short else 1 << 20
-    key_type, bits = (np.uint32, 16) if short else (np.uint64, 32)
-    shift = np.uint32(33 - SLOTS.bit_length())
+    live = ~last  # where a pair begins that may be frequent
     rules: list[np.ndarray] = []
-    size = np.ones(base + room, np.uint32)
-    made = 0
-    for done in range(rounds):
-        if len(symbols) < 2 or made >= room:
-            break
-        keys = (symbols[:-1].astype(key_type) << key_type(bits)) | symbols[1:]
-        slot = ((symbols[:-1] * np.uint32(0x9E3779B1)) ^ (symbols[1:] * np.uint32(0x85EBCA77))) >> shift
-        at = np.flatnonzero(~last[:-1])
-        at = at[np.bincount(slot[at], minlength=SLOTS)[slot[at]] >= least]
-        found = np.sort(keys[at])
+    size, made, done = np.ones(base, np.uint32), 0, 0
+    while rounds is None or done < rounds:
+        done += 1
+        at = np.flatnonzero(live)
+        slot = _slots(symbols[at], symbols[at + 1])
+        fits = np.bincount(slot, minlength=SLOTS)[slot] >= least
+        live[at[~fits]] = False
+        at = at[fits]
+        key_type, bits = (np.uint32, 16) if base + made <= 1 << 16 else (np.uint64, 32)
+        keys = (symbols[at].astype(key_type) << key_type(bits)) | symbols[at + 1]
+        found = np.sort(keys)
         begin = np.flatnonzero(np.append(True, found[1:] != found[:-1])[: len(found)])
         n = np.diff(begin, append=len(found))
         often = np.flatnonzero(n >= least)
-        often = often[np.argsort(-n[often], kind="stable")][: min(room - made, max(256, (room - made) // 2 if done + 1 < rounds else room))]
         if not len(often):
             break
-        pairs = found[begin[often]]
-        order = np.argsort(pairs)
-        taken = np.zeros(SLOTS, bool)
-        taken[(((pairs >> key_type(bits)).astype(np.uint32) * np.uint32(0x9E3779B1)) ^ ((pairs & key_type((1 << bits) - 1)).astype(np.uint32) * np.uint32(0x85EBCA77))) >> shift] = True
-        at = at[taken[slot[at]]]
-        place = np.minimum(np.searchsorted(pairs[order], keys[at]), len(pairs) - 1)
-        of = order[place]
-        same = pairs[of] == keys[at]
+        pairs, n = found[begin[often]], n[often]
+        of = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        same = pairs[of] == keys
+        live[at[~same]] = False
         at, of = at[same], of[same]
+        # The rank of each pair that is replaced now, most frequent first.
+        order = np.argsort(-n, kind="stable")
+        order = order[n[order] >= n[order[0]] // SPREAD]
+        rank = np.full(len(pairs), -1)
+        rank[order] = np.arange(len(order))
+        of = rank[of]
+        at, of = at[of >= 0], of[of >= 0]
         # Of two occurrences that overlap the more frequent pair's stays; in a run of one pair, every other.
         joined = np.diff(at, prepend=-2) == 1
         same = joined & (np.diff(of, prepend=-1) == 0)
@@ -220,17 +262,20 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS,
         keep[1:] &= ~joined[1:] | (weight[1:] < weight[:-1])
         keep[:-1] &= ~joined[1:] | (weight[:-1] < weight[1:])
         at, of = at[keep], of[keep]
-        used = np.flatnonzero(np.bincount(of, minlength=len(often)))
-        new = np.empty(len(often), np.int64)
+        used = np.flatnonzero(np.bincount(of, minlength=len(order)))
+        new = np.empty(len(order), np.int64)
         new[used] = np.arange(len(used))
-        pair = pairs[used]
+        pair = pairs[order[used]]
         rules.append(np.stack([pair >> key_type(bits), pair & key_type((1 << bits) - 1)], 1).astype(np.uint32))
-        size[base + made : base + made + len(used)] = size[rules[-1][:, 0]] + size[rules[-1][:, 1]]
+        size = np.concatenate([size, size[rules[-1][:, 0]] + size[rules[-1][:, 1]]])
         symbols[at] = (base + made + new[of]).astype(np.uint32)
         last[at] = last[at + 1]
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+        live &= ~last
         stay = np.ones(len(symbols), bool)
         stay[at + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        symbols, last, live = symbols[stay], last[stay], live[stay]
         made += len(used)
     rule = np.concatenate(rules) if rules else np.empty((0, 2), np.uint32)
     ends = np.zeros(len(counts), np.uint32)

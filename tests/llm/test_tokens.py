@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -133,3 +134,49 @@ def test_first_round_replaces_every_frequent_pair():
     rules, _, symbols, _ = repair(ids, np.full(len(ids) // 2, 2), 50_000, rounds=1)
     assert set(map(tuple, rules.tolist())) == set(map(tuple, pairs.tolist()))
     assert len(symbols) == len(ids) // 2
+
+
+def left_over(symbols, ends):
+    """The most frequent pair that is left, and how often it occurs."""
+    closed = set((ends - 1).tolist())
+    pairs = Counter((int(a), int(b)) for i, (a, b) in enumerate(zip(symbols[:-1], symbols[1:], strict=True)) if i not in closed)
+    return pairs.most_common(1)[0][1] if pairs else 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), max_size=80), max_size=8), st.integers(2, 6))
+def test_no_frequent_pair_is_left(docs, least):
+    counts = np.array([len(d) for d in docs], np.int64)
+    _, _, symbols, ends = repair(np.array([x for d in docs for x in d], np.uint32), counts, 7, None, least)
+    assert left_over(symbols, ends) < least
+
+
+@pytest.mark.parametrize("base", [50_257, 65_400, 70_000])
+def test_no_frequent_pair_is_left_in_a_block(base):
+    """Ids of a skewed law, more rules than two bytes can name for the second base."""
+    ids = np.minimum(np.random.default_rng(5).zipf(1.3, 150_000) - 1, 50_000).astype(np.uint32)
+    counts = np.full(1500, 100)
+    rules, expanded, symbols, ends = repair(ids, counts, base, None, 6)
+    assert left_over(symbols, ends) < 6 and expanded.min() >= 2
+    width = 2 if base + len(rules) <= 1 << 16 else 4
+    assert width == (2 if base == 50_257 else 4)
+    block = Block({"symbol_bytes": width, "base": base, "ids": list(range(1500)), "n_tokens": counts.astype("<u4").tobytes(), "ends": ends.astype("<u4").tobytes(), "rules": rules.astype(f"<u{width}").tobytes(), "expanded": expanded.astype("<u4").tobytes(), "symbols": symbols.astype(f"<u{width}").tobytes()})
+    assert (block.expand(block.symbols) == ids).all()
+
+
+def test_pieces_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash that knows only lengths, ids are still the tokenizer's."""
+    monkeypatch.setattr(token_files, "run_hashes", lambda data, starts, ends, values: (ends - starts).astype(np.uint64))
+    small = Encoder(PATH)
+    for texts in (["one two six ten"], ["abc abd"], ["ten six", "two one abc", ""]):
+        ids, counts = small([t.encode() for t in texts], 2)
+        assert ids.tolist() == [i for t in texts for i in [*MODEL.encode(t, add_special_tokens=False).ids, 2]] and len(counts) == len(texts)
+
+
+def test_another_pre_tokenizer_encodes_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    model, other = Tokenizer.from_file(path), Encoder(path)
+    assert not other.by_pieces and Encoder(PATH).by_pieces
+    texts = ["It's  a Test", "", "\n x y"]
+    ids, counts = other([t.encode() for t in texts], None)
+    assert ids.tolist() == [i for t in texts for i in model.encode(t, add_special_tokens=False).ids] and counts[1] == 0
