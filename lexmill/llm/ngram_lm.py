@@ -1,22 +1,26 @@
-"""A Katz back-off bigram model of the corpus, and the probability of every text under it.
+"""A Katz back-off n-gram model of the corpus, and the probability of every text under it.
 
-Tokens are a text's words (A-Z lower-cased) and then one end; the first token's context is the begin mark.
-With c the training counts, N their sum and d the Good-Turing discounts,
+Tokens are a text's words (A-Z lower-cased) and then one end; a begin mark stands ahead of the first token.  A
+token's context is what precedes it, at most ORDER - 1 symbols, the begin mark included.  With c the training
+counts, N the number of training tokens, d the Good-Turing discounts of an order, and h' the context h without
+its first symbol,
 
     p(w)     = d c(w) / N             for words of the training texts; the mass left is that of unknown words
-    p(w | h) = d c(h w) / c(h)        for bigrams of the training texts
-    p(w | h) = a(h) p(w)              otherwise, a(h) = (1 - sum of the seen p(w | h)) / (1 - sum of their p(w))
-
-and a(h) = 1 for contexts that were never seen.  So the probabilities of all tokens, "unknown" counting as
-one token, sum to 1 in every context.  Discounts follow Katz for counts up to MAX_DISCOUNTED; above it 0.01 of
-a count is set aside, so that every context keeps mass for unseen words.  Where counts of counts are too few
-for Good-Turing, fewer of them are discounted.
-
-Counts live in tables that are partitioned by a hash of the word, the bigram or the context.  Texts are cut
-into blocks of up to BLOCK_WORDS words.  A block asks the partitions for the counts of its distinct words and
-bigrams, as one packed row a partition, and gets packed answers; so a word or bigram crosses the network once
-a block, however frequent it is, and no partition holds a context's bigrams together.  Of the blocks that ask
-for a bigram one is named its owner and reports its share of the context's sums.
+    p(w | h) = d c(h w) / c(h)        for n-grams of the training texts
+    p(w | h) = a(h) p(w | h')         otherwise, a(h) = (1 - sum of the seen p(w | h)) / (1 - sum of their p(w | h'))
+
+recursively, and a(h) = 1 for contexts that were never seen.  So the probabilities of all tokens, "unknown"
+counting as one token, sum to 1 in every context.  Discounts follow Katz for counts up to MAX_DISCOUNTED; above
+it 0.01 of a count is set aside, so that every context keeps mass for unseen words.  Where counts of counts are
+too few for Good-Turing, fewer of them are discounted.
+
+Counts live in tables that are partitioned by ranges of a hash of the n-gram or the context; the number of
+partitions follows the number of tokens.  Texts are cut into blocks of up to BLOCK_WORDS words.  A block asks the
+partitions for the counts of its distinct n-grams, as one packed row a partition, and gets packed answers; so an
+n-gram crosses the network once a block, however frequent it is, and no partition holds a context's n-grams
+together.  From three words on, a block asks only for n-grams whose first and last part both occur in other
+blocks as well: the others are its own, and it counts them itself.  Of the blocks that ask for an n-gram one is
+named its owner and reports its share of the context's sums.
 
 Null and empty texts are the end alone.  Rows that repeat an id are scored, and learnt from, each.
 A null id counts as the empty text in the hash that splits training from held-out rows.
@@ -24,7 +28,8 @@ A null id counts as the empty text in the hash that splits training from held-ou
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,10 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .words import U64, mix, slices, word_hashes
 
-BLOCK_WORDS = 3 << 20
+ORDER = 3
+BLOCK_WORDS = 5 << 19
+#: Tokens of all texts to a partition of the tables.
+PART_TOKENS = 4 << 20
 MAX_DISCOUNTED = 5
 SET_ASIDE = 0.01
 END, BEGIN = (mix(np.array([x], U64))[0] for x in (1, 2))
@@ -100,7 +108,7 @@ def _blocks(block_words: int):
             order = np.argsort(-freq, kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            row = {"block": part + number, "ids": list(ids), "lengths": pack((n + 1).astype("<u4")), "train": pack(np.array(train, np.uint8)), "words": pack_sorted(words), "rank": pack(rank), "seq": pack(rank[seq])}
+            row = {"block": part + number, "tokens": len(tokens), "ids": list(ids), "lengths": pack((n + 1).astype("<u4")), "train": pack(np.array(train, np.uint8)), "words": pack_sorted(words), "rank": pack(rank), "seq": pack(rank[seq])}
             for x in (hashes, lengths, ids, train):
                 x.clear()
             return pa.RecordBatch.from_pylist([row], _BLOCK)
@@ -121,57 +129,119 @@ def _blocks(block_words: int):
     return cut
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("lengths", "train", "words", "rank", "seq")]])
-BLOCK_SCHEMA = "block long, ids array<long>, lengths binary, train binary, words binary, rank binary, seq binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("tokens", pa.int64()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("lengths", "train", "words", "rank", "seq")]])
+BLOCK_SCHEMA = "block long, tokens long, ids array<long>, lengths binary, train binary, words binary, rank binary, seq binary"
+
+
+@dataclass
+class Level:
+    """The distinct n-grams of a block for one n, in the order of their hashes."""
+
+    keys: np.ndarray
+    #: Each token's n-gram, -1 where there are too few symbols ahead.
+    of: np.ndarray
+    #: Each n-gram's first n - 1 symbols as a place in the level below (for pairs, len(words) is the begin mark), its last word, and its last n - 1 symbols.
+    context: np.ndarray
+    word: np.ndarray
+    suffix: np.ndarray
+    #: Counts in the block's training texts.
+    local: np.ndarray
 
 
 class Block:
-    """Tokens of a block as places in its sorted words, its distinct bigrams in the order of their hashes."""
+    """Tokens of a block as places in its sorted words, and its n-grams."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, order: int):
         self.number, self.ids = row["block"], row["ids"]
         self.lengths = unpack(row["lengths"], "<u4").astype(np.int64)
         self.train = np.repeat(unpack(row["train"], "u1").astype(bool), self.lengths)
         self.words = unpack_sorted(row["words"])
-        place = np.empty(len(self.words), np.int64)
-        place[unpack(row["rank"], "<u4")] = np.arange(len(self.words))
+        place = np.empty(len(self.words), np.int32)
+        place[unpack(row["rank"], "<u4")] = np.arange(len(self.words), dtype=np.int32)
         self.tokens = place[unpack(row["seq"], "<u4")]
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-
-    def bigrams(self) -> None:
-        """context and word of each distinct bigram (context len(words) is the begin mark), their hashes, and each token's bigram."""
-        v = len(self.words)
-        before = np.empty_like(self.tokens)
-        before[1:] = self.tokens[:-1]
-        before[np.cumsum(self.lengths) - self.lengths] = v
-        self.before = before
-        codes, of = np.unique(before * v + self.tokens, return_inverse=True)
-        context, word = codes // v, codes % v
-        hashed = mix(mix(np.append(self.words, BEGIN)[context]) ^ self.words[word])
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
+        none = np.empty(0, np.int32)
+        self.levels = [None, Level(self.words, self.tokens, none, none, none, np.bincount(self.tokens[self.train], minlength=len(self.words)))]
+        for n in range(2, order + 1):
+            self.levels.append(self._level(n))
+
+    def contexts(self, n: int) -> np.ndarray:
+        """Hashes of the contexts of n-grams."""
+        return np.append(self.words, BEGIN) if n == 2 else self.levels[n - 1].keys
+
+    def _level(self, n: int) -> Level:
+        v, below = len(self.words), self.levels[n - 1]
+        begins = np.cumsum(self.lengths) - self.lengths
+        ahead = np.arange(len(self.tokens)) - np.repeat(begins, self.lengths)
+        at = np.flatnonzero(ahead >= n - 2)
+        before = below.of[at - 1].astype(np.int64)
+        if n == 2:
+            before[begins] = v
+        codes = before * v + self.tokens[at]
+        distinct, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        context, word = distinct // v, distinct % v
+        hashed = mix(mix(self.contexts(n)[context]) ^ self.words[word])
         order = np.argsort(hashed)
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        self.context, self.word, self.hashes, self.bigram = context[order], word[order], hashed[order], back[of]
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
+        of = np.full(len(self.tokens), -1, np.int32)
+        of[at] = back[inverse]
+        return Level(hashed[order], of, context[order], word[order], below.of[at[first]][order], np.bincount(of[at][self.train[at]], minlength=len(order)))
+
+
+def _stats(counts: np.ndarray) -> list[int]:
+    """N, V, n1, n2, .. of counts."""
+    few = np.bincount(counts[counts <= MAX_DISCOUNTED + 1], minlength=MAX_DISCOUNTED + 2)
+    return [int(counts.sum()), int((counts > 0).sum()), *map(int, few[1:])]
 
 
-_ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-ASK_SCHEMA = "part int, block long, keys binary, counts binary"
+def _wanted(block: Block, n: int, many: np.ndarray | None) -> np.ndarray:
+    """Which n-grams other blocks may hold; many: which (n - 1)-grams they hold, None if every n-gram is to be asked for."""
+    level = block.levels[n]
+    return np.ones(len(level.keys), bool) if many is None else many[level.context] & many[level.suffix]
 
 
-def _asks(parts: int, bigrams: bool):
-    """Per block and partition: the keys asked for and their counts in the block's training texts."""
+def _answers(block: Block, n: int, rows: list[dict], many: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each n-gram: its count in all training texts, whether this block is its owner, whether other blocks hold it."""
+    asked = _wanted(block, n, many)
+    told = np.concatenate([np.empty(0, np.int64), *(unpack(r["counts"], "<u8").astype(np.int64) for r in sorted((r for r in rows if r["level"] == n), key=lambda r: r["part"]))])
+    counts, owner, others = block.levels[n].local.astype(np.int64), np.ones(len(asked), bool), np.zeros(len(asked), bool)
+    counts[asked], owner[asked], others[asked] = told >> 2, (told & 1).astype(bool), (told & 2).astype(bool)
+    return counts, owner, others
 
+
+_ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
+ASK_SCHEMA = "part int, block long, keys binary, counts binary, stats array<long>"
+
+
+def _asked(block: Block, n: int, parts: int, many: np.ndarray | None) -> Iterator[dict]:
+    """One row a partition: the n-grams asked for and their counts in the block's training texts; the first row also has the stats of those that are not asked for."""
+    level, wanted = block.levels[n], _wanted(block, n, many)
+    keys, counts = level.keys[wanted], level.local[wanted].astype("<u4")
+    at = cuts(keys, parts)
+    own = _stats(level.local[~wanted])
+    for p in [p for p in range(parts) if at[p] < at[p + 1]] or [block.number % parts]:
+        yield {"part": p, "block": block.number, "keys": pack_sorted(keys[at[p] : at[p + 1]]), "counts": pack(counts[at[p] : at[p + 1]]), "stats": own}
+        own = None
+
+
+def _asks(n: int, parts: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                block = Block(batch.slice(i, 1).to_pylist()[0])
-                if bigrams:
-                    block.bigrams()
-                keys, of = (block.hashes, block.bigram) if bigrams else (block.words, block.tokens)
-                counts = np.bincount(of[block.train], minlength=len(keys)).astype("<u4")
-                at = cuts(keys, parts)
-                some = [p for p in range(parts) if at[p] < at[p + 1]]
-                yield pa.RecordBatch.from_pylist([{"part": p, "block": block.number, "keys": pack_sorted(keys[at[p] : at[p + 1]]), "counts": pack(counts[at[p] : at[p + 1]])} for p in some], _ASK)
+                yield pa.RecordBatch.from_pylist(list(_asked(Block(batch.slice(i, 1).to_pylist()[0], n), n, parts, None)), _ASK)
+
+    return ask
+
+
+def _asks_told(n: int, parts: int):
+    """As _asks, for blocks that know the answers to shorter n-grams."""
+
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        block, rows, many = Block(left.to_pylist()[0], n), right.to_pylist(), None
+        for k in range(2, n):
+            many = _answers(block, k, rows, many)[2]
+        return pa.Table.from_pylist(list(_asked(block, n, parts, many)), _ASK)
 
     return ask
 
@@ -181,30 +251,42 @@ TOLD_SCHEMA = "kind int, part int, block long, keys binary, counts binary, stats
 TABLE, ANSWER = 0, 1
 
 
-def _tell(asked: pa.Table) -> pa.Table:
-    """One partition's table (kind TABLE: keys, counts, and N, V, n1, n2, ..) and its answers (kind ANSWER: 2 c + owner of each key asked for)."""
-    rows = sorted(asked.to_pylist(), key=lambda r: r["block"])
-    keys = [unpack_sorted(r["keys"]) for r in rows]
-    own = [unpack(r["counts"], "<u4") for r in rows]
-    table, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    counts = np.zeros(len(table), np.int64)
-    np.add.at(counts, of, np.concatenate(own))
-    owner = np.zeros(len(of), np.int64)
-    owner[first] = 1
-    told = (2 * counts[of] + owner).astype("<u8")
-    ends = np.cumsum([len(k) for k in keys])
-    seen = counts > 0
-    few = np.bincount(counts[counts <= MAX_DISCOUNTED + 1], minlength=MAX_DISCOUNTED + 2)
-    part = rows[0]["part"]
-    out = [{"kind": TABLE, "part": part, "block": None, "keys": pack_sorted(table[seen]), "counts": pack(counts[seen].astype("<u8")), "stats": [int(counts.sum()), int(seen.sum()), *map(int, few[1:])]}]
-    for r, a, b in zip(rows, ends - [len(k) for k in keys], ends, strict=True):
-        out.append({"kind": ANSWER, "part": part, "block": r["block"], "keys": None, "counts": pack(told[a:b]), "stats": None})
-    return pa.Table.from_pylist(out, _TOLD)
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of one partition of the tables after another; a task's rows are sorted by part and block."""
+    held: list[dict] = []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            if held and held[0]["part"] != row["part"]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
 
+def _tell(keep: bool):
+    """Per partition its table (kind TABLE: stats, and keys and counts if they are kept) and its answers (kind ANSWER: 4 c + 2 if several blocks ask + 1 for the owner)."""
 
-def _counted(scratch: Scratch, blocks: DataFrame, parts: int, bigrams: bool) -> DataFrame:
-    asked = blocks.mapInArrow(_asks(parts, bigrams), ASK_SCHEMA)
-    return scratch.save(asked.groupBy("part").applyInArrow(_tell, TOLD_SCHEMA), "bigrams" if bigrams else "words")
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_part(batches):
+            keys = [unpack_sorted(r["keys"]) for r in rows]
+            table, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            counts = np.bincount(of, np.concatenate([unpack(r["counts"], "<u4") for r in rows]), len(table)).astype(np.int64)
+            told = 4 * counts[of] + 2 * (np.bincount(of, minlength=len(table)) > 1)[of]
+            told[first] += 1
+            told, ends = told.astype("<u8"), np.cumsum([len(k) for k in keys])
+            stats = np.sum([_stats(counts), *(r["stats"] for r in rows if r["stats"])], 0).tolist()
+            seen = counts > 0
+            yield pa.RecordBatch.from_pylist([{"kind": TABLE, "part": rows[0]["part"], "block": None, "keys": pack_sorted(table[seen]) if keep else None, "counts": pack(counts[seen].astype("<u8")) if keep else None, "stats": stats}], _TOLD)
+            for r, a, b in zip(rows, ends - [len(k) for k in keys], ends, strict=True):
+                yield pa.RecordBatch.from_pylist([{"kind": ANSWER, "part": r["part"], "block": r["block"], "keys": None, "counts": pack(told[a:b]), "stats": None}], _TOLD)
+
+    return tell
+
+
+def _sorted_parts(rows: DataFrame, parts: int, work: Callable, schema: str) -> DataFrame:
+    return rows.repartition(parts, "part").sortWithinPartitions("part", "block").mapInArrow(work, schema)
 
 
 def _totals(told: DataFrame) -> list[int]:
@@ -214,50 +296,75 @@ def _totals(told: DataFrame) -> list[int]:
     return [int(x or 0) for x in row]
 
 
-_SUMS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("seen", pa.binary()), ("lower", pa.binary()), ("asked", pa.binary()), ("ids", pa.list_(pa.int64())), ("numbers", pa.binary()), ("missing", pa.binary())])
-SUMS_SCHEMA = "kind int, part int, block long, keys binary, seen binary, lower binary, asked binary, ids array<long>, numbers binary, missing binary"
+_SUMS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("seen", pa.binary()), ("lower", pa.binary()), ("asked", pa.binary()), ("ids", pa.list_(pa.int64())), ("numbers", pa.binary()), ("missing", pa.binary())])
+SUMS_SCHEMA = "kind int, part int, block long, level int, keys binary, seen binary, lower binary, asked binary, ids array<long>, numbers binary, missing binary"
+
 
+def _weight(seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """log10 a(h) from the sums over a context's seen words."""
+    return np.log10(np.maximum(1 - seen, 1e-300) / np.maximum(1 - lower, 1e-300))
 
-def _scorer(parts: int, total: list[int], words_d: np.ndarray, pairs_d: np.ndarray):
-    n, v = total[:2]
+
+def _scorer(order: int, parts: int, totals: list[list[int]], ds: list[np.ndarray], prune: bool):
+    """totals and ds: of each n from 1."""
+    n, v = totals[0][:2]
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Per block: documents' sums but for log a(h), and its shares of and requests for the contexts' sums."""
-        block = Block(left.to_pylist()[0])
-        block.bigrams()
-        answers = sorted(right.to_pylist(), key=lambda r: (r["of"], r["part"]))
-        word = np.concatenate([unpack(r["counts"], "<u8") for r in answers if r["of"] == 0]).astype(np.int64) >> 1
-        pair = np.concatenate([unpack(r["counts"], "<u8") for r in answers if r["of"] == 1]).astype(np.int64)
-        pair, owned = pair >> 1, (pair & 1).astype(bool)
-        unknown = 1 - unknown_free(total, words_d)
-        lower = np.where(word > 0, discounted(word, words_d) / max(n, 1), unknown)
+        """Per block: documents' sums but for log a(h) of contexts that other blocks hold, and its shares of and requests for those contexts' sums."""
+        block, rows = Block(left.to_pylist()[0], order), right.to_pylist()
+        word, _, others = _answers(block, 1, rows, None)
+        unknown = 1 - unknown_free(totals[0], ds[0])
+        lower = np.where(word > 0, discounted(word, ds[0]) / max(n, 1), unknown)  # of each gram of the level below
+        single, c = np.log10(lower)[block.tokens], word[block.tokens]
+        add = lambda x, at=None: np.bincount(block.doc if at is None else block.doc[at], x if at is None else x[at], len(block.lengths))
         seen_by = np.append(word, word[np.searchsorted(block.words, END)])  # how often each context was seen
-        above = discounted(pair, pairs_d) / np.maximum(seen_by[block.context], 1)
-
-        c = word[block.tokens]
-        add = lambda x: np.bincount(block.doc, x, len(block.lengths))
-        found = pair[block.bigram] > 0
-        value = np.where(found, np.log10(np.where(found, above[block.bigram], 1)), np.log10(lower[block.tokens]))
+        shared = np.append(others, True) | (not prune)  # whether other blocks hold a context
+        levels, asking, out = [], None, []
+        for k in range(2, order + 1):
+            level = block.levels[k]
+            counts, owner, others = _answers(block, k, rows, asking)
+            above = discounted(counts, ds[k - 1]) / np.maximum(seen_by[level.context], 1)
+            mine = owner & (counts > 0)
+            seen_sum = np.bincount(level.context[mine], above[mine], len(seen_by))
+            lower_sum = np.bincount(level.context[mine], lower[level.suffix[mine]], len(seen_by))
+            levels.append((k, level, counts, above, seen_by, shared, seen_sum, lower_sum))
+            asking, lower, seen_by, shared = (others if prune else None), above, counts, others | (not prune)
+        value, rest, missing, wants = np.zeros(len(block.tokens)), np.ones(len(block.tokens), bool), [], {}
+        for k, level, counts, above, seen_by, shared, seen_sum, lower_sum in reversed(levels):
+            at = np.flatnonzero(rest & (level.of >= 0))
+            gram = level.of[at]
+            found = counts[gram] > 0
+            value[at[found]] += np.log10(above[gram[found]])
+            rest[at[found]] = False
+            at, context = at[~found], level.context[gram[~found]]
+            at, context = at[seen_by[context] > 0], context[seen_by[context] > 0]
+            away = shared[context]
+            value[at[~away]] += _weight(seen_sum[context[~away]], lower_sum[context[~away]])
+            wants[k] = (at[away], context[away])
+        value[rest] += single[rest]
+
+        begun = 0
+        for k, _, _, _, _, shared, seen_sum, lower_sum in levels:
+            at, context = wants[k]
+            asked = np.zeros(len(shared), bool)
+            asked[context] = True
+            hashes = block.contexts(k)
+            order_ = np.argsort(hashes) if k == 2 else np.arange(len(hashes))
+            used = order_[(shared & ((seen_sum > 0) | asked))[order_]]
+            place = np.full(len(hashes), -1)
+            wanted = order_[asked[order_]]
+            place[wanted] = begun + np.arange(len(wanted))
+            begun += len(wanted)
+            missing.append(np.stack([block.doc[at], place[context]], 1))
+            bounds = cuts(hashes[used], parts)
+            for p in range(parts):
+                some = used[bounds[p] : bounds[p + 1]]
+                if len(some):
+                    out.append({"kind": TABLE, "part": p, "block": block.number, "level": k, "keys": pack_sorted(hashes[some]), "seen": pack(seen_sum[some].astype("<f8")), "lower": pack(lower_sum[some].astype("<f8")), "asked": pack(asked[some].astype(np.uint8))})
         base = add(np.log10((c + 0.5) / (n + 0.5 * (v + 1))))
         numbers = np.stack([block.lengths, add(c > 0), base, add(value)], 1).astype("<f8")
-
-        mine = owned & (pair > 0)
-        seen_sum = np.bincount(block.context[mine], above[mine], len(seen_by))
-        lower_sum = np.bincount(block.context[mine], lower[block.word[mine]], len(seen_by))
-        open_ = ~found & (seen_by[block.before] > 0)
-        asked = np.bincount(block.before[open_], minlength=len(seen_by)) > 0
-        hashes = np.append(block.words, BEGIN)
-        order = np.argsort(hashes)
-        used = order[(seen_sum[order] > 0) | asked[order]]
-        wants = order[asked[order]]
-        at = np.full(len(hashes), -1)
-        at[wants] = np.arange(len(wants))
-        out = [{"kind": ANSWER, "part": None, "block": block.number, "ids": block.ids, "numbers": pack(numbers.reshape(-1)), "missing": pack(np.stack([block.doc[open_], at[block.before[open_]]], 1).astype("<u4").reshape(-1))}]
-        bounds = cuts(hashes[used], parts)
-        for p in range(parts):
-            some = used[bounds[p] : bounds[p + 1]]
-            if len(some):
-                out.append({"kind": TABLE, "part": p, "block": block.number, "keys": pack_sorted(hashes[some]), "seen": pack(seen_sum[some].astype("<f8")), "lower": pack(lower_sum[some].astype("<f8")), "asked": pack(asked[some].astype(np.uint8))})
+        missing = np.concatenate([np.empty((0, 2), np.int64), *missing]).astype("<u4")
+        out.append({"kind": ANSWER, "part": None, "block": block.number, "ids": block.ids, "numbers": pack(numbers.reshape(-1)), "missing": pack(missing.reshape(-1))})
         return pa.Table.from_pylist(out, _SUMS)
 
     return score
@@ -273,32 +380,36 @@ def unknown_free(total: list[int], d: np.ndarray) -> float:
     return 1 - aside / n
 
 
-_WEIGHT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("weights", pa.binary())])
-WEIGHT_SCHEMA = "kind int, part int, block long, keys binary, weights binary"
+_WEIGHT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("weights", pa.binary())])
+WEIGHT_SCHEMA = "kind int, part int, block long, level int, keys binary, weights binary"
+
 
+def _weights(keep: bool):
+    """Per partition log10 a(h) of the contexts that each block asked for (kind ANSWER), and of all if they are kept (kind TABLE)."""
 
-def _weights(shares: pa.Table) -> pa.Table:
-    """One partition's back-off weights (kind TABLE), and log10 a(h) of the contexts that each block asked for."""
-    rows = sorted(shares.to_pylist(), key=lambda r: r["block"])
-    keys = [unpack_sorted(r["keys"]) for r in rows]
-    table, of = np.unique(np.concatenate(keys), return_inverse=True)
-    seen = np.bincount(of, np.concatenate([unpack(r["seen"], "<f8") for r in rows]))
-    lower = np.bincount(of, np.concatenate([unpack(r["lower"], "<f8") for r in rows]))
-    weight = np.log10(np.maximum(1 - seen, 1e-300) / np.maximum(1 - lower, 1e-300))
-    part = rows[0]["part"]
-    out = [{"kind": TABLE, "part": part, "block": None, "keys": pack_sorted(table), "weights": pack(weight.astype("<f8"))}]
-    begun = 0
-    for r, k in zip(rows, keys, strict=True):
-        asked = unpack(r["asked"], "u1").astype(bool)
-        out.append({"kind": ANSWER, "part": part, "block": r["block"], "keys": None, "weights": pack(weight[of[begun : begun + len(k)]][asked].astype("<f8"))})
-        begun += len(k)
-    return pa.Table.from_pylist(out, _WEIGHT)
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for every in _by_part(batches):
+            for n in sorted({r["level"] for r in every}):
+                rows = [r for r in every if r["level"] == n]
+                keys = [unpack_sorted(r["keys"]) for r in rows]
+                table, of = np.unique(np.concatenate(keys), return_inverse=True)
+                sums = [np.bincount(of, np.concatenate([unpack(r[c], "<f8") for r in rows])) for c in ("seen", "lower")]
+                weight = _weight(*sums)
+                if keep:
+                    yield pa.RecordBatch.from_pylist([{"kind": TABLE, "part": rows[0]["part"], "block": None, "level": n, "keys": pack_sorted(table), "weights": pack(weight.astype("<f8"))}], _WEIGHT)
+                begun = 0
+                for r, k in zip(rows, keys, strict=True):
+                    asked = unpack(r["asked"], "u1").astype(bool)
+                    yield pa.RecordBatch.from_pylist([{"kind": ANSWER, "part": r["part"], "block": r["block"], "level": n, "keys": None, "weights": pack(weight[of[begun : begun + len(k)]][asked].astype("<f8"))}], _WEIGHT)
+                    begun += len(k)
+
+    return weigh
 
 
 def _finisher(n: int):
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        answers = sorted(right.to_pylist(), key=lambda r: r["part"])
+        answers = sorted(right.to_pylist(), key=lambda r: (r["level"], r["part"]))
         weight = np.concatenate([unpack(r["weights"], "<f8") for r in answers] or [np.empty(0)])
         numbers = unpack(row["numbers"], "<f8").reshape(-1, 4)
         doc, at = unpack(row["missing"], "<u4").reshape(-1, 2).T
@@ -308,77 +419,86 @@ def _finisher(n: int):
     return finish
 
 
-def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, block_words: int = BLOCK_WORDS, keep: str | None = None) -> DataFrame:
+def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, parts: int | None = None, block_words: int = BLOCK_WORDS, keep: str | None = None) -> DataFrame:
     """One row a row of docs: id, n_tokens, n_known, train_tokens, base_score, score (log10), learning from the rows where train holds.
 
-    keep: a folder for the model's tables, which Model reads."""
+    order: the longest n-grams, 2 or more.  keep: a folder for the model's tables, which Model reads; then blocks ask for all of their n-grams."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "katz")
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), train.alias("train"))
     blocks = scratch.save(rows.mapInArrow(_blocks(block_words), BLOCK_SCHEMA), "blocks", "uncompressed")
-    words = _counted(scratch, blocks, parts, False)
-    total = _totals(words)
-    pairs = _counted(scratch, blocks, parts, True)
-    words_d, pairs_d = discounts([0, *total[2:]]), discounts([0, *_totals(pairs)[2:]])
-    answers = lambda told, of: told.where(F.col("kind") == ANSWER).select("block", "part", F.lit(of).alias("of"), "counts")
-    both = answers(words, 0).unionByName(answers(pairs, 1))
-    sums = blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(_scorer(parts, total, words_d, pairs_d), SUMS_SCHEMA)
-    sums = scratch.save(sums, "sums")
+    if not parts:
+        parts = max(1, -(-(blocks.agg(F.sum("tokens")).first()[0] or 0) // PART_TOKENS))
+    prune, told = keep is None, []
+    cogrouped = lambda answers, work, schema: blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(work, schema)
+    union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
+    answered = lambda of: union([t.where(F.col("kind") == ANSWER).select("block", "part", F.lit(n).alias("level"), "counts") for n, t in enumerate(told, 1) if n in of])
+    for n in range(1, order + 1):
+        asks = blocks.mapInArrow(_asks(n, parts), ASK_SCHEMA) if n < 3 or not prune else cogrouped(answered(range(2, n)), _asks_told(n, parts), ASK_SCHEMA)
+        told.append(scratch.save(_sorted_parts(asks, parts, _tell(not prune), TOLD_SCHEMA), f"counts{n}"))
+    totals = [_totals(t) for t in told]
+    ds = [discounts([0, *t[2:]]) for t in totals]
+    sums = scratch.save(cogrouped(answered(range(1, order + 1)), _scorer(order, parts, totals, ds, prune), SUMS_SCHEMA), "sums")
     scratch.drop(blocks)
-    weights = scratch.save(sums.where(F.col("kind") == TABLE).select("part", "block", "keys", "seen", "lower", "asked").groupBy("part").applyInArrow(_weights, WEIGHT_SCHEMA), "weights")
+    shares = sums.where(F.col("kind") == TABLE).select("part", "block", "level", "keys", "seen", "lower", "asked")
+    weights = scratch.save(_sorted_parts(shares, parts, _weights(not prune), WEIGHT_SCHEMA), "weights")
     if keep:
-        for name, made, column in (("words", words, "counts"), ("bigrams", pairs, "counts"), ("weights", weights, "weights")):
-            _stored(made, column).write.parquet(f"{keep}/{name}")
-        numbers = (parts, total, words_d.tolist(), pairs_d.tolist())
-        spark.createDataFrame([numbers], "parts int, total array<long>, words_d array<double>, pairs_d array<double>").write.parquet(f"{keep}/numbers")
-    wanted = weights.where(F.col("kind") == ANSWER).select("block", "part", "weights")
-    done = sums.where(F.col("kind") == ANSWER).select("block", "ids", "numbers", "missing").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_finisher(total[0]), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        stored = lambda made, level, column: made.where(F.col("kind") == TABLE).select(level.cast("int").alias("level"), "part", "keys", F.col(column).alias("values"))
+        union([stored(t, F.lit(n), "counts") for n, t in enumerate(told, 1)]).write.parquet(f"{keep}/counts")
+        stored(weights, F.col("level"), "weights").write.parquet(f"{keep}/weights")
+        spark.createDataFrame([(parts, order, totals[0], [d.tolist() for d in ds])], "parts int, order int, total array<long>, ds array<array<double>>").write.parquet(f"{keep}/numbers")
+    wanted = weights.where(F.col("kind") == ANSWER).select("block", "part", "level", "weights")
+    done = sums.where(F.col("kind") == ANSWER).select("block", "ids", "numbers", "missing").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_finisher(totals[0][0]), "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return done.withColumnRenamed("id", id_col)
 
 
-def _stored(told: DataFrame, column: str) -> DataFrame:
-    return told.where(F.col("kind") == TABLE).select("part", "keys", F.col(column).alias("values"))
-
-
 class Model:
     """The tables that scored(keep=..) wrote, for single look-ups: partitions are read as they are needed."""
 
     def __init__(self, spark: SparkSession, folder: str):
         read = spark.read.parquet
-        self.tables = {t: read(f"{folder}/{t}") for t in ("words", "bigrams", "weights")}
+        self.tables = {t: read(f"{folder}/{t}") for t in ("counts", "weights")}
         numbers = read(f"{folder}/numbers").first()
-        self.parts, self.total = numbers["parts"], list(numbers["total"])
-        self.words_d, self.pairs_d = np.array(numbers["words_d"]), np.array(numbers["pairs_d"])
-        self.unknown = 1 - unknown_free(self.total, self.words_d)
+        self.parts, self.order, self.total = numbers["parts"], numbers["order"], list(numbers["total"])
+        self.ds = [np.array(d) for d in numbers["ds"]]
+        self.unknown = 1 - unknown_free(self.total, self.ds[0])
         self._held: dict = {}
 
-    def _value(self, table: str, key: np.uint64, kind: str) -> float | None:
+    def _value(self, table: str, level: int, key: np.uint64, kind: str) -> float | None:
         part = int(key) * self.parts >> 64
-        if (table, part) not in self._held:
-            row = self.tables[table].where(F.col("part") == part).first()
-            self._held[table, part] = (unpack_sorted(row["keys"]), unpack(row["values"], kind)) if row else (np.empty(0, U64), np.empty(0))
-        keys, values = self._held[table, part]
+        if (table, level, part) not in self._held:
+            row = self.tables[table].where((F.col("level") == level) & (F.col("part") == part)).first()
+            self._held[table, level, part] = (unpack_sorted(row["keys"]), unpack(row["values"], kind)) if row else (np.empty(0, U64), np.empty(0))
+        keys, values = self._held[table, level, part]
         at = int(np.searchsorted(keys, key))
         return float(values[at]) if at < len(keys) and keys[at] == key else None
 
     def tokens(self, text: str) -> list[np.uint64]:
         return [*word_hashes([text.encode()])[0], END]
 
-    def probability(self, context: np.uint64, token: np.uint64) -> float:
-        """p(token | context), through the bigram if it was seen, else through a(context) and p(token)."""
-        pair = self._value("bigrams", mix(mix(np.array([context])) ^ np.array([token]))[0], "<u8")
-        if pair:
-            seen = self._value("words", END if context == BEGIN else context, "<u8")
-            return float(discounted(np.array([int(pair)]), self.pairs_d)[0]) / seen
-        weight = self._value("weights", context, "<f8")
-        return (10**weight if weight is not None else 1.0) * self.lower(token)
-
-    def lower(self, token: np.uint64) -> float:
-        count = self._value("words", token, "<u8")
-        return float(discounted(np.array([int(count)]), self.words_d)[0]) / self.total[0] if count else self.unknown
+    @staticmethod
+    def _hash(gram: tuple) -> np.uint64:
+        key = gram[0]
+        for word in gram[1:]:
+            key = mix(mix(np.array([key])) ^ np.array([word]))[0]
+        return key
+
+    def _count(self, gram: tuple) -> int:
+        """Training count of an n-gram; the begin mark's is that of the ends."""
+        return int(self._value("counts", len(gram), self._hash(gram if gram != (BEGIN,) else (END,)), "<u8") or 0)
+
+    def probability(self, context: tuple, token: np.uint64) -> float:
+        """p(token | context), through the longest n-gram that was seen."""
+        n = len(context) + 1
+        count = self._count((*context, token))
+        if n == 1:
+            return float(discounted(np.array([count]), self.ds[0])[0]) / self.total[0] if count else self.unknown
+        if count:
+            return float(discounted(np.array([count]), self.ds[n - 1])[0]) / self._count(context)
+        weight = self._value("weights", n, self._hash(context), "<f8")
+        return (10**weight if weight is not None else 1.0) * self.probability(context[1:], token)
 
     def score(self, text: str) -> float:
         """log10 probability of a text and its end."""
-        tokens = self.tokens(text)
-        return float(sum(np.log10(self.probability(c, t)) for c, t in zip([BEGIN, *tokens], tokens, strict=False)))
+        symbols = (BEGIN, *self.tokens(text))
+        return float(sum(np.log10(self.probability(symbols[max(0, i - self.order + 1) : i], symbols[i])) for i in range(1, len(symbols))))

@@ -20,58 +20,56 @@ def held(i):
 
 
 class Katz:
-    """The same model by plain counting."""
+    """The same model by plain counting, recursively over all orders."""
 
-    def __init__(self, texts):
-        self.c, self.b, self.h, after = Counter(), Counter(), Counter(), defaultdict(set)
+    def __init__(self, texts, order=3):
+        self.order, self.c, self.after = order, [None, *(Counter() for _ in range(order))], defaultdict(set)
         for t in texts:
-            p = "<s>"
-            for w in self.tokens(t):
-                self.c[w] += 1
-                self.b[p, w] += 1
-                self.h[p] += 1
-                after[p].add(w)
-                p = w
-        self.n = sum(self.c.values())
-        self.dw, self.db = (discounts([0, *[sum(v == r for v in x.values()) for r in range(1, 7)]]) for x in (self.c, self.b))
-        self.known = sum(self.less(x, self.dw) for x in self.c.values()) / max(self.n, 1)
-        self.a = {p: (1 - sum(self.seen(p, w) for w in ws)) / (1 - sum(self.uni(w) for w in ws)) for p, ws in after.items()}
+            symbols = ("<s>", *self.tokens(t))
+            for i in range(1, len(symbols)):
+                for n in range(1, min(order, i + 1) + 1):
+                    gram = symbols[i - n + 1 : i + 1]
+                    self.c[n][gram] += 1
+                    self.after[gram[:-1]].add(gram[-1])
+        self.n = sum(self.c[1].values())
+        self.d = [None, *(discounts([0, *[sum(v == r for v in self.c[n].values()) for r in range(1, 7)]]) for n in range(1, order + 1))]
+        self.known = sum(self.less(1, x) for x in self.c[1].values()) / max(self.n, 1)
+        self.a = {}
+        for h, ws in self.after.items():
+            if h:
+                self.a[h] = (1 - sum(self.p(h, w) for w in ws)) / (1 - sum(self.p(h[1:], w) for w in ws))
 
     @staticmethod
     def tokens(t):
         return [*(t or "").encode().lower().split(), "</s>"]
 
-    @staticmethod
-    def less(c, d):
-        return c * d[c] if c <= 5 and d[c] < 1 else c - SET_ASIDE
-
-    def uni(self, w):
-        return self.less(self.c[w], self.dw) / self.n if self.c[w] else 1 - self.known
-
-    def seen(self, p, w):
-        return self.less(self.b[p, w], self.db) / self.h[p]
+    def less(self, n, c):
+        return c * self.d[n][c] if c <= 5 and self.d[n][c] < 1 else c - SET_ASIDE
 
-    def p(self, p, w):
-        return self.seen(p, w) if (p, w) in self.b else self.a.get(p, 1.0) * self.uni(w)
+    def p(self, h, w):
+        n = len(h) + 1
+        c = self.c[n][*h, w]
+        if n == 1:
+            return self.less(1, c) / self.n if c else 1 - self.known
+        if c:
+            return self.less(n, c) / (self.c[1]["</s>",] if h == ("<s>",) else self.c[n - 1][h])
+        return self.a.get(h, 1.0) * self.p(h[1:], w)
 
     def score(self, t):
-        total, p = 0.0, "<s>"
-        for w in self.tokens(t):
-            total += math.log10(self.p(p, w))
-            p = w
-        return total
+        symbols = ("<s>", *self.tokens(t))
+        return sum(math.log10(self.p(symbols[max(0, i - self.order + 1) : i], symbols[i])) for i in range(1, len(symbols)))
 
     def base(self, t):
-        return sum(math.log10((self.c[w] + 0.5) / (self.n + 0.5 * (len(self.c) + 1))) for w in self.tokens(t))
+        return sum(math.log10((self.c[1][w,] + 0.5) / (self.n + 0.5 * (len(self.c[1]) + 1))) for w in self.tokens(t))
 
 
-@pytest.mark.parametrize(("parts", "block_words"), [(1, 1 << 20), (7, 500)])
-def test_scores_against_plain_counting(docs, rows, parts, block_words):
-    model = Katz([r[1] for r in rows if held(r[0]) != 1])
-    got = scored(docs, remainder() != 1, parts=parts, block_words=block_words).collect()
+@pytest.mark.parametrize(("order", "parts", "block_words"), [(3, None, 1 << 20), (3, 7, 500), (4, 3, 2000), (2, 5, 500)])
+def test_scores_against_plain_counting(docs, rows, order, parts, block_words):
+    model = Katz([r[1] for r in rows if held(r[0]) != 1], order)
+    got = scored(docs, remainder() != 1, order=order, parts=parts, block_words=block_words).collect()
     key = lambda x: (x[0] is None, x[0] or 0, x[1], round(x[5], 3))
     found = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got), key=key)
-    expected = sorted(((r[0], len(model.tokens(r[1])), sum(model.c[w] > 0 for w in model.tokens(r[1])), model.n, model.base(r[1]), model.score(r[1])) for r in rows), key=key)
+    expected = sorted(((r[0], len(model.tokens(r[1])), sum(model.c[1][w,] > 0 for w in model.tokens(r[1])), model.n, model.base(r[1]), model.score(r[1])) for r in rows), key=key)
     assert [x[:4] for x in found] == [x[:4] for x in expected]
     for a, b in zip(found, expected, strict=True):
         assert a[4:] == pytest.approx(b[4:], rel=1e-9)
@@ -88,8 +86,9 @@ def test_kept_model_scores_the_same(spark, make, rows, tmp_path):
 
 def test_probabilities_add_up(rows):
     model = Katz([r[1] for r in rows])
-    for p in [*list(model.a)[:40], "never seen"]:
-        assert sum(model.p(p, w) for w in [*model.c, "unknown"]) == pytest.approx(1, abs=1e-9)
+    vocabulary = [*(w for (w,) in model.c[1]), "unknown"]
+    for h in [*list(model.a)[:25], *[h for h in model.a if len(h) == 1][:15], ("never", "seen")]:
+        assert sum(model.p(h, w) for w in vocabulary) == pytest.approx(1, abs=1e-9)
 
 
 def test_no_training_rows(make, no_docs):
