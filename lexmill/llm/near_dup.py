@@ -38,15 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import skew
 from .scratch import Scratch
+from .skew import keyed_join
 from .words import U64, combine, mix, slices, word_hashes
 
 K = 64
 ESTIMATE = 0.375
 LEAST_SHARE = 0.375
 PIVOT_GROWTH = 8
-#: Most rows of one key in a shuffled join; the keys above it, or above a ten-thousandth of all rows, are at most 10 000 and are broadcast.
-HOT_ROWS = 100_000
 
 
 def shingle_sets(texts: list[bytes], width: int) -> Iterator[np.ndarray]:
@@ -92,19 +92,6 @@ def _setter(width: int):
     return full
 
 
-def keyed_join(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """Inner join of rows with a written table of one row a key; its column count says how many rows have the key.
-
-    Keys of many rows are joined by broadcast, so no key's rows meet in one task."""
-    total, most = table.agg(F.sum(count), F.max(count)).first()
-    limit = max(HOT_ROWS, (total or 0) // 10_000)
-    if (most or 0) <= limit:
-        return rows.join(table, keys)
-    hot = table.where(F.col(count) > limit)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table.where(F.col(count) <= limit), keys)
-    return rows.join(F.broadcast(hot), keys).select(*rest.columns).unionByName(rest)
-
-
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) for every end of an edge (a, b); root is the smallest node that can be reached."""
     spark = scratch.spark
@@ -148,7 +135,7 @@ def _links(scratch: Scratch, listed: DataFrame, sketches: DataFrame, sets: DataF
     labels = None  # node -> component so far
     tested: list[DataFrame] = []
     pivots = 1
-    salts = F.ceil(F.col("members") / HOT_ROWS).cast("int")
+    salts = F.ceil(F.col("members") / skew.HOT_ROWS).cast("int")
     while True:
         if labels is None:
             members = listed.withColumn("root", F.col("node"))

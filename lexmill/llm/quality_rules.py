@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import few, salted_join
 
 LEAST_WORDS = 50
 REPEAT_PERCENT = 50
@@ -62,7 +63,6 @@ CLASSES = 64
 TRIM = 2.0
 #: Most groups whose estimates are broadcast (about 300 bytes each); more are joined by a salted shuffle.
 MOST_BROADCAST = 100_000
-SALTS = 16
 D = 4
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -220,8 +220,7 @@ def estimates(scratch: Scratch, cells: DataFrame, sizes: DataFrame) -> DataFrame
 
 
 def _few(table: DataFrame) -> bool:
-    """True if a written table has few enough rows to be broadcast."""
-    return table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return few(table, MOST_BROADCAST)
 
 
 def _judged(docs: DataFrame, kept: Column, text_col: str, lang_col: str, source_col: str) -> DataFrame:
@@ -254,11 +253,7 @@ def _judged(docs: DataFrame, kept: Column, text_col: str, lang_col: str, source_
     found = estimates(scratch, scratch.save(merged, "merged"), scratch.save(lengths, "lengths"))
     found = found.withColumnRenamed("n_words", "median_words").withColumnRenamed("n_lines", "median_lines")
     verdicts = scratch.save(groups.drop("whole").join(found, "grp"), "verdicts")
-    if _few(verdicts):
-        out = stats.join(F.broadcast(verdicts), where, "left")
-    else:
-        salted = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = stats.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [*where, "_salt"], "left").drop("_salt")
+    out = stats.join(F.broadcast(verdicts), where, "left") if _few(verdicts) else salted_join(stats, verdicts, where, "left")
     noise = _noise("least(cast(word_chars as double), median_words * exp(m0))", "least(n_words, median_words)", "least(n_lines, median_lines)")
     out = out.selectExpr("*", *noise, *_factor(_NOISE), *_distance([f"x{i}" for i in range(D)], "d2"), "if(base_failed, null, d2) as distance")
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))

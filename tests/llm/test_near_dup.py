@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lexmill.llm import near_dup
+from lexmill.llm import near_dup, skew
 from lexmill.llm.near_dup import near_duplicates
 from lexmill.llm.words import combine, word_hashes
 
@@ -150,7 +150,7 @@ def test_repeated_ids_against_sql(make):
 
 def test_hot_keys(make, monkeypatch, docs, rows):
     """Keys of more rows than one task should hold: the same components by broadcast and salts."""
-    monkeypatch.setattr(near_dup, "HOT_ROWS", 3)
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
     check(near_duplicates(docs), [(r[0], r[1]) for r in rows])
 
 
