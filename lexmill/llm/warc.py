@@ -9,13 +9,21 @@ the reader parses chunks as they come.
 Of records with equal payloads of at least LEAST_REVISIT bytes the one with the largest id is a response, the
 others are revisits that refer to it and hold no payload; smaller payloads are always responses.
 
+A reader checks every chunk against the digest that is stored with it, so a damaged or missing chunk is found
+where it is.  Files of other makers are read too: any record type and record id, digests in base 32 or hex, and
+responses whose header block has no end (then all of it is payload).  Which rows are revisits is decided on ids,
+digests and sizes; payloads are shuffled only if the repeated digests are too many to be broadcast.
+
 A null payload is empty.  Rows with a null id are written with the id "null" and read back as null; they are
 never referred to unless no other row has their payload.  Rows that repeat the largest id are all responses.
 """
 
 from __future__ import annotations
 
+import base64
+import binascii
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,10 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import few, keyed_join
 
 CHUNK = 64 << 10
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 256 << 20
+#: Most repeated digests that are broadcast (about 100 bytes each).
+MOST_BROADCAST = 200_000
 CHUNK_SCHEMA = "archive long, seq int, chunk int, record_id string, data binary, digest string"
 _CHUNK = pa.schema([("archive", pa.int64()), ("seq", pa.int32()), ("chunk", pa.int32()), ("record_id", pa.string()), ("data", pa.binary()), ("digest", pa.string())])
 _END = b"\r\n\r\n"
@@ -38,11 +49,16 @@ def with_revisits(pages: DataFrame, id_col: str, payload_col: str, url_col: str
     scratch = Scratch(pages.sparkSession, "revisits")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     url = F.col(url_col).cast("string") if url_col else F.lit(None).cast("string")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = rows.where(F.octet_length("payload") >= LEAST_REVISIT)
-    keepers = scratch.save(large.groupBy("digest").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keeper"), "keepers")
-    joined = rows.join(keepers, "digest", "left")
-    refers = F.when((F.octet_length("payload") >= LEAST_REVISIT) & ~F.col("id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull(), F.col("keeper"))
+    large = F.octet_length(payload) >= LEAST_REVISIT
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.alias("url"), payload.alias("payload"), large.alias("large")).withColumn("digest", F.sha1("payload"))
+    repeated = rows.where("large").groupBy("digest").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n")).where("n > 1 and keeper is not null")
+    repeated = scratch.save(repeated, "repeated")
+    if few(repeated, MOST_BROADCAST):
+        joined = rows.join(F.broadcast(repeated), "digest", "left")
+    else:
+        unique = rows.where("large").join(repeated, "digest", "left_anti").unionByName(rows.where("not large"))
+        joined = keyed_join(rows.where("large"), repeated, ["digest"], "n").unionByName(unique, allowMissingColumns=True)
+    refers = F.when(F.col("large") & F.col("keeper").isNotNull() & ~F.col("id").eqNullSafe(F.col("keeper")), F.col("keeper"))
     return joined.select("id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
@@ -114,21 +130,25 @@ class Parser:
     def feed(self, data: bytes) -> Iterator[dict]:
         self.held += data
         while True:
-            if self.state in ("warc", "http"):
+            if self.state == "warc":
                 at = self.held.find(_END)
                 if at < 0:
                     return
                 block, self.held = self.held[:at], self.held[at + 4 :]
-                if self.state == "warc":
-                    lines = block.decode("utf-8", "replace").split("\r\n")
-                    if not lines[0].startswith("WARC/"):
-                        raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-                    self.fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-                    self.left, self.size, self.sum = int(self.fields["content-length"]), 0, hashlib.sha1()
-                    self.state = "http" if self.left else "end"
-                else:
-                    self.left -= at + 4
-                    self.state = "body" if self.left else "end"
+                lines = block.decode("utf-8", "replace").split("\r\n")
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
+                self.fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                self.left, self.size, self.sum = int(self.fields["content-length"]), 0, hashlib.sha1()
+                http = self.fields.get("content-type", "").startswith("application/http")
+                self.state = "end" if not self.left else "http" if http else "body"
+            elif self.state == "http":
+                at = self.held.find(_END, 0, self.left)
+                if at < 0 and len(self.held) < self.left:
+                    return
+                skipped = at + 4 if at >= 0 else 0
+                self.held, self.left = self.held[skipped:], self.left - skipped
+                self.state = "body" if self.left else "end"
             elif self.state == "body":
                 part, self.held = self.held[: self.left], self.held[self.left :]
                 self.sum.update(part)
@@ -147,28 +167,58 @@ class Parser:
 
 
 def _page(name: str | None) -> int | None:
-    inner = (name or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(inner) if inner not in ("", "null") else None
+    """The id of a record of our own; null for others."""
+    found = re.fullmatch(r"<urn:page:(-?\d+)>", name or "")
+    return int(found[1]) if found else None
+
+
+def sha1_hex(declared: str | None) -> str | None:
+    """A declared SHA-1, in hex or base 32, as lower-case hex; null for other algorithms and forms."""
+    kind, _, value = (declared or "").partition(":")
+    if kind.lower() != "sha1":
+        return None
+    if re.fullmatch(r"[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    try:
+        return base64.b32decode(value.upper()).hex() if len(value) == 32 else None
+    except binascii.Error:
+        return None
+
+
+def any_record(found: dict) -> dict:
+    """The row of a parsed record of any maker; digest_ok is null without a digest to compare, and for revisits."""
+    declared, revisit = sha1_hex(found.get("warc-payload-digest")), found.get("warc-type") == "revisit"
+    size = found.get("warc-payload-length", "")
+    return {
+        "id": _page(found.get("warc-record-id")), "url": found.get("warc-target-uri") or None, "payload_bytes": (int(size) if size.isdigit() else None) if revisit else found["payload_bytes"],
+        "payload_digest": declared if revisit else found["payload_digest"], "record_type": found.get("warc-type"), "refers_to": _page(found.get("warc-refers-to")),
+        "record_id": found.get("warc-record-id"), "refers_to_record": found.get("warc-refers-to"), "digest_ok": None if revisit or declared is None else declared == found["payload_digest"],
+    }
 
 
 def record_of(found: dict) -> dict:
-    """The row of a parsed record; a response whose payload differs from its declared digest is an error."""
-    declared = found["warc-payload-digest"].removeprefix("sha1:")
-    revisit = found["warc-type"] == "revisit"
-    if not revisit and declared != found["payload_digest"]:
+    """The row of a record of our own; a response whose payload differs from its declared digest is an error."""
+    row = any_record(found)
+    if row["digest_ok"] is False:
         raise ValueError(f"{found['warc-record-id']}: the payload does not match its digest")
-    return {"id": _page(found["warc-record-id"]), "url": found.get("warc-target-uri") or None, "payload_bytes": int(found["warc-payload-length"]) if revisit else found["payload_bytes"], "payload_digest": declared, "record_type": found["warc-type"], "refers_to": _page(found.get("warc-refers-to"))}
+    return {n: row[n] for n in _RECORD.names}
 
 
 _RECORD = pa.schema([("id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
+_ANY = pa.schema([*_RECORD, ("record_id", pa.string()), ("refers_to_record", pa.string()), ("digest_ok", pa.bool_())])
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records are whole and in order within a partition; a parser takes one after another."""
+    """Records are whole and in order within a partition; a parser takes one after another and compares its running digest with each chunk's."""
     parser = Parser()
     for batch in batches:
-        data = batch.column(2)
-        out = [record_of(x) for i in range(batch.num_rows) for x in parser.feed(data[i].as_buffer().to_pybytes())]
+        out = []
+        for data, name, digest in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            out += [record_of(x) for x in parser.feed(data.as_buffer().to_pybytes())]
+            if parser.sum.hexdigest() != digest:
+                raise ValueError(f"{name}: a chunk does not match its running digest")
         yield pa.RecordBatch.from_pylist(out, _RECORD)
     if parser.held or parser.state != "warc":
         raise ValueError("an archive ends within a record")
@@ -177,7 +227,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, target: str) -> DataFrame:
     """id, url, payload_bytes, payload_digest, record_type, refers_to of every record, parsed from the chunks in order."""
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(target)
-    ordered = chunks.repartition("archive", "seq").sortWithinPartitions("archive", "seq", "chunk").select("archive", "seq", "data")
+    ordered = chunks.repartition("archive", "seq").sortWithinPartitions("archive", "seq", "chunk").select("archive", "seq", "data", "record_id", "digest")
     return ordered.mapInArrow(_parse, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -223,7 +273,7 @@ def export_archives(spark: SparkSession, target: str, folder: str) -> list[str]:
 
 
 def import_archives(spark: SparkSession, folder: str, chunk: int = CHUNK) -> DataFrame:
-    """Records (as read_archives gives them) of the .warc and .warc.gz files of a folder; each file is streamed piece by piece."""
+    """Records of the .warc and .warc.gz files of a folder, of any maker: as read_archives gives them, and record_id, refers_to_record, digest_ok.  Each file is streamed piece by piece."""
     files, root = _folder_files(folder)
     from pyarrow import fs
 
@@ -236,11 +286,13 @@ def import_archives(spark: SparkSession, folder: str, chunk: int = CHUNK) -> Dat
                 parser, out = Parser(), []
                 with store.open_input_stream(path, compression="gzip" if path.endswith(".gz") else None) as stream:
                     while data := stream.read(chunk):
-                        out += map(record_of, parser.feed(data))
+                        out += map(any_record, parser.feed(data))
                         if len(out) >= 1000:
-                            yield pa.RecordBatch.from_pylist(out, _RECORD)
+                            yield pa.RecordBatch.from_pylist(out, _ANY)
                             out = []
-                yield pa.RecordBatch.from_pylist(out, _RECORD)
+                yield pa.RecordBatch.from_pylist(out, _ANY)
+                if parser.held.strip(b"\r\n") or parser.state != "warc":
+                    raise ValueError(f"{path} ends within a record")
 
     listed = spark.createDataFrame([(n,) for n in names], "path string").repartition(max(1, len(names)))
-    return listed.mapInArrow(read, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return listed.mapInArrow(read, "id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, digest_ok boolean")
