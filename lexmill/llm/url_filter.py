@@ -7,24 +7,30 @@ Rules (verdict, host, path) fit their host and its subdomains if the URL's path
 The longest rule that fits decides (length of host and path together; ties by block before allow, then by
 text).  Other URLs are blocked if their canonical form is on the list.
 
-The list becomes a blocked Bloom filter of at most BLOCKS blocks of 256 bits, so what is broadcast is at most
-BLOCKS rows of five longs however long the list is.  One block, chosen by the URL's hash, holds all of its
-bits.  Possible hits go to an exact join with the list, which removes false positives; all other rows never
-meet the list.
+The list becomes a blocked Bloom filter of 256-bit blocks, as many as give each listed URL BITS bits (a power of
+two): about one other URL in 500 passes, whatever the list's length.  One block, chosen by the URL's hash, holds
+all eight bits of a URL.  A filter of up to MOST_BLOCKS blocks (about 30 MB) is broadcast; beyond, pages meet it in
+a salted shuffle by block.  Possible hits go to an exact join with the list, which removes false positives; all
+other rows never meet the list.
 
 Repeated pages are judged apart.  An empty list blocks nothing.  Null entries of the list are skipped.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .skew import few, salted_join
 
-BLOCKS = 1 << 14
+BITS = 20
+MOST_BLOCKS = 1 << 18
+#: Most listed URLs that are broadcast to the exact join (about 150 bytes each).
+MOST_LISTED = 200_000
 WORDS = 4
 PER_WORD = 2
 
@@ -75,25 +81,36 @@ def _block(url: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(0), url), F.lit(blocks)).cast("int")
 
 
-def bloom(listed: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def blocks_for(n: int) -> int:
+    """How many blocks a list of n URLs takes."""
+    return max(16, 1 << math.ceil(math.log2(max(1, n * BITS / 256))))
+
+
+def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     """block, b0..: the filter of column "url"; at most blocks rows."""
     bits = listed.select(_block(F.col("url"), blocks).alias("block"), *[_bits(F.col("url"), w).alias(f"b{w}") for w in range(WORDS)])
     return bits.groupBy("block").agg(*[F.bit_or(f"b{w}").alias(f"b{w}") for w in range(WORDS)])
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", blocks: int = BLOCKS) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url", blocks: int | None = None) -> DataFrame:
     """One row a page: id, host, path, canonical_url, rule, verdict, possible (passed the filter), listed."""
     scratch = Scratch(pages.sparkSession, "urls")
     exact = scratch.save(listed.select(F.col(listed.columns[0]).alias("url")).where("url is not null").distinct(), "list")
+    blocks = blocks or blocks_for(exact.count())
     held = scratch.save(bloom(exact, blocks), "bloom")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("u")).select("id", "u", host_of(F.col("u")).alias("host"), path_of(F.col("u")).alias("path"))
     rows = rows.select("id", "host", "path", canonical(F.col("u"), F.col("host"), F.col("path")).alias("canonical_url"), rule_of(F.col("host"), F.col("path"), rules).alias("r"))
     open_ = F.col("r").isNull() & F.col("canonical_url").isNotNull()
     rows = rows.withColumn("block", F.when(open_, _block(F.col("canonical_url"), blocks)))
-    tested = rows.join(F.broadcast(held), "block", "left")
+    if blocks <= MOST_BLOCKS:
+        tested = rows.join(F.broadcast(held), "block", "left")
+    else:
+        tested = salted_join(rows.where("block is not null"), held, ["block"], "left").unionByName(rows.where("block is null"), allowMissingColumns=True)
     inside = reduce(lambda a, b: a & b, [F.col(f"b{w}").bitwiseAND(_bits(F.col("canonical_url"), w)) == _bits(F.col("canonical_url"), w) for w in range(WORDS)])
     tested = scratch.save(tested.select("id", "host", "path", "canonical_url", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict"), F.coalesce(open_ & inside, F.lit(False)).alias("possible")), "tested")
-    hits = tested.where("possible").join(exact.withColumn("listed", F.lit(True)), F.col("canonical_url") == F.col("url"), "left").drop("url")
+    known, possible = exact.select(F.col("url").alias("canonical_url"), F.lit(True).alias("listed")), tested.where("possible")
+    hits = possible.join(F.broadcast(known), "canonical_url", "left") if few(exact, MOST_LISTED) else salted_join(possible, known, ["canonical_url"], "left")
+    hits = hits.select(*tested.columns, "listed")
     rest = tested.where("not possible").withColumn("listed", F.lit(None).cast("boolean"))
     out = hits.unionByName(rest).withColumn("listed", F.coalesce("listed", F.lit(False)))
     verdict = F.coalesce("verdict", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm.queries import URL_RULES
-from lexmill.llm.url_filter import bloom, canonical, host_of, judge, path_of
+from lexmill.llm import url_filter
+from lexmill.llm.url_filter import blocks_for, bloom, canonical, host_of, judge, path_of
 
 URLS = [
     (1, "http://A.Example.ORG/es/x", "a.example.org", "/es/x", "example.org/es/", "block"), (2, "https://example.org/en/12?x#y", "example.org", "/en/12", "example.org/en/1", "block"),
@@ -47,3 +48,32 @@ def test_canonical(spark):
     df = spark.createDataFrame([("http://H.com/a/?fbclid=1&x=2&utm_medium=3#f",), ("http://h.com/a?x=2",), ("http://h.com",), ("mailto:x",)], "u string")
     u = F.col("u")
     assert [r[0] for r in df.select(canonical(u, host_of(u), path_of(u))).collect()] == ["h.com/a?x=2", "h.com/a?x=2", "h.com", None]
+
+
+@pytest.mark.parametrize("n", [300, 30_000])
+def test_few_false_positives_for_any_list(spark, n):
+    """The filter grows with the list, so the share of other URLs that pass does not."""
+    listed = spark.range(n).select(F.concat(F.lit("h.net/"), F.col("id").cast("string")).alias("url"))
+    pages = spark.range(n, n + 20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.net/"), F.col("id").cast("string")).alias("url"))
+    got = judge(pages, listed, [])
+    assert got.where("possible").count() < 60 and got.where("listed").count() == 0
+    assert blocks_for(10**7) * 256 >= url_filter.BITS * 10**7
+
+
+def test_large_filters_and_lists_join_by_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_BLOCKS", 0)
+    monkeypatch.setattr(url_filter, "MOST_LISTED", 0)
+    test_verdicts(spark)
+    test_empty_tables(spark)
+
+
+def test_awkward_columns_and_urls(spark):
+    """Columns named as the operator's own, a very long URL, one page many times."""
+    long = "http://a.net/" + "x" * 100_000
+    rows = [(i % 3, u) for i, u in enumerate([long, "http://a.net/p?b=1", None] * 5)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    for name in ("host", "path", "block", "b0", "possible", "listed", "canonical_url", "rule", "verdict", "id", "u", "r"):
+        pages = pages.withColumn(name, F.lit(name))
+    listed = spark.createDataFrame([(long[7:],), ("a.net/p?b=1",)], "u string")
+    got = sorted((r["page_id"], r["verdict"]) for r in judge(pages, listed, URL_RULES).collect())
+    assert got == [(0, "block")] * 5 + [(1, "block")] * 5 + [(2, "allow")] * 5
