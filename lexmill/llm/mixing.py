@@ -7,8 +7,12 @@ slot t each source has been given a t / Q blocks, give or take less than one.  T
 repeated, so it is made once for any number of blocks.
 
 When a source has no blocks left, the shares of the others are scaled to fill Q and a new phase begins; so
-every row gets exactly one place.  There are at most as many phases as sources; the schedule is made on the driver
-from one count a source, which suits up to a thousand sources or so.
+every row gets exactly one place.  There are at most as many phases as sources.  The schedule is made on the driver
+from one count a source and sent out as arrays of at most MOST_PLACES numbers; a block finds its phase and slot in
+them by bisection.  More sources than that allows are an error.
+
+Weights are finite and not negative; a source of weight 0 gets the least share, one block a period, and if all
+are 0 they are equal.  Other weights are a ValueError, a source without one a KeyError.
 
 A null source is a source of its own (shown as null), a null id comes first; rows that repeat an id get
 places of their own, in the order of the input.
@@ -18,7 +22,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +34,17 @@ from .scratch import Scratch
 BLOCK_ROWS = 64
 SLOTS = 1000
 TEMPERATURE = 0.5
+MOST_PLACES = 20_000_000
 
 
 def shares(weights: dict[str, float], slots: int) -> dict[str, int]:
     """Integer shares that add up to slots, at least one each: largest remainders, ties by name."""
+    if not all(math.isfinite(w) and w >= 0 for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
     slots = max(slots, len(weights))
     total = sum(weights.values())
+    if not total:
+        weights, total = dict.fromkeys(weights, 1.0), float(len(weights))
     free = slots - len(weights)
     exact = {s: free * w / total for s, w in weights.items()}
     out = {s: 1 + math.floor(x) for s, x in exact.items()}
@@ -82,6 +94,36 @@ def phases(blocks: dict[str, int], weights: dict[str, float], slots: int) -> tup
     return spans, places
 
 
+def _by_source(spans: list[tuple], offsets: list[tuple]) -> dict[str, tuple]:
+    """Per source its phases in order: rows (first block, first slot, share, slots of a period, phase, where its slots begin), and the slots within a period."""
+    slots: dict[str, dict[int, list[int]]] = {}
+    for phase, s, _, t in offsets:
+        slots.setdefault(s, {}).setdefault(phase, []).append(t)
+    rows: dict[str, list[tuple]] = {}
+    flat: dict[str, list[int]] = {}
+    for phase, s, lo, hi, begin, share, q in spans:
+        if hi > lo:
+            rows.setdefault(s, []).append((lo, begin, share, q, phase, len(flat.setdefault(s, []))))
+            flat[s] += slots[s][phase]
+    return {s: (np.array(r, np.int64), np.array(flat[s], np.int32)) for s, r in rows.items()}
+
+
+def _slotter(sent):
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, blocks = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+            phase, slot = np.zeros(len(blocks), np.int32), np.zeros(len(blocks), np.int64)
+            for s in set(names.tolist()):
+                at = np.flatnonzero(names == s)
+                rows, flat = sent.value[s]
+                lo, begin, share, q, number, first = rows[np.searchsorted(rows[:, 0], blocks[at], side="right") - 1].T
+                cycle, j = np.divmod(blocks[at] - lo, share)
+                phase[at], slot[at] = number, begin + cycle * q + flat[first + j]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(phase), pa.array(slot)], ["s", "block_no", "phase", "slot"])
+
+    return find
+
+
 def places(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, slots: int = SLOTS) -> DataFrame:
     """Per row: id, source, block_no, row_in_block, phase, slot, position (slot * block_rows + row_in_block: the order of the mix).
 
@@ -104,13 +146,11 @@ def places(docs: DataFrame, weights: dict[str | None, float] | None = None, id_c
     counted = {r["s"]: r["n"] for r in blocks.collect()}
     wanted = {s: n**TEMPERATURE for s, n in counted.items()} if weights is None else {s: float(weights[s[1:] if s else None]) for s in counted}
     spans, offsets = phases({s: -(-n // block_rows) for s, n in counted.items()}, wanted, slots)
-    spans = scratch.save(spark.createDataFrame(spans, "phase int, s string, lo long, hi long, begin long, share int, q int"), "spans")
-    offsets = scratch.save(spark.createDataFrame(offsets, "phase int, s string, j int, t int"), "offsets")
-    numbered = ranked.where("row_in_block = 0").select("s", "block_no").distinct()
-    slotted = numbered.join(spans, "s").where((F.col("block_no") >= F.col("lo")) & (F.col("block_no") < F.col("hi")))
-    nth = F.col("block_no") - F.col("lo")
-    slotted = slotted.withColumn("j", (nth % F.col("share")).cast("int")).withColumn("cycle", F.floor(nth / F.col("share"))).join(offsets, ["phase", "s", "j"])
-    slotted = scratch.save(slotted.select("s", "block_no", "phase", (F.col("begin") + F.col("cycle") * F.col("q") + F.col("t")).alias("slot")), "slots")
+    if len(offsets) + 7 * len(spans) > MOST_PLACES:
+        raise ValueError(f"{len(counted)} sources are too many for a period of {slots} slots")
+    sent = spark.sparkContext.broadcast(_by_source(spans, offsets))
+    numbered = ranked.where("row_in_block = 0").select("s", "block_no")
+    slotted = scratch.save(numbered.mapInArrow(_slotter(sent), "s string, block_no long, phase int, slot long"), "slots")
     out = ranked.join(slotted, ["s", "block_no"])
     source = F.when(F.col("s") != "", F.substring("s", 2, 1 << 30))
     return out.select(F.col("id").alias(id_col), source.alias(source_col), "block_no", "row_in_block", "phase", "slot", (F.col("slot") * block_rows + F.col("row_in_block")).alias("position"))

@@ -1,9 +1,11 @@
+import random
 from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lexmill.llm import mixing
 from lexmill.llm.mixing import mixed, period, phases, places, shares
 
 
@@ -78,3 +80,53 @@ def test_mixed_keeps_rows_in_order(docs, rows):
     for r in places(docs, block_rows=4, slots=10).orderBy("position").collect():
         order.setdefault((r["doc_id"], r["source"]), len(order))
     assert [order[x] for x in got] == sorted(order[x] for x in got)
+
+
+def brute_positions(sizes, weights, block_rows, slots):
+    """source -> its blocks' slots: one slot after another, always the released block with the earliest deadline."""
+    left, out, t = {s: -(-n // block_rows) for s, n in sizes.items()}, {s: [] for s in sizes}, 0
+    while any(left.values()):
+        share = shares({s: weights[s] for s, n in left.items() if n}, slots)
+        q, given_, begin = sum(share.values()), dict.fromkeys(share, 0), t
+        while all(left[s] for s in share):
+            ready = []
+            for s, a in share.items():
+                cycle, j = divmod(given_[s], a)
+                if cycle * q + j * q // a <= t - begin:
+                    ready.append((cycle * q - (-(j + 1) * q // a), s))
+            s = min(ready)[1]
+            given_[s], left[s], t = given_[s] + 1, left[s] - 1, t + 1
+            out[s].append(t - 1)
+    return out
+
+
+def test_positions_against_a_plain_schedule(spark):
+    rng = random.Random(8)
+    sizes = {s: rng.randrange(1, 400) for s in "abcdefghij"}
+    rows = [(i, s) for s, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string").repartition(7)
+    weights = {s: rng.random() + 0.05 for s in sizes} | {"c": 0.0}
+    for given_ in (None, weights):
+        got: dict = defaultdict(dict)
+        for r in places(df, given_, block_rows=4, slots=30).collect():
+            got[r["source"]][r["block_no"]] = r["slot"]
+            assert r["position"] == 4 * r["slot"] + r["row_in_block"]
+        expected = brute_positions({f"={s}": n for s, n in sizes.items()}, {f"={s}": (n**0.5 if given_ is None else given_[s]) for s, n in sizes.items()}, 4, 30)
+        assert {s: [b[j] for j in range(len(b))] for s, b in got.items()} == {s[1:]: x for s, x in expected.items()}
+
+
+@pytest.mark.parametrize("bad", [-1.0, float("nan"), float("inf")])
+def test_bad_weights(bad):
+    with pytest.raises(ValueError, match="weights"):
+        shares({"a": bad, "b": 1.0}, 10)
+
+
+def test_weights_of_zero():
+    assert shares({"a": 0.0, "b": 0.0}, 10) == {"a": 5, "b": 5}
+    assert shares({"a": 0.0, "b": 2.0}, 10) == {"a": 1, "b": 9}
+
+
+def test_too_many_sources(make, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PLACES", 5)
+    with pytest.raises(ValueError, match="sources"):
+        places(make([(1, "t"), (2, "t")]))
