@@ -1,9 +1,8 @@
 """A text classifier of averaged subword embeddings, trained by stochastic gradient descent in numpy.
 
 A word's features are the word, its character n-grams of 3 to 5 characters (with "<" and ">" around the word)
-and the pair it makes with the word before (all words that repeat the word before make the same pair), each
-hashed into one of BUCKETS learned vectors.  A text's vector
-is the average over all features of all its words; a softmax over two outputs gives the score, the
+and the pair it makes with the word before, each hashed into one of BUCKETS learned vectors.  A text's vector is
+the average over all features of all its words; a softmax over two outputs gives the score, the
 probability of label 1.
 
 Training reads at most TRAIN_TEXTS labelled texts of at most TRAIN_BYTES bytes in all, those with the smallest
@@ -11,7 +10,8 @@ hash of their id, whole, in one task; the driver sees their ids and sizes, and t
 vector is first projected on the difference of the outputs, so that only BUCKETS numbers are sent out, and a
 text costs one look-up for each distinct word of its chunk.
 
-Labels, language, source and id are no inputs of a score.  Null, empty and blank texts have the zero vector.
+Labels, language, source and id are no inputs of a score.  Labels other than 0 and 1 are no labels.  Null, empty
+and blank texts have the zero vector.
 Repeated rows are scored each; a text that is labelled twice is trained on twice.  Without training rows of
 both labels every score is the share of label 1 (0.5 without any).
 """
@@ -38,8 +38,6 @@ BATCH = 16
 RATE = 0.5
 SEED = 1
 THRESHOLD = 0.3
-#: The bucket of a word that repeats the word before.
-REPEATED = 0
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -72,7 +70,7 @@ def chunk_features(texts: list[bytes]):
     pairs = np.ones(len(hashes), bool)
     pairs[starts[counts > 0]] = False
     second = np.flatnonzero(pairs)
-    pair = np.where(hashes[second - 1] == hashes[second], REPEATED, _bucket(mix(mix(hashes[second - 1]) ^ hashes[second])))
+    pair = _bucket(mix(mix(hashes[second - 1]) ^ hashes[second]))
     return doc, of, at, buckets, second, pair
 
 
@@ -162,7 +160,7 @@ def _trainer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str, texts: int = TRAIN_TEXTS, most: int = TRAIN_BYTES) -> DataFrame | None:
     """text, label of the bounded sample, by the hash of the id, without ids whose texts do not fit; the ids are chosen before any text is read.  None if there are no rows."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).distinct()
     rows = docs.where(learn).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
     sizes = docs.where(learn).select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"))
     sizes = sizes.join(known, "id").groupBy("id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("id"))

@@ -10,7 +10,7 @@ from lexmill.llm import quality_model
 from lexmill.llm.ngram_lm import SET_ASIDE, Model, discounts, pack, pack_sorted, scored, unpack, unpack_sorted
 from lexmill.llm.quality_model import quality_scores, training_rows, word_features
 from lexmill.llm.tables import remainder
-from lexmill.llm.words import U64
+from lexmill.llm.words import U64, combine, mix, word_hashes
 
 from .conftest import text
 
@@ -159,3 +159,70 @@ def test_sample_leaves_out_texts_that_do_not_fit(spark, make):
     for texts, expected in [(20, 10), (4, 4)]:
         got = training_rows(docs, labels, F.lit(True), "doc_id", "text", "quality", texts=texts, most=100).collect()
         assert len(got) == expected and all(r["id"] >= 10 for r in got)
+
+
+def test_labels_other_than_0_and_1_are_none(spark, make):
+    docs, labels, _ = labelled(spark, make)
+    odd = spark.createDataFrame([(i, q, 0) for i in range(300, 400) for q in (2, -1)] + [(i, 7, 0) for i in range(0, 300, 5)], "doc_id long, quality int, toxic int")
+    more = make([(i, "odd " * 50) for i in range(300, 400)])
+    one, two = (sorted(quality_scores(docs, x, remainder() != 0).collect(), key=str) for x in (labels, labels.unionByName(odd)))
+    assert one == two
+    assert {r["score"] for r in quality_scores(more, odd, remainder() != 0).collect()} == {0.5}
+
+
+def test_repeated_rows_long_texts_and_clashing_columns(spark, make):
+    docs, labels, _ = labelled(spark, make)
+    more = make([(1000, "word " * 200_000), (1001, "x" * 1_000_000), *[(1002, text(2, 40))] * 3])
+    both = docs.unionByName(more)
+    for name in ("id", "label", "score", "predicted", "quality", "size", "h"):
+        both = both.withColumn(name, F.lit(name))
+    got = quality_scores(both, labels, remainder() != 0).collect()
+    assert len(got) == 303 + 5 and len({r["score"] for r in got if r["doc_id"] == 1002}) == 1
+    assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def plain_features(t):
+    """Bucket of every feature of a text, one by one."""
+    words = t.encode().lower().split()
+    hashes = [word_hashes([w])[0][0] for w in words]
+    bucket = lambda h: int(h >> U64(64 - 17))
+    out = []
+    for k, (w, h) in enumerate(zip(words, hashes, strict=True)):
+        out.append(bucket(mix(np.array([h]))[0]))
+        points = mix(np.array([ord(c) for c in f"<{w.decode()}>"], U64))
+        out += [bucket(combine(points[i : i + n], n)[0]) for n in (3, 4, 5) for i in range(len(points) - n + 1)]
+        if k:
+            out.append(bucket(mix(mix(np.array([hashes[k - 1]])) ^ h)[0]))
+    return out
+
+
+def test_training_against_a_plain_loop(monkeypatch):
+    """The same model by loops over texts, features and outputs."""
+    monkeypatch.setattr(quality_model, "LEAST_STEPS", 12)
+    texts = [text(i, 12) if i % 2 else f"{text(i, 5)} again again Éa" for i in range(20)]
+    labels = np.array([i % 2 for i in range(20)])
+    table, bias = quality_model.train([t.encode() for t in texts], labels)
+    dim, rng = quality_model.DIM, np.random.default_rng(quality_model.SEED)
+    vectors = rng.uniform(-1 / dim, 1 / dim, (quality_model.BUCKETS, dim))
+    out, b = np.zeros((2, dim)), np.log([0.5, 0.5])
+    found = [plain_features(t) for t in texts]
+    steps = max(quality_model.EPOCHS, 6) * 2
+    done = 0
+    for _ in range(steps // 2):
+        order = rng.permutation(20)
+        for some in (order[:16], order[16:]):
+            rate = quality_model.RATE * (1 - done / steps)
+            done += 1
+            d_vectors, d_out, d_bias = {}, np.zeros((2, dim)), np.zeros(2)
+            for i in some:
+                mean = sum(vectors[f] for f in found[i]) / len(found[i])
+                odds = np.exp(out @ mean + b)
+                error = odds / odds.sum() - np.eye(2)[labels[i]]
+                d_out += np.outer(error, mean)
+                d_bias += error / len(some)
+                for f in found[i]:
+                    d_vectors[f] = d_vectors.get(f, 0) + error @ out / len(found[i])
+            out, b = out - rate * d_out, b - rate * d_bias
+            for f, d in d_vectors.items():
+                vectors[f] = vectors[f] - rate * d
+    assert np.allclose(table, vectors @ (out[1] - out[0]), atol=1e-5) and bias == pytest.approx(b[1] - b[0], abs=1e-5)
