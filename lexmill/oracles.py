@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from lexmill.plans.made_sources import EXTENSION, symbols_sql
 from lexmill.plans.patterns import KINDS, LANGUAGES
-from lexmill.plans.samples import EXPECTED
 
 FILES = "files as (select source || '/' || lang || '/' || cast(doc_id as varchar) || '.txt' as file_path, text as content, doc_id from documents)"
 RUNS = r"regexp_split_to_array({0}, '[^\p{{L}}\p{{M}}\p{{N}}_]+')"
@@ -184,10 +184,11 @@ ORACLES: dict[str, str] = {
 
 
 def _extracted(language: str) -> str:
-    quoted = lambda x: "null::varchar" if x is None else f"'{x}'"
-    rows = ", ".join("(" + ", ".join(map(quoted, (*row, language))) + ")" for row in EXPECTED[language])
-    return f"select * from (values {rows}) t(kind, name, container_name, visibility, language)"
+    own = lambda c: f"replace(replace(s.{c}, '<T>', t), '<w>', w)"
+    return f"""with p as (select p_partkey as k, upper(substr(f, 1, 1)) || substr(f, 2) || p_partkey as t, lower(f) || p_partkey as w from (select p_partkey, split_part(p_name, ' ', 1) as f from part)),
+ s(by_, rest, kind, name, container_name, visibility) as (values {symbols_sql(language)})
+ select 'src/{language}/f' || k || '.{EXTENSION[language]}' as repo_rel_path, kind, {own('name')} as name, {own('container_name')} as container_name, visibility, '{language}' as language from p join s on k % by_ = rest"""
 
 
 ORACLES["stream_latest_wins"] = ORACLES["upd_latest_wins"]
-ORACLES |= {f"extract_symbols_{language}": _extracted(language) for language in EXPECTED}
+ORACLES |= {f"extract_symbols_{language}": _extracted(language) for language in EXTENSION}

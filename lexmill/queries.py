@@ -21,7 +21,7 @@ from lexmill.operators.corpus import Corpus, file_terms, postings_table, term_ta
 from lexmill.operators.snippets import file_lines, groups, snippets, windows
 from lexmill.operators.symbols import distinct_files, search_symbols
 from lexmill.plans.benchmark import planted_corpus
-from lexmill.plans.samples import SOURCES
+from lexmill.plans.made_sources import EXTENSION, source_column
 from lexmill.plans.patterns import KINDS, LANGUAGES, SymbolQuery
 from lexmill.sinks import output
 from lexmill.sources.extract import symbols_of
@@ -154,12 +154,16 @@ def stream_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_from_stream(_change_rows(stream), "ts", "event_id").select("path", "action", "event_id")
 
 
-def _extracted(language: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = spark.createDataFrame([SOURCES[language]], "repo_rel_path string, content string")
-        return symbols_of(files).select("kind", "name", "container_name", "visibility", "language")
+def made_files(spark: SparkSession, sf_dir: str, language: str) -> DataFrame:
+    """A source file for each row of the part table."""
+    first, key = F.split("p_name", " ")[0], F.col("p_partkey")
+    type_name, word = F.concat(F.upper(F.substring(first, 1, 1)), F.substring(first, 2, 1 << 20), key.cast("string")), F.concat(F.lower(first), key.cast("string"))
+    path = F.concat(F.lit(f"src/{language}/f"), key.cast("string"), F.lit(f".{EXTENSION[language]}"))
+    return read(spark, sf_dir, "part").select(path.alias("repo_rel_path"), source_column(language, key, type_name, word).alias("content"))
 
-    return run
+
+def _extracted(language: str) -> Query:
+    return lambda s, d: symbols_of(made_files(s, d, language)).select("repo_rel_path", "kind", "name", "container_name", "visibility", "language")
 
 
 PHRASE = [(0, "of"), (1, "the")]
@@ -264,4 +268,4 @@ QUERIES: dict[str, Query] = {
     "bench_corpus_planted": lambda s, d: file_lines(planted_corpus(s)).groupBy(F.regexp_extract("line_content", "fn (initialize_connection|connect_database|handle_request)", 1).alias("planted")).agg(F.countDistinct("file_path").alias("n")).where("planted <> ''"),
     "bench_corpus_query": lambda s, d: tok.search(Corpus(planted_corpus(s)), "%request%"),
 }
-QUERIES |= {f"extract_symbols_{language}": _extracted(language) for language in SOURCES}
+QUERIES |= {f"extract_symbols_{language}": _extracted(language) for language in EXTENSION}
