@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.config import Config
-from lexmill.functions.analyzers import extension, relative_path
+from lexmill.functions.analyzers import extension
 from lexmill.functions.globs import glob_regex
 
-from .pdf import pdf_text
+from .pdf import BadPdf, pdf_text
 
 #: Extensions of files that are indexed.
 EXTENSIONS = (
@@ -71,6 +74,10 @@ class IgnoreRules:
                 decided = not negated
         return decided
 
+    def decided(self, path: str, is_folder: bool) -> bool:
+        """Whether a path is ignored that lies in no ignored folder."""
+        return self._one(path, is_folder)
+
     def ignored(self, path: str) -> bool:
         parts = path.split("/")
         return any(self._one("/".join(parts[:i]), True) for i in range(1, len(parts))) or self._one(path, False)
@@ -105,60 +112,169 @@ def _ignore_regex(line: str, anchored: bool) -> str:
     return out + r"\Z"
 
 
-def ignore_rules(root: str, ignore_file: str = ".lexmillignore") -> IgnoreRules:
-    """The repository's exclude file, its .gitignore files from the top down, and the root's own ignore file, which has the last word."""
-    rules = IgnoreRules()
-    exclude = os.path.join(root, ".git/info/exclude")
-    if os.path.isfile(exclude):
-        rules.add("", open(exclude, encoding="utf-8", errors="replace"))
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(f for f in folders if not f.startswith("."))
-        if ".gitignore" in names:
-            inner = os.path.relpath(folder, root)
-            rules.add("" if inner == "." else inner.replace(os.sep, "/"), open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace"))
-    own = os.path.join(root, ignore_file)
-    if os.path.isfile(own):
-        rules.add("", open(own, encoding="utf-8", errors="replace"))
-    return rules
-
-
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({"file_path": batch["file_path"], "content": [pdf_text(bytes(b)) for b in batch["bytes"]]})
-
-
-def decoded(rows: DataFrame, pdfs: bool = False) -> DataFrame:
-    """file_path, content from (file_path, bytes): UTF-8 with bad bytes replaced; the text layer of PDF files."""
-    is_pdf = extension(F.col("file_path")) == "pdf"
-    plain = rows.where(~is_pdf) if pdfs else rows
-    out = plain.select("file_path", F.make_valid_utf8(F.col("bytes").cast("string")).alias("content"))
-    if pdfs:
-        out = out.unionByName(rows.where(is_pdf).mapInPandas(_texts, "file_path string, content string"))
-    return out
-
-
-def scan(spark: SparkSession, root: str, config: Config | None = None, rules: IgnoreRules | None = None) -> DataFrame:
-    """file_path, repo_rel_path, size, modified, content of the files under root that are to be indexed.
-
-    Names, sizes and rules are judged on the listing, before any content is read."""
+def global_ignore_lines() -> list[str]:
+    """Lines of the user's own ignore file: core.excludesFile of their git configuration, else git/ignore in their configuration folder."""
+    home = os.path.expanduser("~")
+    folder = os.environ.get("XDG_CONFIG_HOME") or os.path.join(home, ".config")
+    place = os.path.join(folder, "git/ignore")
+    for name in (os.path.join(folder, "git/config"), os.path.join(home, ".gitconfig")):
+        if os.path.isfile(name):
+            with open(name, encoding="utf-8", errors="replace") as f:
+                if found := re.search(r"(?mi)^\s*excludesfile\s*=\s*\"?([^\"\n]+?)\"?\s*$", f.read()):
+                    place = os.path.expanduser(found[1])
+    if not os.path.isfile(place):
+        return []
+    with open(place, encoding="utf-8", errors="replace") as f:
+        return f.read().splitlines()
+
+
+#: A folder's rules as they are handed down: (folder, lines), outermost first.
+Handed = list[tuple[str, list[str]]]
+
+
+class Tree:
+    """Folders of one root, on any file system that Arrow knows."""
+
+    def __init__(self, root: str):
+        self.files, self.root = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+        self.root = self.root.rstrip("/") or "/"
+
+    def lines(self, name: str) -> list[str]:
+        """Lines of a small text file; none if it is not there."""
+        try:
+            with self.files.open_input_stream(f"{self.root}/{name}") as f:
+                return f.read().decode("utf-8", "replace").splitlines()
+        except (OSError, ValueError):
+            return []
+
+    def listed(self, folder: str) -> list[fs.FileInfo]:
+        """Files and folders in a folder, by name; linked folders are not followed."""
+        at = f"{self.root}/{folder}" if folder else self.root
+        found = self.files.get_file_info(fs.FileSelector(at))
+        linked = lambda x: x.type == fs.FileType.Directory and isinstance(self.files, fs.LocalFileSystem) and os.path.islink(x.path)
+        return sorted((x for x in found if not linked(x)), key=lambda x: x.base_name)
+
+    def walked(self, folder: str, handed: Handed, last: list[str], deep: bool) -> Iterator[tuple]:
+        """(path below the root, size, modified, reason) of the files in a folder, and of hidden, ignored or unreadable folders (their paths end in "/").
+
+        deep: of all folders below as well; otherwise those are given as (path, None, None, rules to hand down)."""
+        stack = [(folder, handed)]
+        while stack:
+            at, handed = stack.pop()
+            try:
+                found = self.listed(at)
+            except OSError:
+                yield f"{at}/", 0, None, "unreadable"
+                continue
+            if any(x.base_name == ".gitignore" and x.is_file for x in found):
+                handed = [*handed, (at, self.lines(f"{at}/.gitignore" if at else ".gitignore"))]
+            rules = IgnoreRules()
+            for base, text in [*handed, ("", last)]:
+                rules.add(base, text)
+            for x in found:
+                path, is_folder = f"{at}/{x.base_name}" if at else x.base_name, x.type == fs.FileType.Directory
+                why = "hidden" if x.base_name.startswith(".") else "ignored" if rules.decided(path, is_folder) else None
+                if is_folder and why is None:
+                    if deep:
+                        stack.append((path, handed))
+                    else:
+                        yield path, None, None, handed
+                else:
+                    yield path + "/" * is_folder, x.size or 0, x.mtime, why
+
+
+_LISTED = pa.schema([("repo_rel_path", pa.string()), ("size", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("reason", pa.string())])
+#: The driver opens folders until there are so many to hand out.
+HANDED_OUT = 64
+
+
+def _walker(root: str, last: list[str]):
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, held = Tree(root), []
+        for batch in batches:
+            for row in batch.to_pylist():
+                for entry in tree.walked(row["folder"], json.loads(row["handed"]), last, row["deep"]):
+                    if entry[1] is not None:
+                        held.append(entry)
+                    if len(held) == 10_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _LISTED, strict=True)], schema=_LISTED)
+                        held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _LISTED, strict=True)], schema=_LISTED)
+
+    return walk
+
+
+def listing(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
+    """file_path, repo_rel_path, size, modified, reason of every file under root: reason is why it is not to be indexed, else null.
+
+    Hidden and ignored folders are one row each (with a "/" at the end) and are not opened.  The driver opens folders from the
+    top until there are enough to hand out; tasks list those, and walk what is below them.  Rules are those of the user's
+    ignore file, the repository's exclude file, .gitignore files from the top down, and the root's own ignore file, which
+    has the last word."""
     config = config or Config()
-    root = os.path.abspath(root)
-    rules = ignore_rules(root, config.ignore_file) if rules is None else rules
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", r"\Afile:/*", "/")
-    listed = listed.select(path.alias("file_path"), relative_path(path, root).alias("repo_rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.col("content").alias("bytes"))
-    kept = listed.where(indexable(F.col("repo_rel_path"), config)).where(F.col("size") <= config.max_file_size)
-    if rules.rules:
-        sent = spark.sparkContext.broadcast(rules)
-
-        @F.pandas_udf("boolean")
-        def ignored(paths: pd.Series) -> pd.Series:
-            return paths.map(sent.value.ignored)
-
-        wanted = kept.select("file_path", "repo_rel_path").where(~ignored("repo_rel_path")).select("file_path")
-        kept = kept.join(wanted, "file_path", "left_semi")
-    text = decoded(kept.select("file_path", "bytes"), config.include_pdfs)
-    return kept.drop("bytes").join(text, "file_path")
+    tree = Tree(root)
+    last = tree.lines(config.ignore_file)
+    opened, waiting = [], [("", [("", global_ignore_lines()), ("", tree.lines(".git/info/exclude"))])]
+    while waiting and len(waiting) < HANDED_OUT:
+        folder, handed = waiting.pop(0)
+        opened.append((folder, json.dumps(handed), False))
+        waiting += [(path, down) for path, size, _, down in tree.walked(folder, handed, last, False) if size is None]
+    work = opened + [(folder, json.dumps(handed), True) for folder, handed in waiting]
+    given = spark.createDataFrame(work, "folder string, handed string, deep boolean").repartition(min(len(work), 4 * spark.sparkContext.defaultParallelism))
+    found = given.mapInArrow(_walker(root, last), "repo_rel_path string, size long, modified timestamp, reason string")
+    why = F.coalesce("reason", F.when(~F.col("repo_rel_path").endswith("/"), skip_reason(F.col("repo_rel_path"), F.col("size"), config)))
+    return found.select(F.concat(F.lit(f"{tree.root}/"), "repo_rel_path").alias("file_path"), "repo_rel_path", "size", "modified", why.alias("reason"))
+
+
+_READ = pa.schema([("file_path", pa.string()), *_LISTED, ("bytes", pa.binary())])
+
+
+def _reader(root: str, most: int = 8 << 20):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, held, size = Tree(root), [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = None
+                if row["reason"] is None:
+                    try:
+                        with tree.files.open_input_stream(row["file_path"]) as f:
+                            data = f.read()
+                        if row["repo_rel_path"].lower().endswith(".pdf"):
+                            data = pdf_text(data).encode("utf-8", "replace")
+                    except (OSError, BadPdf):
+                        row["reason"], data = "unreadable", None
+                held.append(row | {"bytes": data})
+                size += len(data or b"")
+                if size >= most or len(held) >= 5000:
+                    yield pa.RecordBatch.from_pylist(held, _READ)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pylist(held, _READ)
+
+    return read
+
+
+def scanned(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
+    """The listing with the content of the files to be indexed: UTF-8 with bad bytes replaced, the text layer of PDF files.
+
+    A file that cannot be read, or is no PDF though named so, is a row with the reason "unreadable".  Paths are dealt out evenly; contents are not shuffled."""
+    listed = listing(spark, root, config).repartition(4 * spark.sparkContext.defaultParallelism, "file_path")
+    found = listed.mapInArrow(_reader(root), "file_path string, repo_rel_path string, size long, modified timestamp, reason string, bytes binary")
+    return found.select("file_path", "repo_rel_path", "size", "modified", F.make_valid_utf8(F.col("bytes").cast("string")).alias("content"), "reason")
+
+
+def scan(spark: SparkSession, root: str, config: Config | None = None) -> DataFrame:
+    """file_path, repo_rel_path, size, modified, content of the files under root that are to be indexed."""
+    return scanned(spark, root, config).where("reason is null").drop("reason")
+
+
+def changed(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """path, action of what differs between a listing and the files that an index knows (repo_rel_path, size, modified): a change feed from two states of a tree."""
+    now = listed.where("reason is null").select("repo_rel_path", F.struct("size", "modified").alias("now"))
+    then = known.select("repo_rel_path", F.struct("size", "modified").alias("then"))
+    both = now.join(then, "repo_rel_path", "full_outer").where(~F.col("now").eqNullSafe(F.col("then")))
+    return both.select(F.col("repo_rel_path").alias("path"), F.when(F.col("now").isNull(), "remove").otherwise("index").alias("action"))
 
 
 def glob_files(files: DataFrame, glob: str) -> DataFrame:
@@ -184,10 +300,17 @@ def skip_reason(path: Column, size: Column, config: Config | None = None) -> Col
     return F.when(hidden, "hidden").when(~indexable(path, config, hidden=True), "extension").when(size > config.max_file_size, "size")
 
 
+#: Why a file is not indexed.
+REASONS = ("hidden", "ignored", "extension", "size", "unreadable")
+
+
 def skip_report(listed: DataFrame, config: Config | None = None, samples: int = 10) -> DataFrame:
-    """reason, n, samples (the first paths, at most so many) of the files of a listing (path, size) that are skipped."""
-    why = listed.select("path", skip_reason(F.col("path"), F.col("size"), config).alias("reason")).where("reason is not null")
+    """reason, n, samples (the first paths, at most so many) of the files that are skipped: of a listing with reasons (repo_rel_path, reason), or of plain files (path, size)."""
+    if "reason" in listed.columns:
+        why = listed.select(F.col("repo_rel_path").alias("path"), "reason").where("reason is not null")
+    else:
+        why = listed.select("path", skip_reason(F.col("path"), F.col("size"), config).alias("reason")).where("reason is not null")
     counts = why.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    firsts = [why.where(F.col("reason") == r).orderBy("path").limit(samples) for r in ("hidden", "extension", "size")]
-    shown = firsts[0].unionByName(firsts[1]).unionByName(firsts[2]).groupBy("reason").agg(F.sort_array(F.collect_list("path")).alias("samples"))
+    firsts = [why.where(F.col("reason") == r).orderBy("path").limit(samples) for r in REASONS]
+    shown = reduce(DataFrame.unionByName, firsts).groupBy("reason").agg(F.sort_array(F.collect_list("path")).alias("samples"))
     return counts.join(shown, "reason")

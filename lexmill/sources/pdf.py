@@ -24,7 +24,14 @@ def _literal(raw: bytes) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    """Shown strings, a line for each text line; BadPdf if the data is no PDF."""
+    """Shown strings, a line for each text line; BadPdf if the data is no PDF, or its streams or strings cannot be read."""
+    try:
+        return _text(data)
+    except (ValueError, UnicodeError, OverflowError, RecursionError) as e:
+        raise BadPdf(str(e)) from e
+
+
+def _text(data: bytes) -> str:
     if not data.startswith(b"%PDF-"):
         raise BadPdf("no PDF header")
     out: list[str] = []

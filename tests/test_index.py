@@ -14,6 +14,7 @@ from lexmill.operators import updates as upd
 from lexmill.operators.index import Index, NoIndex
 from lexmill.service import Service, answer, search, serve
 from lexmill.sinks import output
+from lexmill.sources import listing as listing_module
 from lexmill.sources.listing import IgnoreRules, fingerprint, glob_files, indexable, scan
 from lexmill.sources.pdf import BadPdf, pdf_text
 from lexmill.streaming.changes import apply_batch, watch
@@ -40,6 +41,39 @@ def test_scan(spark, tmp_path):
     assert scanned(spark, tmp_path)["bad.txt"] == b"A\xffB\xe2\x82".decode(errors="replace")
 
 
+def test_scan_sees_every_name(spark, tmp_path, monkeypatch):
+    """Names with a leading underscore, broken PDF files, linked folders, a file that cannot be read, rules of the user, the repository and the root."""
+    home = tmp_path / "home"
+    root = tmp_path / "root"
+    write(home, {".config/git/ignore": "*.bak.txt\n", "elsewhere": ""})
+    monkeypatch.setenv("HOME", str(home))
+    monkeypatch.delenv("XDG_CONFIG_HOME", raising=False)
+    write(root, {
+        "__init__.py": "i", "_util/_a.py": "u", "__tests__/t.js": "t", "broken.pdf": b"no pdf", "odd.pdf": b"%PDF-1.4\n<</Filter /FlateDecode>> stream\nzzz\nendstream", "x.bak.txt": "b", "y.txt": "y", "gen/z.txt": "z", "gen/deep/w.txt": "w",
+        "keep/.gitignore": "*.txt\n!stay.txt\n", "keep/a.txt": "a", "keep/stay.txt": "s", "keep/in/b.txt": "b", ".git/info/exclude": "/gen/\n", ".lexmillignore": "y.txt\n!keep/a.txt\n", ".env.py": "h", "notes": "n", "large.md": "l" * 99,
+    })
+    (root / "loop").symlink_to(root, target_is_directory=True)
+    (root / "gone.py").symlink_to(root / "nowhere.py")
+    config = Config(include_pdfs=True, max_file_size=90)
+    rows = {r["repo_rel_path"]: (r["content"], r["reason"]) for r in listing_module.scanned(spark, str(root), config).collect()}
+    assert {p for p, (c, why) in rows.items() if why is None} == {"__init__.py", "_util/_a.py", "__tests__/t.js", "keep/a.txt", "keep/stay.txt"}
+    expected = {"broken.pdf": "unreadable", "odd.pdf": "unreadable", "x.bak.txt": "ignored", "y.txt": "ignored", "gen/": "ignored", "keep/in/b.txt": "ignored", ".git/": "hidden", "keep/.gitignore": "hidden", ".lexmillignore": "hidden", ".env.py": "hidden", "notes": "extension", "large.md": "size"}
+    assert {p: why for p, (_, why) in rows.items() if why and p != "gone.py"} == expected
+    report = {r["reason"]: (r["n"], r["samples"]) for r in listing_module.skip_report(listing_module.scanned(spark, str(root), config)).collect()}
+    assert report["ignored"] == (4, ["gen/", "keep/in/b.txt", "x.bak.txt", "y.txt"]) and report["unreadable"][1][:2] == ["broken.pdf", "odd.pdf"]
+    monkeypatch.setattr(listing_module, "HANDED_OUT", 1)
+    assert {r["repo_rel_path"]: r["reason"] for r in listing_module.listing(spark, f"file://{root}", config).collect() if r["repo_rel_path"] != "gone.py"} == {p: None if why == "unreadable" else why for p, (_, why) in rows.items() if p != "gone.py"}
+
+
+def test_changed_between_two_listings(spark, tmp_path):
+    write(tmp_path, {"a.py": "a", "b.py": "b", "c.py": "c"})
+    known = spark.createDataFrame(scan(spark, str(tmp_path)).collect())
+    (tmp_path / "a.py").unlink()
+    write(tmp_path, {"b.py": "longer", "d.py": "d"})
+    got = listing_module.changed(listing_module.listing(spark, str(tmp_path)), known).collect()
+    assert sorted(map(tuple, got)) == [("a.py", "remove"), ("b.py", "index"), ("d.py", "index")]
+
+
 def test_ignore_rules():
     rules = IgnoreRules()
     rules.add("", ["# note", "build/", "/top.rs", "a/**/z.rs", "*.tmp", "!keep.tmp", r"\!odd"])
