@@ -44,6 +44,10 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+#: How long a feed is idle before an index of many segments is compacted.
+COMPACT_AFTER_SECS = 30.0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = vars(parser().parse_args(argv))
     root, command = worktree_root(args.pop("root")), args.pop("command")
@@ -59,7 +63,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif command == "serve":
         serve(service, sys.stdin, sys.stdout)
     elif command == "watch":
-        stop_when_idle(watch(spark, args["feed"], index, f"{index.root}/checkpoint", config), config.idle_timeout_secs)
+        stop_when_idle(watch(spark, args["feed"], index, f"{index.root}/checkpoint", config), config.idle_timeout_secs, index=index, compact_after=COMPACT_AFTER_SECS)
     else:
         return search(service, **args)
     return 0

@@ -7,29 +7,49 @@ lengths   file_path, dl: body tokens of each file
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.functions.analyzers import body_tokens, token_positions
 
 
-def files_table(df: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
-    return df.select(F.col(path).alias("file_path"), F.col(content).alias("content"))
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file_path, dl, postings of each file; a file's occurrences come in order."""
+    for batch in batches:
+        counts = np.diff(batch.column(1).offsets.to_numpy())
+        found = batch.column(1).flatten()
+        words = found.field("token").dictionary_encode()
+        codes, pos = words.indices.to_numpy(), found.field("pos").to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), counts)
+        order = np.lexsort((codes, row))
+        codes, row = codes[order], row[order]
+        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])]))
+        ends = np.append(starts, len(order)).astype(np.int32)
+        token = words.dictionary.take(pa.array(codes[starts]))
+        made = pa.StructArray.from_arrays([token, pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(pos[order], pa.int32()))], ["token", "tf", "positions"])
+        upto = np.concatenate([[0], np.cumsum(np.bincount(row[starts], minlength=batch.num_rows))]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.ListArray.from_arrays(pa.array(upto), made)], ["file_path", "dl", "postings"])
 
 
-def occurrences(files: DataFrame) -> DataFrame:
-    """file_path, token, pos: a row for each token occurrence."""
-    return files.select("file_path", F.explode(token_positions(F.col("content"))).alias("x")).select("file_path", "x.token", "x.pos")
+def grouped_files(files: DataFrame) -> DataFrame:
+    """file_path, dl, postings (token, tf, positions): a row for each file, made in one pass without a shuffle."""
+    placed = F.coalesce(token_positions(F.col("content")), F.array().cast("array<struct<token:string,pos:int>>"))
+    return files.select("file_path", placed.alias("x")).mapInArrow(_group, "file_path string, dl long, postings array<struct<token:string,tf:int,positions:array<int>>>")
 
 
-def postings_table(files: DataFrame) -> DataFrame:
-    """A row for each file and token; a file's occurrences of a token are gathered ahead of the shuffle.
+def postings_of(grouped: DataFrame) -> DataFrame:
+    rows = grouped.select("file_path", F.explode("postings").alias("p"))
+    return rows.select("p.token", F.reverse("p.token").alias("token_rev"), "file_path", "p.tf", "p.positions")
+
 
-    (Sorting and cutting the occurrences inside each row would spare this shuffle, but took twice the time.)"""
-    grouped = occurrences(files).groupBy("file_path", "token").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select("token", F.reverse("token").alias("token_rev"), "file_path", "tf", "positions")
+def postings_table(files: DataFrame) -> DataFrame:
+    """A row for each file and token."""
+    return postings_of(grouped_files(files))
 
 
 def lengths_table(files: DataFrame) -> DataFrame:
@@ -50,11 +70,16 @@ def file_terms(files: DataFrame) -> DataFrame:
 
 @dataclass
 class Corpus:
-    """Files, and postings and lengths if an index holds them."""
+    """Files, and what an index holds of them.
+
+    reversed: token, token_rev, file_path sorted by token_rev.  terms: token, df, cf, maybe in several rows a token.  n_files: how many files there are, or were at the last build."""
 
     files: DataFrame
     postings: DataFrame | None = None
     lengths: DataFrame | None = None
+    reversed: DataFrame | None = None
+    terms: DataFrame | None = None
+    n_files: int | None = None
 
     def with_postings(self) -> Corpus:
         if self.postings is not None:

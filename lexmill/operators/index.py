@@ -4,19 +4,25 @@
     root/DIRTY                             there while an update runs
     root/generations/gen-<number>/
         report.json                        version, segments in order, last batch, signature
-        <segment>/                         files, postings, lengths, symbols, gone (Parquet)
+        <segment>/                         files, grouped, postings, reversed, terms, lengths, symbols, gone (Parquet)
 
 A generation is built aside and becomes active by renaming the pointer's new text over the old.  An update
 costs what it changes: it adds a segment with the changed files' rows and the list of all changed paths, whose
 rows in earlier segments no longer count; then the report is replaced as a whole, together with the number of
 the batch, so that a batch is applied once.  Readers drop outdated rows by an anti join with the changed paths
 since the last compaction, which merges the segments into a new generation.  postings of a base segment is
-sorted by token in ranges, so that exact and prefix searches read few row groups.
+sorted by token in ranges, so that exact and prefix searches read few row groups; reversed is a slim copy sorted
+by the reversed token, for suffixes; terms holds each token's frequencies, by which regex searches are planned.
+They are all made from grouped, which holds each file's postings as they come from one pass over its text.
+
+A crash within an update leaves the report as it was, and a segment that no report names; recover() removes it.
+Updates and compaction exclude each other within a process.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 from dataclasses import dataclass
 from functools import reduce
@@ -29,10 +35,11 @@ from lexmill.functions.analyzers import extension
 from lexmill.sources.extract import SCANNERS, symbols_of
 from lexmill.sources.listing import fingerprint
 
-from .corpus import Corpus, lengths_table, postings_table
+from .corpus import Corpus, grouped_files, postings_of, term_table
 from .symbols import search_columns
+from .updates import within_size
 
-VERSION = 2
+VERSION = 3
 
 
 class NoIndex(RuntimeError):
@@ -46,7 +53,10 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        # An instance of its own without side files for checksums, which a rename cannot replace together with their file.
+        self.fs = jvm.org.apache.hadoop.fs.FileSystem.newInstance(self._path(self.root).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        self.fs.setWriteChecksum(False)
+        self.fs.setVerifyChecksum(False)
         self._rename = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
         self._overwrite = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         self._array = spark.sparkContext._gateway.new_array
@@ -144,6 +154,7 @@ class Index:
     def __post_init__(self):
         self.store = Store(self.spark, self.root)
         self.generations = Generations(self.store)
+        self._lock = threading.RLock()
 
     def _at(self, generation: str, segment: str, table: str) -> str:
         return self.store.path(f"generations/{generation}/{segment}/{table}")
@@ -154,9 +165,14 @@ class Index:
         put(files, "files")
         files = self.spark.read.schema(files.schema).parquet(self._at(generation, segment, "files"))
         slim = files.select("file_path", "content")
-        postings = postings_table(slim)
-        put(postings.sortWithinPartitions("token", "file_path") if gone is not None else postings.repartitionByRange("token").sortWithinPartitions("token", "file_path"), "postings")
-        put(lengths_table(slim), "lengths")
+        put(grouped_files(slim), "grouped")
+        grouped = self.spark.read.parquet(self._at(generation, segment, "grouped"))
+        postings = postings_of(grouped)
+        by = lambda df, *keys: df.sortWithinPartitions(*keys) if gone is not None else df.repartitionByRange(keys[0]).sortWithinPartitions(*keys)
+        put(by(postings, "token", "file_path"), "postings")
+        put(by(postings.select("token_rev", "token", "file_path"), "token_rev", "file_path"), "reversed")
+        put(by(term_table(postings), "token"), "terms")
+        put(grouped.select("file_path", "dl"), "lengths")
         sources = files.where(extension(F.col("repo_rel_path")).isin(*SCANNERS))
         put(search_columns(symbols_of(sources, "file_path")), "symbols")
         put(gone if gone is not None else files.select("file_path").limit(0), "gone")
@@ -175,7 +191,8 @@ class Index:
     def _activate(self, files: DataFrame, signature: str | None, batch: int) -> str:
         name = self.generations.create()
         self._write(name, "base", files)
-        self._report(name, signature=signature, batch=batch)
+        n_files = self.spark.read.parquet(self._at(name, "base", "lengths")).count()
+        self._report(name, signature=signature, batch=batch, n_files=n_files)
         self.generations.activate(name)
         self.generations.clear_dirty()
         self.generations.clean()
@@ -200,8 +217,25 @@ class Index:
         rows = reduce(DataFrame.unionByName, [p.withColumn("_segment", F.lit(i)) for i, p in enumerate(parts)])
         return rows.join(last, (F.col("file_path") == F.col("_gone")) & (F.col("_segment") < F.col("_later")), "left_anti").drop("_segment")
 
+    def terms(self) -> DataFrame:
+        """token, df, cf as the segments counted them: a row a segment, replaced files included, so an upper bound."""
+        generation, report = self._active()
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(self._at(generation, s, "terms")) for s in report["segments"]])
+
     def corpus(self) -> Corpus:
-        return Corpus(self.table("files").select("file_path", "content"), self.table("postings"), self.table("lengths"))
+        report = self._active()[1]
+        return Corpus(self.table("files").select("file_path", "content"), self.table("postings"), self.table("lengths"), self.table("reversed"), self.terms(), report.get("n_files"))
+
+    def recover(self) -> list[str]:
+        """After a crash: removes segments that the report does not name, and the dirty mark.  The names removed."""
+        if not self.generations.dirty:
+            return []
+        name, report = self._active()
+        left = [s for s in self.store.names(f"generations/{name}") if s not in report["segments"] and s != "report.json"]
+        for s in left:
+            self.store.remove(f"generations/{name}/{s}")
+        self.generations.clear_dirty()
+        return left
 
     def symbols(self) -> DataFrame:
         return self.table("symbols")
@@ -214,12 +248,16 @@ class Index:
         """One batch: paths to be indexed get new's rows, those to be removed, or grown past the size limit, go.  The new segment's name.
 
         changes: path, action; one row a path.  new: columns of the files table."""
-        config = config or Config()
+        with self._lock:
+            return self._apply(changes, new, config or Config(), batch)
+
+    def _apply(self, changes: DataFrame, new: DataFrame, config: Config, batch: int | None) -> str:
+        self.recover()
         name, report = self._active()
         segment = f"s{time.time_ns()}"
         self.generations.mark_dirty()
         wanted = changes.where("action = 'index'").select(F.col("path").alias("file_path"))
-        fresh = new.join(wanted, "file_path", "left_semi").where(F.octet_length("content") <= config.max_file_size)
+        fresh = within_size(new.join(wanted, "file_path", "left_semi"), config.max_file_size)
         columns = self.spark.read.parquet(self._at(name, report["segments"][0], "files")).columns
         self._write(name, segment, fresh.select(*columns), changes.select(F.col("path").alias("file_path")))
         self._report(name, **report | {"segments": [*report["segments"], segment], "signature": None, "batch": report["batch"] if batch is None else batch})
@@ -228,8 +266,9 @@ class Index:
 
     def compact(self) -> str:
         """The active generation's tables as one segment of a new generation."""
-        _, report = self._active()
-        return self._activate(self.table("files"), report["signature"], report["batch"])
+        with self._lock:
+            _, report = self._active()
+            return self._activate(self.table("files"), report["signature"], report["batch"])
 
     def should_compact(self, baseline: int = 1, factor: int = 3) -> bool:
         """True if there are many more segments than after a build."""

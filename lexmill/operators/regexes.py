@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from lexmill.functions.analyzers import lines
 from lexmill.functions.dialect import jvm_pattern, py_pattern
-from lexmill.plans.literals import literal_candidates, token_candidates
+from lexmill.plans.literals import literal_candidates, phrases, token_candidates
 from lexmill.plans.patterns import Candidates
 from lexmill.plans.planner import prefer_scan
 
 from .corpus import Corpus
 from .snippets import file_lines, windows
-from .tokens import all_substrings
+from .tokens import all_substrings, phrase
 
 
 def holds(text: Column, needed: Candidates) -> Column:
@@ -39,6 +39,16 @@ def candidates(corpus: Corpus, pattern: str) -> DataFrame | None:
     return reduce(DataFrame.unionByName, [all_substrings(corpus, b) for b in needed.branches]).distinct()
 
 
+def phrase_candidates(corpus: Corpus, pattern: str) -> DataFrame | None:
+    """file_path of the files that hold one of the few exact strings of a pattern as whole tokens; None if it has none of two tokens or more.
+
+    A string may also lie inside longer tokens, so these are sure to match but not all."""
+    found = phrases(pattern)
+    if not found:
+        return None
+    return reduce(DataFrame.unionByName, [phrase(corpus, list(p.terms)).select("file_path") for p in found]).distinct()
+
+
 def narrowed(corpus: Corpus, pattern: str, ignore_case: bool = False, use_index: bool | None = None) -> DataFrame:
     """Files that hold the pattern's literals; through the index if there is one and the planner favours it."""
     files = corpus.files

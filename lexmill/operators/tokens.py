@@ -42,7 +42,8 @@ def _may_hold(texts: Sequence[str]) -> Column:
 def _one(corpus: Corpus, mode: Mode, text: str) -> DataFrame:
     if corpus.postings is None:
         return corpus.files.where(_may_hold([text]) & F.exists(body_tokens(F.col("content")), lambda t: token_is(mode, text, t))).select("file_path")
-    found = corpus.postings.where(token_is(mode, text, reversed_token=F.col("token_rev"))).select("file_path")
+    table = corpus.reversed if mode is Mode.SUFFIX and corpus.reversed is not None else corpus.postings
+    found = table.where(token_is(mode, text, reversed_token=F.col("token_rev"))).select("file_path")
     return found if mode is Mode.EXACT else found.distinct()
 
 

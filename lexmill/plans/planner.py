@@ -11,17 +11,16 @@ from .patterns import Candidates
 BROAD_SHARE = 0.15
 
 
-def branch_sizes(postings: DataFrame, needed: Candidates) -> list[int]:
-    """An upper bound of each branch's files: its rarest fragment's postings, counted in one pass."""
+def branch_sizes(terms: DataFrame, needed: Candidates) -> list[int]:
+    """An upper bound of each branch's files: the document frequencies of the terms with its rarest fragment, from the index's term table in one pass."""
     parts = sorted({x for b in needed.branches for x in b})
-    row = postings.agg(*[F.coalesce(F.sum(F.col("token").contains(p).cast("long")), F.lit(0)).alias(f"n{i}") for i, p in enumerate(parts)]).first()
+    row = terms.agg(*[F.coalesce(F.sum(F.when(F.col("token").contains(p), F.col("df"))), F.lit(0)).alias(f"n{i}") for i, p in enumerate(parts)]).first()
     sizes = dict(zip(parts, row, strict=True))
     return [min(sizes[x] for x in b) for b in needed.branches]
 
 
 def prefer_scan(corpus, needed: Candidates) -> bool:
-    if needed.everything:
+    """Whether the branches may hold too large a share of the files; without stored term counts, scan."""
+    if needed.everything or corpus.terms is None or not corpus.n_files:
         return True
-    n = corpus.file_lengths().count()
-    found = sum(branch_sizes(corpus.postings, needed))
-    return found >= BROAD_SHARE * n
+    return sum(branch_sizes(corpus.terms, needed)) >= BROAD_SHARE * corpus.n_files
