@@ -42,7 +42,7 @@ from .scratch import Scratch
 from .words import U64, mix, slices, word_hashes
 
 ORDER = 3
-BLOCK_WORDS = 5 << 19
+BLOCK_WORDS = 3 << 19
 #: Tokens of all texts to a partition of the tables.
 PART_TOKENS = 4 << 20
 MAX_DISCOUNTED = 5
@@ -161,7 +161,7 @@ class Block:
         self.tokens = place[unpack(row["seq"], "<u4")]
         self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         none = np.empty(0, np.int32)
-        self.levels = [None, Level(self.words, self.tokens, none, none, none, np.bincount(self.tokens[self.train], minlength=len(self.words)))]
+        self.levels = [None, Level(self.words, self.tokens, none, none, none, np.bincount(self.tokens[self.train], minlength=len(self.words)).astype(np.int32))]
         for n in range(2, order + 1):
             self.levels.append(self._level(n))
 
@@ -172,21 +172,27 @@ class Block:
     def _level(self, n: int) -> Level:
         v, below = len(self.words), self.levels[n - 1]
         begins = np.cumsum(self.lengths) - self.lengths
-        ahead = np.arange(len(self.tokens)) - np.repeat(begins, self.lengths)
-        at = np.flatnonzero(ahead >= n - 2)
+        late = np.ones(len(self.tokens), bool)  # has n - 1 symbols ahead
+        for k in range(n - 2):
+            late[(begins + k)[self.lengths > k]] = False
+        at = np.flatnonzero(late).astype(np.int32)
         before = below.of[at - 1].astype(np.int64)
         if n == 2:
             before[begins] = v
-        codes = before * v + self.tokens[at]
-        distinct, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
-        context, word = distinct // v, distinct % v
+        before *= v
+        before += self.tokens[at]
+        distinct, first, inverse = np.unique(before, return_index=True, return_inverse=True)
+        del before
+        inverse = inverse.astype(np.int32)
+        context, word = (distinct // v).astype(np.int32), (distinct % v).astype(np.int32)
+        del distinct
         hashed = mix(mix(self.contexts(n)[context]) ^ self.words[word])
         order = np.argsort(hashed)
         back = np.empty(len(order), np.int32)
         back[order] = np.arange(len(order), dtype=np.int32)
         of = np.full(len(self.tokens), -1, np.int32)
         of[at] = back[inverse]
-        return Level(hashed[order], of, context[order], word[order], below.of[at[first]][order], np.bincount(of[at][self.train[at]], minlength=len(order)))
+        return Level(hashed[order], of, context[order], word[order], below.of[at[first]][order], np.bincount(of[at][self.train[at]], minlength=len(order)).astype(np.int32))
 
 
 def _stats(counts: np.ndarray) -> list[int]:
