@@ -133,14 +133,23 @@ def _factor(noise: list[str]) -> list[str]:
     return out
 
 
-def _distance(x: list[str], name: str) -> list[str]:
-    """SQL of the squared Mahalanobis distance of x from m0.. under the factor l00.., by forward substitution."""
-    solved = [f"({_minus(f'({x[i]}) - m{i}', [f'l{i}{k} * y{k}' for k in range(i)])}) / l{i}{i} as y{i}" for i in range(D)]
-    return [*solved, f"{' + '.join(f'y{i} * y{i}' for i in range(D))} as {name}"]
+def _inverse() -> list[str]:
+    """SQL of p00, p10, ..: the inverse of the factor, so that a distance is one sum of squares; and of its determinant."""
+    out = []
+    for j in range(D):
+        out.append(f"1D / l{j}{j} as p{j}{j}")
+        out += [f"-({' + '.join(f'l{i}{k} * p{k}{j}' for k in range(j, i))}) / l{i}{i} as p{i}{j}" for i in range(j + 1, D)]
+    return [*out, f"{' * '.join(f'l{i}{i}' for i in range(D))} as size"]
+
+
+def _distance(x: list[str]) -> str:
+    """SQL of the squared Mahalanobis distance of x from m0.. under the inverse factor p00.. ."""
+    solved = [" + ".join(f"p{i}{k} * (({x[k]}) - m{k})" for k in range(i + 1)) for i in range(D)]
+    return " + ".join(f"pow({y}, 2)" for y in solved)
 
 
 _PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
-_SCATTER = [f"v{i}{j}" for i, j in _PAIRS]
+_SPARE = [f"{a}{i}{j}" for a in "vl" for i, j in _PAIRS]
 
 
 def _noise(chars: str, words: str, lines: str) -> list[str]:
@@ -205,17 +214,16 @@ def estimates(scratch: Scratch, cells: DataFrame, sizes: DataFrame) -> DataFrame
         fitted = fitted.unionByName(start.withColumn("start", F.lit(number)))
     keys = ["grp", "start"]
     fixed = base.select("grp", *[f"{a}{i}" for a in "ce" for i in range(D)])
-    fitted = scratch.save(fitted.join(fixed, "grp").selectExpr("*", *_factor(_NOISE)).drop(*_SCATTER), "starts")
+    fitted = scratch.save(fitted.join(fixed, "grp").selectExpr("*", *_factor(_NOISE), *_inverse()).drop(*_SPARE), "starts")
     for _ in range(STEPS):
-        placed = with_groups(fitted).selectExpr("*", *_distance(_ON_GRID, "d2"), f"floor({CLASSES} * ln(d2 + 1e-9D)) as class")
+        placed = with_groups(fitted).withColumn("class", F.expr(f"floor({CLASSES} * ln({_distance(_ON_GRID)} + 1e-9D))"))
         bound = _median(placed, keys, "class", SHARE).withColumnRenamed("class", "most")
         near = placed.join(F.broadcast(bound) if few else bound, keys).where(F.col("class") <= F.col("most"))
         found = _moments(near, keys, away, GRID, middle, RAW_FACTOR)
-        fitted = scratch.save(found.join(fixed, "grp").selectExpr("*", *_factor(_NOISE)).drop(*_SCATTER), "fitted")
-    determinant = F.col("l00") * F.col("l11") * F.col("l22") * F.col("l33")
-    best = fitted.groupBy("grp").agg(F.min(F.struct(determinant.alias("size"), "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
+        fitted = scratch.save(found.join(fixed, "grp").selectExpr("*", *_factor(_NOISE), *_inverse()).drop(*_SPARE), "fitted")
+    best = fitted.groupBy("grp").agg(F.min(F.struct("size", "start")).alias("best")).select("grp", F.col("best.start").alias("start"))
     raw = scratch.save(fitted.join(best, keys).drop("start"), "raw")
-    near = with_groups(raw).selectExpr("*", *_distance(_ON_GRID, "d2")).where(F.col("d2") <= REWEIGHTED_WITHIN)
+    near = with_groups(raw).where(f"{_distance(_ON_GRID)} <= {REWEIGHTED_WITHIN}D")
     return scratch.save(_moments(near, ["grp"], away, GRID, middle, REWEIGHTED_FACTOR).join(base.select("grp", "n_words", "n_lines"), "grp"), "estimates")
 
 
@@ -255,7 +263,7 @@ def _judged(docs: DataFrame, kept: Column, text_col: str, lang_col: str, source_
     verdicts = scratch.save(groups.drop("whole").join(found, "grp"), "verdicts")
     out = stats.join(F.broadcast(verdicts), where, "left") if _few(verdicts) else salted_join(stats, verdicts, where, "left")
     noise = _noise("least(cast(word_chars as double), median_words * exp(m0))", "least(n_words, median_words)", "least(n_lines, median_lines)")
-    out = out.selectExpr("*", *noise, *_factor(_NOISE), *_distance([f"x{i}" for i in range(D)], "d2"), "if(base_failed, null, d2) as distance")
+    out = out.selectExpr("*", *noise, *_factor(_NOISE), *_inverse(), f"if(base_failed, null, {_distance([f'x{i}' for i in range(D)])}) as distance")
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF))
 
 
