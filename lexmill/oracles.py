@@ -156,8 +156,8 @@ ORACLES: dict[str, str] = {
     "sym_glob": symbols(f"{FN} and regexp_matches(repo_rel_path, '^pkg/.*/f1.*\\.go$')"), "sym_regex_refine": REFINE,
     "sym_files": f"with {SYMBOLS} select distinct repo_rel_path from sym where kind = 'enum'",
     "an_body_tokens": f"with {FILES}, {OCC.replace('file_path', 'doc_id')} select doc_id, token, count(*) as n from occ group by all",
-    "an_reversed": f"with files as (select item_id as file_path, text as content from benchmark), {OCC} select file_path as item_id, reverse(token) as token, count(*) as n from occ group by all",
-    "an_positions": f"with files as (select item_id as file_path, text as content from benchmark), {OCC} select file_path as item_id, token, pos from occ",
+    "an_reversed": f"with {FILES}, {OCC.replace('file_path', 'doc_id')} select doc_id, reverse(token) as token, count(*) as n from occ group by all",
+    "an_positions": f"with {FILES}, {OCC.replace('file_path', 'doc_id')} select doc_id, token, pos from occ",
     "an_ident_parts": f"with {SYMBOLS} select distinct name, unnest({_parts('name')}) as part from sym",
     "an_qname_parts": f"with {SYMBOLS} select distinct qualified_name, unnest({_parts('qualified_name')}) as part from sym where qualified_name is not null",
     "src_ext_filter": f"with {PATHS} select page_id, path from paths where page_id % 6 in (0, 1, 4)",

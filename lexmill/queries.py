@@ -127,8 +127,8 @@ def _exploded(tokens: Callable, table: str, key: str, text: str) -> Query:
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = read(spark, sf_dir, "benchmark").select("item_id", F.explode(an.token_positions(F.col("text"))).alias("x"))
-    return made.select("item_id", "x.token", F.col("x.pos").cast("long").alias("pos"))
+    made = read(spark, sf_dir, "documents").select("doc_id", F.explode(an.token_positions(F.col("text"))).alias("x"))
+    return made.select("doc_id", "x.token", F.col("x.pos").cast("long").alias("pos"))
 
 
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,7 +244,7 @@ QUERIES: dict[str, Query] = {
     "sym_regex_refine": _refined("kind:fn", r"size(: [12]$|:? 4)"),
     "sym_files": lambda s, d: distinct_files(search_symbols(symbols(s, d), "kind:enum")),
     "an_body_tokens": _exploded(an.body_tokens, "documents", "doc_id", "text"),
-    "an_reversed": _exploded(an.reversed_tokens, "benchmark", "item_id", "text"),
+    "an_reversed": _exploded(an.reversed_tokens, "documents", "doc_id", "text"),
     "an_positions": positions,
     "an_ident_parts": lambda s, d: symbols(s, d).select("name", F.explode(an.identifier_parts(F.col("name"))).alias("part")).distinct(),
     "an_qname_parts": lambda s, d: symbols(s, d).select("qualified_name", F.explode(an.identifier_parts(F.col("qualified_name"))).alias("part")).distinct(),

@@ -114,3 +114,20 @@ def test_grep_patterns():
 def test_plan_metrics():
     assert plan_metrics([["a"], ["b", "c"]], ["c"]) == {"success": True, "first_hit_query": 2, "candidates": 3}
     assert plan_metrics([["a"]], ["z"]) == {"success": False, "first_hit_query": None, "candidates": 1}
+
+
+@pytest.mark.parametrize("pattern", ["[[:upper:]][[:digit:]]", "[^[:space:]]x]", "[a-z&&[^aeiou]]q]", "[]a[]z"])
+def test_classes_within_classes_promise_nothing(pattern):
+    assert literal_candidates(pattern).everything and token_candidates(pattern).everything and phrases(pattern) == []
+
+
+def test_choosing_files_and_lines_by_two_engines_agrees(spark):
+    """With matches over several lines files are chosen by one engine and lines by another: no file without a line, no line without a file."""
+    from lexmill.operators import regexes as rx
+    from lexmill.operators.corpus import Corpus
+
+    texts = ["fox\nden", "a fox\r\nden b", "Fox\n\nden", "foxden", "ÉTÉ\nété", "x1\ny2\nz3", "", "\n", "fox\n den\nfox\nden", "tab\there\nend"]
+    corpus = Corpus(spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "file_path string, content string"))
+    for pattern in (r"fox\s+den", r"x\n\s?den", r"fox.den", r"[[:alpha:]]\d\n", r"\w+\n\w+", r"(?i)FOX\r?\n", r"été", r"\bden\b", r"^\s*$", r"e\nend", r"(a|b)\s"):
+        files = {r["file_path"] for r in rx.matching_files(corpus, pattern, multiline=True).collect()}
+        assert files == {r["file_path"] for r in rx.matching_lines(corpus, pattern, multiline=True).collect()}, pattern

@@ -7,9 +7,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from lexmill.oracles import ORACLES
-from lexmill.queries import QUERIES
+from lexmill import oracles, queries, written, written_oracles
 
+QUERIES = queries.QUERIES | written.QUERIES
+ORACLES = oracles.ORACLES | written_oracles.ORACLES
 ROOT = Path(__file__).resolve().parents[1]
 
 
