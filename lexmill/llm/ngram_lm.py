@@ -20,7 +20,8 @@ partitions for the counts of its distinct n-grams, as one packed row a partition
 n-gram crosses the network once a block, however frequent it is, and no partition holds a context's n-grams
 together.  From three words on, a block asks only for n-grams whose first and last part both occur in other
 blocks as well: the others are its own, and it counts them itself.  Of the blocks that ask for an n-gram one is
-named its owner and reports its share of the context's sums.
+named its owner and reports it to its context, if any text that is not learnt from goes on after that context.
+Reports are whole numbers, how many n-grams have each count, so a(h) is as exact as one division.
 
 Null and empty texts are the end alone.  Rows that repeat an id are scored, and learnt from, each.
 A null id counts as the empty text in the hash that splits training from held-out rows.
@@ -207,27 +208,32 @@ def _wanted(block: Block, n: int, many: np.ndarray | None) -> np.ndarray:
     return np.ones(len(level.keys), bool) if many is None else many[level.context] & many[level.suffix]
 
 
-def _answers(block: Block, n: int, rows: list[dict], many: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each n-gram: its count in all training texts, whether this block is its owner, whether other blocks hold it."""
+def _answers(block: Block, n: int, rows: list[dict], many: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each n-gram: its count in all training texts, whether this block is its owner, whether other blocks hold it, whether it is a context in texts that are not learnt from."""
     asked = _wanted(block, n, many)
     told = np.concatenate([np.empty(0, np.int64), *(unpack(r["counts"], "<u8").astype(np.int64) for r in sorted((r for r in rows if r["level"] == n), key=lambda r: r["part"]))])
-    counts, owner, others = block.levels[n].local.astype(np.int64), np.ones(len(asked), bool), np.zeros(len(asked), bool)
-    counts[asked], owner[asked], others[asked] = told >> 2, (told & 1).astype(bool), (told & 2).astype(bool)
-    return counts, owner, others
+    counts, owner, others, open_ = block.levels[n].local.astype(np.int64), np.ones(len(asked), bool), np.zeros(len(asked), bool), np.ones(len(asked), bool)
+    counts[asked], owner[asked], others[asked], open_[asked] = told >> 3, (told & 1).astype(bool), (told & 2).astype(bool), (told & 4).astype(bool)
+    return counts, owner, others, open_
 
 
-_ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))])
-ASK_SCHEMA = "part int, block long, keys binary, counts binary, stats array<long>"
+_ASK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("open", pa.binary()), ("stats", pa.list_(pa.int64()))])
+ASK_SCHEMA = "part int, block long, keys binary, counts binary, open binary, stats array<long>"
 
 
 def _asked(block: Block, n: int, parts: int, many: np.ndarray | None) -> Iterator[dict]:
-    """One row a partition: the n-grams asked for and their counts in the block's training texts; the first row also has the stats of those that are not asked for."""
+    """One row a partition: the n-grams asked for, their counts in the block's training texts, and whether they are contexts in its other texts; the first row also has the stats of those that are not asked for."""
     level, wanted = block.levels[n], _wanted(block, n, many)
-    keys, counts = level.keys[wanted], level.local[wanted].astype("<u4")
+    after = ~block.train
+    after[np.cumsum(block.lengths) - block.lengths] = False
+    before = level.of[np.flatnonzero(after) - 1]
+    open_ = np.zeros(len(level.keys), bool)
+    open_[before[before >= 0]] = True
+    keys, counts, open_ = level.keys[wanted], level.local[wanted].astype("<u4"), open_[wanted]
     at = cuts(keys, parts)
     own = _stats(level.local[~wanted])
     for p in [p for p in range(parts) if at[p] < at[p + 1]] or [block.number % parts]:
-        yield {"part": p, "block": block.number, "keys": pack_sorted(keys[at[p] : at[p + 1]]), "counts": pack(counts[at[p] : at[p + 1]]), "stats": own}
+        yield {"part": p, "block": block.number, "keys": pack_sorted(keys[at[p] : at[p + 1]]), "counts": pack(counts[at[p] : at[p + 1]]), "open": pack(np.packbits(open_[at[p] : at[p + 1]])), "stats": own}
         own = None
 
 
@@ -272,14 +278,15 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
 
 def _tell(keep: bool):
-    """Per partition its table (kind TABLE: stats, and keys and counts if they are kept) and its answers (kind ANSWER: 4 c + 2 if several blocks ask + 1 for the owner)."""
+    """Per partition its table (kind TABLE: stats, and keys and counts if they are kept) and its answers (kind ANSWER: 8 c + 4 for open contexts + 2 if several blocks ask + 1 for the owner)."""
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_part(batches):
             keys = [unpack_sorted(r["keys"]) for r in rows]
             table, first, of = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             counts = np.bincount(of, np.concatenate([unpack(r["counts"], "<u4") for r in rows]), len(table)).astype(np.int64)
-            told = 4 * counts[of] + 2 * (np.bincount(of, minlength=len(table)) > 1)[of]
+            open_ = np.concatenate([np.unpackbits(unpack(r["open"], "u1"), count=len(k)) for r, k in zip(rows, keys, strict=True)])
+            told = 8 * counts[of] + 4 * (np.bincount(of, open_, len(table)) > 0)[of] + 2 * (np.bincount(of, minlength=len(table)) > 1)[of]
             told[first] += 1
             told, ends = told.astype("<u8"), np.cumsum([len(k) for k in keys])
             stats = np.sum([_stats(counts), *(r["stats"] for r in rows if r["stats"])], 0).tolist()
@@ -302,13 +309,27 @@ def _totals(told: DataFrame) -> list[int]:
     return [int(x or 0) for x in row]
 
 
-_SUMS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("seen", pa.binary()), ("lower", pa.binary()), ("asked", pa.binary()), ("ids", pa.list_(pa.int64())), ("numbers", pa.binary()), ("missing", pa.binary())])
-SUMS_SCHEMA = "kind int, part int, block long, level int, keys binary, seen binary, lower binary, asked binary, ids array<long>, numbers binary, missing binary"
+_SUMS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.int64()), ("level", pa.int32()), ("keys", pa.binary()), ("small", pa.binary()), ("large", pa.binary()), ("asked", pa.binary()), ("ids", pa.list_(pa.int64())), ("numbers", pa.binary()), ("missing", pa.binary())])
+SUMS_SCHEMA = "kind int, part int, block long, level int, keys binary, small binary, large binary, asked binary, ids array<long>, numbers binary, missing binary"
 
 
-def _weight(seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """log10 a(h) from the sums over a context's seen words."""
-    return np.log10(np.maximum(1 - seen, 1e-300) / np.maximum(1 - lower, 1e-300))
+_R = np.arange(1, MAX_DISCOUNTED + 1)
+
+
+def _tallies(context: np.ndarray, counts: np.ndarray, below: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per context, of n-grams with these counts, whose last n - 1 symbols have the counts below: how many have the counts 1, 2, .. and more, the same of the counts below; and the sums of the counts that are more."""
+    small = [np.bincount(context[np.minimum(c, MAX_DISCOUNTED + 1) == r], minlength=size) for c in (counts, below) for r in range(1, MAX_DISCOUNTED + 2)]
+    large = [np.bincount(context[c > MAX_DISCOUNTED], c[c > MAX_DISCOUNTED], size) for c in (counts, below)]
+    return np.stack(small).astype("<u4"), np.stack(large).astype("<u8")
+
+
+def _weight(small: np.ndarray, large: np.ndarray, total: np.ndarray, d: np.ndarray, d_below: np.ndarray) -> np.ndarray:
+    """log10 a(h) from a context's tallies; total: what the counts below are shares of."""
+    k, n, m = MAX_DISCOUNTED, small[: MAX_DISCOUNTED + 1].astype(float), small[MAX_DISCOUNTED + 1 :].astype(float)
+    aside = (_R - discounted(_R, d)) @ n[:k] + SET_ASIDE * n[k]
+    lower = discounted(_R, d_below) @ m[:k] + large[1] - SET_ASIDE * m[k]
+    one_less_seen = aside / np.maximum(_R @ n[:k] + large[0], 1)
+    return np.log10(np.maximum(one_less_seen, 1e-300) / np.maximum(1 - lower / np.maximum(total, 1), 1e-300))
 
 
 def _scorer(order: int, parts: int, totals: list[list[int]], ds: list[np.ndarray], prune: bool):
@@ -318,25 +339,26 @@ def _scorer(order: int, parts: int, totals: list[list[int]], ds: list[np.ndarray
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         """Per block: documents' sums but for log a(h) of contexts that other blocks hold, and its shares of and requests for those contexts' sums."""
         block, rows = Block(left.to_pylist()[0], order), right.to_pylist()
-        word, _, others = _answers(block, 1, rows, None)
+        word, _, others, open_ = _answers(block, 1, rows, None)
         unknown = 1 - unknown_free(totals[0], ds[0])
-        lower = np.where(word > 0, discounted(word, ds[0]) / max(n, 1), unknown)  # of each gram of the level below
-        single, c = np.log10(lower)[block.tokens], word[block.tokens]
+        single, c = np.log10(np.where(word > 0, discounted(word, ds[0]) / max(n, 1), unknown))[block.tokens], word[block.tokens]
         add = lambda x, at=None: np.bincount(block.doc if at is None else block.doc[at], x if at is None else x[at], len(block.lengths))
         seen_by = np.append(word, word[np.searchsorted(block.words, END)])  # how often each context was seen
         shared = np.append(others, True) | (not prune)  # whether other blocks hold a context
-        levels, asking, out = [], None, []
+        told = np.append(open_, True) | (not prune)  # whether any block may ask for it
+        total = np.full(len(seen_by), n)  # what counts are shares of one level below
+        levels, asking, out, below = [], None, [], word
         for k in range(2, order + 1):
             level = block.levels[k]
-            counts, owner, others = _answers(block, k, rows, asking)
+            counts, owner, others, open_ = _answers(block, k, rows, asking)
             above = discounted(counts, ds[k - 1]) / np.maximum(seen_by[level.context], 1)
             mine = owner & (counts > 0)
-            seen_sum = np.bincount(level.context[mine], above[mine], len(seen_by))
-            lower_sum = np.bincount(level.context[mine], lower[level.suffix[mine]], len(seen_by))
-            levels.append((k, level, counts, above, seen_by, shared, seen_sum, lower_sum))
-            asking, lower, seen_by, shared = (others if prune else None), above, counts, others | (not prune)
+            tallies = _tallies(level.context[mine], counts[mine], below[level.suffix[mine]], len(seen_by))
+            levels.append((k, level, counts, above, seen_by, shared, told, total, tallies))
+            total = (word if k == 2 else levels[-2][2])[level.suffix]
+            asking, below, seen_by, shared, told = (others if prune else None), counts, counts, others | (not prune), open_ | (not prune)
         value, rest, missing, wants = np.zeros(len(block.tokens)), np.ones(len(block.tokens), bool), [], {}
-        for k, level, counts, above, seen_by, shared, seen_sum, lower_sum in reversed(levels):
+        for k, level, counts, above, seen_by, shared, _, total, (small, large) in reversed(levels):
             at = np.flatnonzero(rest & (level.of >= 0))
             gram = level.of[at]
             found = counts[gram] > 0
@@ -345,18 +367,19 @@ def _scorer(order: int, parts: int, totals: list[list[int]], ds: list[np.ndarray
             at, context = at[~found], level.context[gram[~found]]
             at, context = at[seen_by[context] > 0], context[seen_by[context] > 0]
             away = shared[context]
-            value[at[~away]] += _weight(seen_sum[context[~away]], lower_sum[context[~away]])
+            own = context[~away]
+            value[at[~away]] += _weight(small[:, own], large[:, own], total[own], ds[k - 1], ds[k - 2])
             wants[k] = (at[away], context[away])
         value[rest] += single[rest]
 
         begun = 0
-        for k, _, _, _, _, shared, seen_sum, lower_sum in levels:
+        for k, _, _, _, _, shared, told, total, (small, large) in levels:
             at, context = wants[k]
             asked = np.zeros(len(shared), bool)
             asked[context] = True
             hashes = block.contexts(k)
             order_ = np.argsort(hashes) if k == 2 else np.arange(len(hashes))
-            used = order_[(shared & ((seen_sum > 0) | asked))[order_]]
+            used = order_[(shared & told & ((small[: MAX_DISCOUNTED + 1].sum(0) > 0) | asked))[order_]]
             place = np.full(len(hashes), -1)
             wanted = order_[asked[order_]]
             place[wanted] = begun + np.arange(len(wanted))
@@ -366,7 +389,7 @@ def _scorer(order: int, parts: int, totals: list[list[int]], ds: list[np.ndarray
             for p in range(parts):
                 some = used[bounds[p] : bounds[p + 1]]
                 if len(some):
-                    out.append({"kind": TABLE, "part": p, "block": block.number, "level": k, "keys": pack_sorted(hashes[some]), "seen": pack(seen_sum[some].astype("<f8")), "lower": pack(lower_sum[some].astype("<f8")), "asked": pack(asked[some].astype(np.uint8))})
+                    out.append({"kind": TABLE, "part": p, "block": block.number, "level": k, "keys": pack_sorted(hashes[some]), "small": pack(small[:, some].reshape(-1)), "large": pack(np.vstack([large[:, some], total[some][None]]).astype("<u8").reshape(-1)), "asked": pack(asked[some].astype(np.uint8))})
         base = add(np.log10((c + 0.5) / (n + 0.5 * (v + 1))))
         numbers = np.stack([block.lengths, add(c > 0), base, add(value)], 1).astype("<f8")
         missing = np.concatenate([np.empty((0, 2), np.int64), *missing]).astype("<u4")
@@ -390,7 +413,7 @@ _WEIGHT = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("block", pa.in
 WEIGHT_SCHEMA = "kind int, part int, block long, level int, keys binary, weights binary"
 
 
-def _weights(keep: bool):
+def _weights(keep: bool, ds: list[np.ndarray]):
     """Per partition log10 a(h) of the contexts that each block asked for (kind ANSWER), and of all if they are kept (kind TABLE)."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,8 +422,12 @@ def _weights(keep: bool):
                 rows = [r for r in every if r["level"] == n]
                 keys = [unpack_sorted(r["keys"]) for r in rows]
                 table, of = np.unique(np.concatenate(keys), return_inverse=True)
-                sums = [np.bincount(of, np.concatenate([unpack(r[c], "<f8") for r in rows])) for c in ("seen", "lower")]
-                weight = _weight(*sums)
+                whole = lambda c, kind, lines: np.concatenate([unpack(r[c], kind).reshape(lines, -1) for r in rows], 1)  # noqa: E731, B023
+                small, large = whole("small", "<u4", 2 * MAX_DISCOUNTED + 2), whole("large", "<u8", 3)
+                total = np.zeros(len(table))
+                np.maximum.at(total, of, large[2].astype(float))
+                added = lambda x: np.stack([np.bincount(of, line, len(table)) for line in x])  # noqa: E731, B023
+                weight = _weight(added(small), added(large[:2]), total, ds[n - 1], ds[n - 2])
                 if keep:
                     yield pa.RecordBatch.from_pylist([{"kind": TABLE, "part": rows[0]["part"], "block": None, "level": n, "keys": pack_sorted(table), "weights": pack(weight.astype("<f8"))}], _WEIGHT)
                 begun = 0
@@ -446,8 +473,8 @@ def scored(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     ds = [discounts([0, *t[2:]]) for t in totals]
     sums = scratch.save(cogrouped(answered(range(1, order + 1)), _scorer(order, parts, totals, ds, prune), SUMS_SCHEMA), "sums")
     scratch.drop(blocks)
-    shares = sums.where(F.col("kind") == TABLE).select("part", "block", "level", "keys", "seen", "lower", "asked")
-    weights = scratch.save(_sorted_parts(shares, parts, _weights(not prune), WEIGHT_SCHEMA), "weights")
+    shares = sums.where(F.col("kind") == TABLE).select("part", "block", "level", "keys", "small", "large", "asked")
+    weights = scratch.save(_sorted_parts(shares, parts, _weights(not prune, ds), WEIGHT_SCHEMA), "weights")
     if keep:
         stored = lambda made, level, column: made.where(F.col("kind") == TABLE).select(level.cast("int").alias("level"), "part", "keys", F.col(column).alias("values"))
         union([stored(t, F.lit(n), "counts") for n, t in enumerate(told, 1)]).write.parquet(f"{keep}/counts")
