@@ -6,6 +6,7 @@ A written table cuts lineage, outlives lost executors and lets adaptive executio
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ _OWN: dict[str, str] = {}
 #: Scratch of the pipeline stages of each session that ran so far, and whether a stage is being set up.
 _STAGES: dict[str, list[Scratch]] = {}
 _OPEN: set[str] = set()
+#: After so many tables the driver lets go of the plans and broadcasts of those before.
+LET_GO = 6
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -58,6 +61,9 @@ class Scratch:
         df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._lexmill_path = path
+        if self._n % LET_GO == 0:
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, df: DataFrame) -> None:
