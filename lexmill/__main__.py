@@ -1,4 +1,4 @@
-"""Command line: build, status, search, watch and serve."""
+"""Command line: build, status, skipped, clean, feed, watch, search and serve."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from lexmill.config import config_for, worktree_root
+from lexmill.config import config_for, repo_id, worktree_root
 from lexmill.operators.index import Index
 from lexmill.service import Service, search, serve
-from lexmill.sources.listing import scan
-from lexmill.streaming.changes import stop_when_idle, watch
+from lexmill.sinks.output import status_lines
+from lexmill.sources.listing import scan, scanned, skip_report
+from lexmill.streaming.changes import stop_when_idle, watch, write_feed
 
 
 def parser() -> argparse.ArgumentParser:
@@ -22,7 +23,10 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--index")
     commands = top.add_subparsers(dest="command", required=True)
     commands.add_parser("build")
-    commands.add_parser("status")
+    commands.add_parser("status").add_argument("--text", action="store_true")
+    commands.add_parser("skipped")
+    commands.add_parser("clean")
+    commands.add_parser("feed").add_argument("feed")
     commands.add_parser("serve")
     w = commands.add_parser("watch")
     w.add_argument("feed")
@@ -59,7 +63,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         index.build(scan(spark, root, config), config)
         print(json.dumps(index.status()))
     elif command == "status":
-        print(json.dumps(index.status()))
+        found = index.status() | {"repo": repo_id(root)}
+        print(*status_lines(found), sep="\n") if args["text"] else print(json.dumps(found))
+    elif command == "skipped":
+        for r in skip_report(scanned(spark, root, config)).orderBy("reason").collect():
+            print(f"{r['reason']}: {r['n']}", *r["samples"], sep="\n  ")
+    elif command == "clean":
+        print(json.dumps({"recovered": index.recover(), "removed": index.generations.clean()}))
+    elif command == "feed":
+        print(write_feed(index, root, args["feed"], config))
     elif command == "serve":
         serve(service, sys.stdin, sys.stdout)
     elif command == "watch":

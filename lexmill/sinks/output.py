@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Window
@@ -77,6 +78,23 @@ def format_bytes(n: int) -> str:
     return f"{size:.1f} TB"
 
 
+def format_ago(then_ns: int, now_ns: int | None = None) -> str:
+    """How long ago a time was, in its largest unit."""
+    seconds = max(0, ((time.time_ns() if now_ns is None else now_ns) - then_ns) // 10**9)
+    for size, unit in ((86_400, "d"), (3600, "h"), (60, "m")):
+        if seconds >= size:
+            return f"{seconds // size}{unit} ago"
+    return f"{seconds}s ago"
+
+
+def status_lines(status: dict) -> list[str]:
+    """An index's status for people."""
+    if status["active"] is None:
+        return [f"{status.get('repo', 'index')}: no index"]
+    state = "needs a rebuild" if status["needs_rebuild"] else "ready"
+    return [f"{status.get('repo', 'index')}: {state}", f"Files:    {status['n_files']}", f"Segments: {len(status['segments'])}", f"Size:     {format_bytes(status['bytes'])}", f"Built:    {format_ago(status['built_ns'])}"]
+
+
 def format_duration(seconds: int) -> str:
     hours, rest = divmod(int(seconds), 3600)
     minutes, secs = divmod(rest, 60)

@@ -2,6 +2,7 @@
 
 import io
 import json
+import time
 import zlib
 
 import pytest
@@ -268,8 +269,18 @@ def test_main(spark, tmp_path, capsys):
     assert main([*root, "search", "alpha", "-l"], spark) == 0
     assert main([*root, "search", "kind:fn"], spark) == 0
     assert main([*root, "search", "nothing_here"], spark) == 1
+    capsys.readouterr()
+    write(tmp_path, {"b.bin": "x"})
+    assert main([*root, "status", "--text"], spark) == 0 and "Files:    1" in capsys.readouterr().out
+    assert main([*root, "skipped"], spark) == 0 and "extension: 1\n  b.bin" in capsys.readouterr().out
+    assert main([*root, "clean"], spark) == 0 and json.loads(capsys.readouterr().out) == {"recovered": [], "removed": []}
+    write(tmp_path, {"c.py": "x = 1\n"})
+    assert main([*root, "feed", str(tmp_path / ".feed")], spark) == 0 and capsys.readouterr().out == "1\n"
 
 
 def test_formats():
     assert (output.format_bytes(10), output.format_bytes(2048), output.format_duration(61), output.format_duration(3700)) == ("10 B", "2.0 KB", "1m 1s", "1h 1m")
     assert output.symbol_lines([], "x") == ["No symbols found for: x"]
+    assert [output.format_ago(0, s * 10**9) for s in (5, 61, 7300, 200_000)] == ["5s ago", "1m ago", "2h ago", "2d ago"]
+    assert output.status_lines({"active": None, "repo": "r"}) == ["r: no index"]
+    assert output.status_lines({"active": "g", "repo": "r", "needs_rebuild": False, "n_files": 3, "segments": ["base"], "bytes": 2048, "built_ns": time.time_ns()}) == ["r: ready", "Files:    3", "Segments: 1", "Size:     2.0 KB", "Built:    0s ago"]
