@@ -132,11 +132,18 @@ def global_ignore_lines() -> list[str]:
 Handed = list[tuple[str, list[str]]]
 
 
+def store_of(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), os.path.abspath(root.removeprefix("file:"))
+
+
 class Tree:
     """Folders of one root, on any file system that Arrow knows."""
 
     def __init__(self, root: str):
-        self.files, self.root = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), os.path.abspath(root))
+        self.files, self.root = store_of(root)
         self.root = self.root.rstrip("/") or "/"
 
     def lines(self, name: str) -> list[str]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Callable
 
@@ -13,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from lexmill.config import Config
 from lexmill.operators.index import Index
 from lexmill.operators.updates import latest
-from lexmill.sources.listing import changed, listing, scan
+from lexmill.sources.listing import changed, listing, scan, store_of
 from lexmill.workspace import new_folder
 
 #: Rows of a feed: path, action ("index" or "remove"), seq, content (of paths to be indexed), repo_rel_path (the path, if it is left out).
@@ -79,7 +78,7 @@ def write_feed(index: Index, root: str, feed_folder: str, config: Config | None
     spark = index.spark
     changes = changed(listing(spark, root, config), index.table("files"))
     content = scan(spark, root, config).select("repo_rel_path", "content")
-    base = root if "://" in root else os.path.abspath(root)
+    base = store_of(root)[1]
     rows = changes.join(content, changes["path"] == content["repo_rel_path"], "left").select(F.concat(F.lit(f"{base.rstrip('/')}/"), "path").alias("path"), "action", F.lit(time.time_ns()).alias("seq"), "content", F.col("path").alias("repo_rel_path"))
     rows = rows.cache()
     try:

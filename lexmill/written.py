@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +24,7 @@ from lexmill.plans.literals import literal_candidates
 from lexmill.queries import BRANCHES, GAPPED, PHRASE, _doc_changes, corpus, made_files, read, symbols, text_files
 from lexmill.service import Service
 from lexmill.sinks import output
-from lexmill.sources.listing import changed, fingerprint, listing, scanned, skip_report
+from lexmill.sources.listing import changed, fingerprint, listing, scanned, skip_report, store_of
 from lexmill.streaming.changes import watch
 from lexmill.workspace import new_folder
 
@@ -123,7 +122,7 @@ TREE_EXT = "case k % 5 when 0 then '.py' when 1 then '.md' when 2 then '.log' wh
 
 def _writer(root: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, at = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        store, at = store_of(root)
         for batch in batches:
             for row in batch.to_pylist():
                 store.create_dir(f"{at}/{row['path'].rpartition('/')[0]}", recursive=True)
