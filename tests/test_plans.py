@@ -131,3 +131,10 @@ def test_choosing_files_and_lines_by_two_engines_agrees(spark):
     for pattern in (r"fox\s+den", r"x\n\s?den", r"fox.den", r"[[:alpha:]]\d\n", r"\w+\n\w+", r"(?i)FOX\r?\n", r"été", r"\bden\b", r"^\s*$", r"e\nend", r"(a|b)\s"):
         files = {r["file_path"] for r in rx.matching_files(corpus, pattern, multiline=True).collect()}
         assert files == {r["file_path"] for r in rx.matching_lines(corpus, pattern, multiline=True).collect()}, pattern
+
+
+def test_literals_end_at_an_optional_part():
+    """Only a sequence that is exact as a whole is spelled out with and without it."""
+    assert literal_candidates(r"(idiot|moron)s? \w+|clown").branches == (("idiot",), ("moron",), ("clown",))
+    assert literal_candidates(r"https?://\w+").branches == (("http", "://"),)
+    assert literal_candidates("colou?r").branches == (("color",), ("colour",))
