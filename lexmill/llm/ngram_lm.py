@@ -318,9 +318,12 @@ _R = np.arange(1, MAX_DISCOUNTED + 1)
 
 def _tallies(context: np.ndarray, counts: np.ndarray, below: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Per context, of n-grams with these counts, whose last n - 1 symbols have the counts below: how many have the counts 1, 2, .. and more, the same of the counts below; and the sums of the counts that are more."""
-    small = [np.bincount(context[np.minimum(c, MAX_DISCOUNTED + 1) == r], minlength=size) for c in (counts, below) for r in range(1, MAX_DISCOUNTED + 2)]
-    large = [np.bincount(context[c > MAX_DISCOUNTED], c[c > MAX_DISCOUNTED], size) for c in (counts, below)]
-    return np.stack(small).astype("<u4"), np.stack(large).astype("<u8")
+    small, large = np.empty((2 * MAX_DISCOUNTED + 2, size), "<u4"), np.empty((2, size), "<u8")
+    for i, c in enumerate((counts, below)):
+        for r in range(1, MAX_DISCOUNTED + 2):
+            small[i * (MAX_DISCOUNTED + 1) + r - 1] = np.bincount(context[np.minimum(c, MAX_DISCOUNTED + 1) == r], minlength=size)
+        large[i] = np.bincount(context[c > MAX_DISCOUNTED], c[c > MAX_DISCOUNTED], size)
+    return small, large
 
 
 def _weight(small: np.ndarray, large: np.ndarray, total: np.ndarray, d: np.ndarray, d_below: np.ndarray) -> np.ndarray:
@@ -352,13 +355,17 @@ def _scorer(order: int, parts: int, totals: list[list[int]], ds: list[np.ndarray
             level = block.levels[k]
             counts, owner, others, open_ = _answers(block, k, rows, asking)
             above = discounted(counts, ds[k - 1]) / np.maximum(seen_by[level.context], 1)
-            mine = owner & (counts > 0)
-            tallies = _tallies(level.context[mine], counts[mine], below[level.suffix[mine]], len(seen_by))
-            levels.append((k, level, counts, above, seen_by, shared, told, total, tallies))
+            needed = shared & told  # contexts whose tallies are reported, or used here
+            needed[level.context[counts == 0]] = True
+            place = np.cumsum(needed, dtype=np.int32) - 1
+            mine = np.flatnonzero(owner & (counts > 0) & needed[level.context])
+            tallies = _tallies(place[level.context[mine]], counts[mine], below[level.suffix[mine]], int(needed.sum()))
+            levels.append((k, level, counts, above, seen_by, shared, shared & told, total, needed, place, *tallies))
+            del mine, owner
             total = (word if k == 2 else levels[-2][2])[level.suffix]
             asking, below, seen_by, shared, told = (others if prune else None), counts, counts, others | (not prune), open_ | (not prune)
         value, rest, missing, wants = np.zeros(len(block.tokens)), np.ones(len(block.tokens), bool), [], {}
-        for k, level, counts, above, seen_by, shared, _, total, (small, large) in reversed(levels):
+        for k, level, counts, above, seen_by, shared, _, total, _, place, small, large in reversed(levels):
             at = np.flatnonzero(rest & (level.of >= 0))
             gram = level.of[at]
             found = counts[gram] > 0
@@ -367,29 +374,31 @@ def _scorer(order: int, parts: int, totals: list[list[int]], ds: list[np.ndarray
             at, context = at[~found], level.context[gram[~found]]
             at, context = at[seen_by[context] > 0], context[seen_by[context] > 0]
             away = shared[context]
-            own = context[~away]
-            value[at[~away]] += _weight(small[:, own], large[:, own], total[own], ds[k - 1], ds[k - 2])
+            own, of = np.unique(context[~away], return_inverse=True)
+            value[at[~away]] += _weight(small[:, place[own]], large[:, place[own]], total[own], ds[k - 1], ds[k - 2])[of]
             wants[k] = (at[away], context[away])
         value[rest] += single[rest]
 
         begun = 0
-        for k, _, _, _, _, shared, told, total, (small, large) in levels:
+        for k, _, _, _, _, shared, reported, total, needed, place, small, large in levels:
             at, context = wants[k]
             asked = np.zeros(len(shared), bool)
             asked[context] = True
+            filled = asked.copy()
+            filled[needed] |= (small[: MAX_DISCOUNTED + 1] > 0).any(0)
             hashes = block.contexts(k)
             order_ = np.argsort(hashes) if k == 2 else np.arange(len(hashes))
-            used = order_[(shared & told & ((small[: MAX_DISCOUNTED + 1].sum(0) > 0) | asked))[order_]]
-            place = np.full(len(hashes), -1)
+            used = order_[(reported & filled)[order_]]
+            turn = np.full(len(hashes), -1)
             wanted = order_[asked[order_]]
-            place[wanted] = begun + np.arange(len(wanted))
+            turn[wanted] = begun + np.arange(len(wanted))
             begun += len(wanted)
-            missing.append(np.stack([block.doc[at], place[context]], 1))
+            missing.append(np.stack([block.doc[at], turn[context]], 1))
             bounds = cuts(hashes[used], parts)
             for p in range(parts):
                 some = used[bounds[p] : bounds[p + 1]]
                 if len(some):
-                    out.append({"kind": TABLE, "part": p, "block": block.number, "level": k, "keys": pack_sorted(hashes[some]), "small": pack(small[:, some].reshape(-1)), "large": pack(np.vstack([large[:, some], total[some][None]]).astype("<u8").reshape(-1)), "asked": pack(asked[some].astype(np.uint8))})
+                    out.append({"kind": TABLE, "part": p, "block": block.number, "level": k, "keys": pack_sorted(hashes[some]), "small": pack(small[:, place[some]].reshape(-1)), "large": pack(np.vstack([large[:, place[some]], total[some][None]]).astype("<u8").reshape(-1)), "asked": pack(asked[some].astype(np.uint8))})
         base = add(np.log10((c + 0.5) / (n + 0.5 * (v + 1))))
         numbers = np.stack([block.lengths, add(c > 0), base, add(value)], 1).astype("<f8")
         missing = np.concatenate([np.empty((0, 2), np.int64), *missing]).astype("<u4")

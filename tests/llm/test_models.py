@@ -226,3 +226,21 @@ def test_training_against_a_plain_loop(monkeypatch):
             for f, d in d_vectors.items():
                 vectors[f] = vectors[f] - rate * d
     assert np.allclose(table, vectors @ (out[1] - out[0]), atol=1e-5) and bias == pytest.approx(b[1] - b[0], abs=1e-5)
+
+
+def test_tallies_of_a_block_take_little_memory():
+    """Two blocks are scored beside each other on an executor: a context's tallies take their 64 bytes, and not much more while they are made."""
+    import tracemalloc
+
+    from lexmill.llm.ngram_lm import _tallies
+
+    rng, size = np.random.default_rng(5), 200_000
+    context, counts, below = rng.integers(0, size, 2 * size), rng.integers(1, 12, 2 * size), rng.integers(1, 12, 2 * size)
+    tracemalloc.start()
+    try:
+        small, large = _tallies(context, counts, below, size)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 150 * size
+    assert small[2, 7] == ((context == 7) & (counts == 3)).sum() and small[:6].sum() == 2 * size and large[1].sum() == below[below > 5].sum()
