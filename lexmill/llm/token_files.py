@@ -217,6 +217,21 @@ def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(33 - SLOTS.bit_length())
 
 
+def _places(pairs: np.ndarray, keys: np.ndarray, home: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Each key's row in the sorted pairs, -1 without one; home and slot: the slots of both.  A pair that shares its slot with a later one is found by bisection."""
+    row = np.arange(len(pairs), dtype=np.int32)
+    table = np.full(SLOTS, -1, np.int32)
+    table[home] = row
+    of = table[slot]
+    of[pairs[of] != keys] = -1
+    shared = np.zeros(SLOTS, bool)
+    shared[home[table[home] != row]] = True
+    left = np.flatnonzero(shared[slot] & (of < 0))
+    at = np.minimum(np.searchsorted(pairs, keys[left]), len(pairs) - 1)
+    of[left] = np.where(pairs[at] == keys[left], at, -1)
+    return of
+
+
 def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None = None, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rules, expanded, symbols, ends) of a block; a rule's id is base plus its row.  rounds: None until no pair occurs least times."""
     symbols = ids.astype(np.uint32)
@@ -231,7 +246,7 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None =
         slot = _slots(symbols[at], symbols[at + 1])
         fits = np.bincount(slot, minlength=SLOTS)[slot] >= least
         live[at[~fits]] = False
-        at = at[fits]
+        at, slot = at[fits], slot[fits]
         key_type, bits = (np.uint32, 16) if base + made <= 1 << 16 else (np.uint64, 32)
         keys = (symbols[at].astype(key_type) << key_type(bits)) | symbols[at + 1]
         found = np.sort(keys)
@@ -241,8 +256,9 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None =
         if not len(often):
             break
         pairs, n = found[begin[often]], n[often]
-        of = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-        same = pairs[of] == keys
+        mask = key_type((1 << bits) - 1)
+        of = _places(pairs, keys, _slots((pairs >> key_type(bits)).astype(np.uint32), (pairs & mask).astype(np.uint32)), slot)
+        same = of >= 0
         live[at[~same]] = False
         at, of = at[same], of[same]
         # The rank of each pair that is replaced now, most frequent first.
@@ -266,7 +282,7 @@ def repair(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None =
         new = np.empty(len(order), np.int64)
         new[used] = np.arange(len(used))
         pair = pairs[order[used]]
-        rules.append(np.stack([pair >> key_type(bits), pair & key_type((1 << bits) - 1)], 1).astype(np.uint32))
+        rules.append(np.stack([pair >> key_type(bits), pair & mask], 1).astype(np.uint32))
         size = np.concatenate([size, size[rules[-1][:, 0]] + size[rules[-1][:, 1]]])
         symbols[at] = (base + made + new[of]).astype(np.uint32)
         last[at] = last[at + 1]

@@ -180,3 +180,17 @@ def test_another_pre_tokenizer_encodes_whole_texts():
     texts = ["It's  a Test", "", "\n x y"]
     ids, counts = other([t.encode() for t in texts], None)
     assert ids.tolist() == [i for t in texts for i in model.encode(t, add_special_tokens=False).ids] and counts[1] == 0
+
+
+def test_pairs_are_found_by_their_slots():
+    """Few keys are left to bisection, and pairs that share a slot are told apart."""
+    from lexmill.llm.token_files import SLOTS, _places, _slots
+
+    rng = np.random.default_rng(3)
+    left, right = rng.integers(0, 50_000, (2, 60_000)).astype(np.uint32)
+    keys = (left.astype(np.uint64) << np.uint64(32)) | right
+    pairs = np.unique(keys[:20_000])
+    home = _slots((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
+    assert len(np.unique(home)) < len(home) <= SLOTS
+    rows = {k: i for i, k in enumerate(pairs.tolist())}
+    assert _places(pairs, keys, home, _slots(left, right)).tolist() == [rows.get(k, -1) for k in keys.tolist()]
