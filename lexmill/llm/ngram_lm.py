@@ -93,8 +93,11 @@ def discounts(n: list[int]) -> np.ndarray:
 
 def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
     """d c of each count."""
-    low = (counts <= MAX_DISCOUNTED) & (d[np.minimum(counts, MAX_DISCOUNTED)] < 1)
-    return np.where(low, counts * d[np.minimum(counts, MAX_DISCOUNTED)], np.maximum(counts - SET_ASIDE, 0))
+    out = np.maximum(counts - SET_ASIDE, 0)
+    for r in range(1, MAX_DISCOUNTED + 1):
+        if d[r] < 1:
+            out[counts == r] = r * d[r]
+    return out
 
 
 def _blocks(block_words: int):
@@ -182,9 +185,14 @@ class Block:
             before[begins] = v
         before *= v
         before += self.tokens[at]
-        distinct, first, inverse = np.unique(before, return_index=True, return_inverse=True)
+        by_gram = np.argsort(before)
+        before = before[by_gram]
+        new = np.diff(before, prepend=-1) != 0
+        distinct, first = before[new], by_gram[new]
         del before
-        inverse = inverse.astype(np.int32)
+        inverse = np.empty(len(at), np.int32)
+        inverse[by_gram] = np.cumsum(new, dtype=np.int32) - 1
+        del by_gram, new
         context, word = (distinct // v).astype(np.int32), (distinct % v).astype(np.int32)
         del distinct
         hashed = mix(mix(self.contexts(n)[context]) ^ self.words[word])
@@ -344,8 +352,9 @@ def _scorer(order: int, parts: int, totals: list[list[int]], ds: list[np.ndarray
         block, rows = Block(left.to_pylist()[0], order), right.to_pylist()
         word, _, others, open_ = _answers(block, 1, rows, None)
         unknown = 1 - unknown_free(totals[0], ds[0])
-        single, c = np.log10(np.where(word > 0, discounted(word, ds[0]) / max(n, 1), unknown))[block.tokens], word[block.tokens]
+        single = np.log10(np.where(word > 0, discounted(word, ds[0]) / max(n, 1), unknown))
         add = lambda x, at=None: np.bincount(block.doc if at is None else block.doc[at], x if at is None else x[at], len(block.lengths))
+        known, base = add((word > 0)[block.tokens]), add(np.log10((word + 0.5) / (n + 0.5 * (v + 1)))[block.tokens])
         seen_by = np.append(word, word[np.searchsorted(block.words, END)])  # how often each context was seen
         shared = np.append(others, True) | (not prune)  # whether other blocks hold a context
         told = np.append(open_, True) | (not prune)  # whether any block may ask for it
@@ -377,7 +386,7 @@ def _scorer(order: int, parts: int, totals: list[list[int]], ds: list[np.ndarray
             own, of = np.unique(context[~away], return_inverse=True)
             value[at[~away]] += _weight(small[:, place[own]], large[:, place[own]], total[own], ds[k - 1], ds[k - 2])[of]
             wants[k] = (at[away], context[away])
-        value[rest] += single[rest]
+        value[rest] += single[block.tokens[rest]]
 
         begun = 0
         for k, _, _, _, _, shared, reported, total, needed, place, small, large in levels:
@@ -399,8 +408,7 @@ def _scorer(order: int, parts: int, totals: list[list[int]], ds: list[np.ndarray
                 some = used[bounds[p] : bounds[p + 1]]
                 if len(some):
                     out.append({"kind": TABLE, "part": p, "block": block.number, "level": k, "keys": pack_sorted(hashes[some]), "small": pack(small[:, place[some]].reshape(-1)), "large": pack(np.vstack([large[:, place[some]], total[some][None]]).astype("<u8").reshape(-1)), "asked": pack(asked[some].astype(np.uint8))})
-        base = add(np.log10((c + 0.5) / (n + 0.5 * (v + 1))))
-        numbers = np.stack([block.lengths, add(c > 0), base, add(value)], 1).astype("<f8")
+        numbers = np.stack([block.lengths, known, base, add(value)], 1).astype("<f8")
         missing = np.concatenate([np.empty((0, 2), np.int64), *missing]).astype("<u4")
         out.append({"kind": ANSWER, "part": None, "block": block.number, "ids": block.ids, "numbers": pack(numbers.reshape(-1)), "missing": pack(missing.reshape(-1))})
         return pa.Table.from_pylist(out, _SUMS)
